@@ -22,7 +22,7 @@ from stonecrop.llm.common import labelled_sample, map_rows, raw_texts
 
 #: Labelled rows that are learned from at most.
 TRAIN_ROWS = 6_000
-BLOCK, DICTIONARY, LEVEL = 1024, 112_640, 3
+BLOCK, DICTIONARY, LEVEL = 256, 112_640, 3
 #: Bytes of blocks a dictionary is trained on at most, in the order of the sample.
 TRAIN_BYTES = 8_000_000
 

@@ -1,7 +1,7 @@
 """Toxicity by FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-A text's features are the distinct hashes of its lower-cased words, word pairs, triples and pairs
-with one word between, from the whole text. FTRL-proximal (McMahan et al. 2013) has a learning
+A text's features are the distinct hashes of its lower-cased words, their first four and five letters,
+word pairs, triples and pairs with one word between, from the whole text. FTRL-proximal (McMahan et al. 2013) has a learning
 rate per coordinate and an L1 term that keeps most weights at exactly zero; what is broadcast is
 the non-zero ones, at most 2**BITS.
 
@@ -25,22 +25,25 @@ from stonecrop.llm.common import labelled_sample, map_rows, raw_texts
 BITS = 20
 #: Labelled rows that are learned from at most.
 TRAIN_ROWS = 12_000
+#: Words whose hashes a worker keeps, about 100 MB.
+REMEMBERED = 300_000
 words = re.compile(r"[^\W\d_]+").findall
 
 
-def hashed(text: str, bits: int = BITS, memory: dict[str, int] | None = None) -> np.ndarray:
-    """The distinct feature numbers of a text."""
+def hashed(text: str, bits: int = BITS, memory: dict[str, tuple] | None = None) -> np.ndarray:
+    """The distinct feature numbers of a text; ``memory`` keeps the hashes of words between calls."""
     memory = {} if memory is None else memory
     found = words(text.lower())
-    if len(memory) > 500_000:
-        memory.clear()
-    for w in set(found) - memory.keys():
-        memory[w] = zlib.crc32(w.encode()) * 0x9E3779B97F4A7C15 & 2**64 - 1
-    h = np.array([memory[w] for w in found], np.uint64)
-    if not len(h):
+    if not found:
         return np.empty(0, np.int64)
+    if len(memory) > REMEMBERED:
+        memory.clear()
+    for w in set(found):
+        if w not in memory:
+            memory[w] = tuple(zlib.crc32(x) * 0x9E3779B97F4A7C15 & 2**64 - 1 for x in (w.encode(), b"4" + w[:4].encode(), b"5" + w[:5].encode()))
+    h, four, five = np.array([memory[w] for w in found], np.uint64).T
     p, q = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
-    grams = [h]
+    grams = [h, four, five]
     if len(h) > 1:
         grams.append((h[:-1] * p) ^ (h[1:] * q))
     if len(h) > 2:
@@ -63,7 +66,7 @@ class Model:
         return w
 
 
-def ftrl(rows: list[tuple[np.ndarray, int]], bits: int = BITS, alpha: float = 0.1, beta: float = 1.0, l1: float = 1.0, l2: float = 1.0, epochs: int = 3) -> Model:
+def ftrl(rows: list[tuple[np.ndarray, int]], bits: int = BITS, alpha: float = 0.5, beta: float = 1.0, l1: float = 8.0, l2: float = 1.0, epochs: int = 5) -> Model:
     """Online FTRL-proximal over ``rows`` of (feature numbers, 0 or 1)."""
     z, n = np.zeros(1 << bits), np.zeros(1 << bits)
     bias = rate = 0.0
