@@ -74,7 +74,11 @@ def leaders(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         decided = materialize(step if decided is None else decided.unionByName(step), "leaders")
         done = decided.select("node")
         open_edges = materialize(open_edges.join(done.withColumnRenamed("node", "u"), "u", "left_anti").join(done.withColumnRenamed("node", "v"), "v", "left_anti").select("u", "v"), "leaders-open")
-    return decided if decided is not None else both.select(F.col("u").alias("node"), F.col("v").alias("leader"))
+    if decided is None:
+        return both.select(F.col("u").alias("node"), F.col("v").alias("leader"))
+    # whose neighbours have all joined others leads itself alone
+    alone = both.select(F.col("u").alias("node")).distinct().join(decided.select("node"), "node", "left_anti")
+    return decided.unionByName(alone.select("node", F.col("node").alias("leader")))
 
 
 def hamming_pairs(rows: DataFrame, most: int, id_col: str = "id", hash_col: str = "hash") -> DataFrame:

@@ -17,6 +17,7 @@ import time
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -93,12 +94,13 @@ class Subtree(InputPartition):
 
 class TreeReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
+        options = {k.lower(): v for k, v in options.items()}
         flag = lambda k, d: str(options.get(k, d)).lower() == "true"
         self.root = os.path.abspath(os.path.expanduser(options["path"]))
-        depth = options.get("maxDepth", "")
+        depth = options.get("maxdepth", "")
         self.max_depth = int(depth) if str(depth).isdigit() else None
         self.hidden, self.ignore = flag("hidden", "true"), flag("ignore", "false")
-        self.stats, self.hashes = flag("withStats", "true"), flag("computeHash", "false")
+        self.stats, self.hashes = flag("withstats", "true"), flag("computehash", "false")
 
     def partitions(self) -> list[InputPartition]:
         if not os.path.isdir(self.root):
@@ -159,8 +161,6 @@ def with_root(entries: DataFrame, path: str) -> DataFrame:
 def stat_paths(df: DataFrame, path_col: str = "path", base: str | None = None, compute_hash: bool = False) -> DataFrame:
     """``df`` with the file-stat columns of each path, replacing any it has; null, and ``{}`` for xattrs, where it isn't there."""
     wanted = ["size_bytes", "modified_time", "created_time", "is_file", "is_dir", "owner", "group", "mode_str", "inode", "nlink", "sha256", "xattrs"]
-    import pandas as pd
-
     names = [x.split()[0].strip("`") for x in SCHEMA.split(", ")]
     kind = "struct<" + ",".join(f"`{n}`:{dict(x.replace('`', '').split() for x in SCHEMA.split(', '))[n]}" for n in wanted) + ">"
 
