@@ -98,9 +98,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, limit: i
     """(id, text, label) of at most ``limit`` labelled documents, the least by a hash of the id.
 
     ``limit`` is the bound of the sample, so the ids (8 bytes each) may be broadcast.
-    A document with two labels counts with each; rows without id, text or label are left out.
+    Of several labels of an id the least counts; rows without id, text or label are left out.
     """
     chosen = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).dropna()
-    chosen = chosen.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    chosen = chosen.groupBy("doc_id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).dropna()
     return texts.join(F.broadcast(chosen), "doc_id")
