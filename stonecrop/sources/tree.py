@@ -1,7 +1,7 @@
 """Directory trees as a Spark data source.
 
 The built-in file source shows neither hidden entries nor empty folders, so trees have a source of their own.
-The driver lists the root only; each of its entries is a partition and is walked by a task.
+The driver lists the root, and deeper levels while subtrees are few; tasks walk the subtrees.
 
 Symbolic links are neither counted nor followed. With ``maxDepth`` d, folders to depth d and files to
 depth d + 1 are returned. Entries that can't be read are left out.
@@ -9,6 +9,8 @@ depth d + 1 are returned. Entries that can't be read are left out.
 
 from __future__ import annotations
 
+import functools
+import itertools
 import json
 import os
 import re
@@ -30,6 +32,7 @@ IGNORED = frozenset(".git .hg .svn __pycache__ .mypy_cache .pytest_cache .ruff_c
 RETRIES = 3
 
 
+@functools.lru_cache(1024)
 def _name(kind: str, number: int) -> str:
     import grp
     import pwd
@@ -40,7 +43,8 @@ def _name(kind: str, number: int) -> str:
         return str(number)
 
 
-def _time(t: float) -> str:
+@functools.lru_cache(4096)
+def _time(t: int) -> str:
     return time.strftime("%Y-%m-%d %H:%M:%S", time.localtime(t))
 
 
@@ -65,8 +69,15 @@ def attributes(path: str) -> str:
     return json.dumps(found)
 
 
-def row(path: str, depth: int, stats: bool, hashes: bool) -> tuple | None:
-    """A row of ``SCHEMA``; null for links and what can't be read."""
+def row(path: str, depth: int, stats: bool, hashes: bool, entry: os.DirEntry | None = None) -> tuple | None:
+    """A row of ``SCHEMA``; null for links and what can't be read. Without ``stats`` the kind of a listed entry costs no call."""
+    if entry is not None and not stats:
+        try:
+            if entry.is_symlink():
+                return None
+            return (path, entry.name, entry.is_file(follow_symlinks=False), entry.is_dir(follow_symlinks=False), depth, *[None] * 11)
+        except OSError:
+            return None
     for attempt in range(RETRIES):
         try:
             s = os.lstat(path)
@@ -77,19 +88,25 @@ def row(path: str, depth: int, stats: bool, hashes: bool) -> tuple | None:
             if attempt == RETRIES - 1:
                 return None
             time.sleep(0.01 * 2**attempt)
-    is_dir, is_file = stat.S_ISDIR(s.st_mode), stat.S_ISREG(s.st_mode)
     if stat.S_ISLNK(s.st_mode):
         return None
+    is_dir, is_file = stat.S_ISDIR(s.st_mode), stat.S_ISREG(s.st_mode)
     head = (path, os.path.basename(path), is_file, is_dir, depth, s.st_size)
     if not stats:
         return (*head, *[None] * 10)
-    return (*head, _time(s.st_mtime), _time(s.st_ctime), s.st_mtime, _name("u", s.st_uid), _name("g", s.st_gid), stat.filemode(s.st_mode), s.st_ino, s.st_nlink, file_hash(path) if hashes and is_file else None, attributes(path))
+    return (*head, _time(int(s.st_mtime)), _time(int(s.st_ctime)), s.st_mtime, _name("u", s.st_uid), _name("g", s.st_gid), stat.filemode(s.st_mode), s.st_ino, s.st_nlink, file_hash(path) if hashes and is_file else None, attributes(path))
+
 
+#: Tasks of a scan at most, subtrees that the driver looks for, and entries of a folder that it lists at most for that.
+TASKS, SPREAD, LISTED = 256, 64, 10_000
 
-class Subtree(InputPartition):
-    def __init__(self, top: str) -> None:
-        super().__init__(top)
-        self.top = top
+
+class Subtrees(InputPartition):
+    """Paths with their depth, and whether to walk what is below."""
+
+    def __init__(self, tops: list[tuple[str, int, bool]]) -> None:
+        super().__init__(tops)
+        self.tops = tops
 
 
 class TreeReader(DataSourceReader):
@@ -103,9 +120,29 @@ class TreeReader(DataSourceReader):
         self.stats, self.hashes = flag("withstats", "true"), flag("computehash", "false")
 
     def partitions(self) -> list[InputPartition]:
+        """Subtrees, one level deeper as long as they are few; a folder of many entries is left to a task."""
         if not os.path.isdir(self.root):
             raise ValueError(f"not a directory: {self.root}")
-        return [Subtree(e.path) for e in sorted(os.scandir(self.root), key=lambda e: e.name)] or [Subtree("")]
+        alone: list[tuple[str, int, bool]] = []
+        whole = [(e.path, 1, True) for e in sorted(os.scandir(self.root), key=lambda e: e.name)]
+        for _ in range(3):
+            folders = [t for t in whole if os.path.isdir(t[0]) and not os.path.islink(t[0])] if len(whole) < SPREAD else []
+            if not folders:
+                break
+            for t in folders:
+                if not self.wanted(os.path.basename(t[0]), True, t[1]):
+                    continue
+                try:
+                    below = [(e.path, t[1] + 1, True) for e in itertools.islice(os.scandir(t[0]), LISTED + 1)]
+                except OSError:
+                    continue
+                if len(below) <= LISTED:
+                    whole.remove(t)
+                    alone.append((*t[:2], False))
+                    whole += below
+        tops = alone + whole
+        step = max(1, -(-len(tops) // TASKS))
+        return [Subtrees(tops[i::-(-len(tops) // step)]) for i in range(-(-len(tops) // step))] or [Subtrees([])]
 
     def wanted(self, name: str, is_dir: bool, depth: int) -> bool:
         if name.startswith(".") and not self.hidden:
@@ -114,19 +151,17 @@ class TreeReader(DataSourceReader):
             return False
         return self.max_depth is None or depth <= self.max_depth + (not is_dir)
 
-    def read(self, partition: Subtree) -> Iterator[tuple]:
-        if not partition.top:
-            return
-        waiting = [(partition.top, 1)]
+    def read(self, partition: Subtrees) -> Iterator[tuple]:
+        waiting: list[tuple] = [(*t, None) for t in partition.tops]
         while waiting:
-            path, depth = waiting.pop()
-            found = row(path, depth, self.stats, self.hashes)
+            path, depth, walk, entry = waiting.pop()
+            found = row(path, depth, self.stats, self.hashes, entry)
             if found is None or not self.wanted(found[1], found[3], depth):
                 continue
             yield found
-            if found[3]:
+            if found[3] and walk:
                 try:
-                    waiting += [(e.path, depth + 1) for e in os.scandir(path)]
+                    waiting += [(e.path, depth + 1, True, e) for e in os.scandir(path)]
                 except OSError:
                     continue
 
@@ -169,8 +204,9 @@ def stat_paths(df: DataFrame, path_col: str = "path", base: str | None = None, c
         rows = []
         for p in given:
             found = row(os.path.join(base or "", p), 0, True, compute_hash) if p is not None else None
-            rows.append(dict(zip(names, found, strict=True)) if found else {"xattrs": "{}"})
-        return pd.DataFrame(rows).reindex(columns=wanted).astype({"size_bytes": "Int64", "inode": "Int64", "nlink": "Int64"})
+            one = dict(zip(names, found, strict=True)) if found else {"xattrs": "{}"}
+            rows.append([one.get(c) for c in wanted])
+        return pd.DataFrame(rows, columns=wanted, dtype=object)
 
     out = df.drop(*[c for c in wanted if c in df.columns and c != path_col]).withColumn("__s", stats(F.col(path_col)))
     return out.select(*[F.col(f"`{c}`") for c in out.columns if c != "__s"], *[F.col(f"__s.`{c}`").alias(c) for c in wanted])
@@ -206,7 +242,7 @@ def probe_file(path: str, compute_hash: bool = False) -> FileRecord:
     link = stat.S_ISLNK(s.st_mode)
     rights = {k: os.access(path, m) for k, m in (("read", os.R_OK), ("write", os.W_OK), ("execute", os.X_OK))}
     return FileRecord(
-        os.path.abspath(path), s.st_size, oct(s.st_mode), stat.filemode(s.st_mode), _name("u", s.st_uid), _name("g", s.st_gid), _time(s.st_ctime), _time(s.st_mtime), _time(s.st_atime), link,
+        os.path.abspath(path), s.st_size, oct(s.st_mode), stat.filemode(s.st_mode), _name("u", s.st_uid), _name("g", s.st_gid), _time(int(s.st_ctime)), _time(int(s.st_mtime)), _time(int(s.st_atime)), link,
         None if link else stat.S_ISREG(s.st_mode), None if link else stat.S_ISDIR(s.st_mode), os.path.isfile(path) if link else None, os.path.isdir(path) if link else None,
         rights, s.st_ino, s.st_nlink, file_hash(path) if compute_hash and os.path.isfile(path) else None, json.loads(attributes(path)),
     )
