@@ -2,29 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def as_of(left: DataFrame, right: DataFrame, on: str, by: list[str], values: list[str]) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, on: str, by: list[str], values: list[str], span: Callable[[Column], Column] | None = None) -> DataFrame:
     """``left`` with ``values`` of the last row of ``right`` at or before its ``on``, within equal ``by``.
 
     One sort of the union carries the last row forward, so no pairs are made. Of rows of ``right`` at one
-    time the greatest values count.
+    time the greatest values count. ``span`` maps ``on`` to a growing span, such as its day: then rows are
+    sorted by key and span, and what each span begins with comes from the last rows of the spans before, so a
+    key with a large share of all rows isn't one task.
     """
     keys = [*by, on]
     packed = right.groupBy(*keys).agg(F.max(F.struct(*values)).alias("__v"))
     both = left.withColumn("__v", F.lit(None).cast(packed.schema["__v"].dataType)).withColumn("__left", F.lit(1))
     rows = both.unionByName(packed.withColumn("__left", F.lit(0)), allowMissingColumns=True)
-    w = Window.partitionBy(*by).orderBy(on, "__left").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = rows.withColumn("__v", F.last("__v", ignorenulls=True).over(w)).filter("__left = 1")
+    if span is None:
+        rows, parts, found = rows.withColumn("__carried", F.lit(None).cast(packed.schema["__v"].dataType)), by, F.col("__v")
+    else:
+        rows = rows.withColumn("__span", span(F.col(on)))
+        ends = rows.groupBy(*by, "__span").agg(F.max_by("__v", F.when(F.col("__left") == 0, F.col(on))).alias("__end"))
+        before = Window.partitionBy(*by).orderBy("__span").rowsBetween(Window.unboundedPreceding, -1)
+        carried = ends.select(*by, "__span", F.last("__end", ignorenulls=True).over(before).alias("__carried"))
+        rows, parts, found = rows.join(carried, [*by, "__span"]), [*by, "__span"], F.col("__v")
+    w = Window.partitionBy(*parts).orderBy(on, "__left").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = rows.withColumn("__v", F.coalesce(F.last(found, ignorenulls=True).over(w), F.col("__carried"))).filter("__left = 1")
     return out.select(*left.columns, *[F.col(f"__v.{v}").alias(v) for v in values])
 
 
-def describe(df: DataFrame, columns: list[str], percentiles: tuple[float, ...] = (0.25, 0.5, 0.75)) -> DataFrame:
-    """A row per column: n, null_count, mean, std, min, the percentiles (nearest value), max; one pass."""
-    packed = [F.struct(F.lit(c).alias("column"), F.count(c).alias("n"), F.count(F.when(F.col(c).isNull(), 1)).alias("null_count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(F.col(c).cast("double")).alias("min"), *[F.expr(f"percentile_disc({p}) within group (order by cast(`{c}` as double))").alias(f"p{round(p * 100)}") for p in percentiles], F.max(F.col(c).cast("double")).alias("max")) for c in columns]
+def describe(df: DataFrame, columns: list[str], percentiles: tuple[float, ...] = (0.25, 0.5, 0.75), exact: bool = True) -> DataFrame:
+    """A row per column: n, null_count, mean, std, min, the percentiles (nearest value), max; one pass.
+
+    Exact percentiles keep a count of each distinct value; for columns with very many, ``exact=False``
+    sketches them to within a ten-thousandth of the ranks, in bounded memory.
+    """
+    at = "percentile_disc({p}) within group (order by cast(`{c}` as double))" if exact else "approx_percentile(cast(`{c}` as double), {p}, 10000)"
+    packed = [F.struct(F.lit(c).alias("column"), F.count(c).alias("n"), F.count(F.when(F.col(c).isNull(), 1)).alias("null_count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(F.col(c).cast("double")).alias("min"), *[F.expr(at.format(p=p, c=c)).alias(f"p{round(p * 100)}") for p in percentiles], F.max(F.col(c).cast("double")).alias("max")) for c in columns]
     return df.agg(F.array(*packed).alias("x")).select(F.inline("x"))
 
 

@@ -519,7 +519,7 @@ def j12_cross(spark, sf_dir):
 SELECT event_id, p.value AS last_value FROM e ASOF LEFT JOIN p ON e.user_id = p.user_id AND e.ts >= p.ts""")
 def j12_as_of(spark, sf_dir):
     events = read(spark, sf_dir, "events")
-    found = relational.as_of(events.filter("event_type = 'click'").select("event_id", "user_id", "ts"), events.filter("event_type = 'purchase'").select("user_id", "ts", "value"), "ts", ["user_id"], ["value"])
+    found = relational.as_of(events.filter("event_type = 'click'").select("event_id", "user_id", "ts"), events.filter("event_type = 'purchase'").select("user_id", "ts", "value"), "ts", ["user_id"], ["value"], span=F.to_date)
     return found.select("event_id", F.col("value").alias("last_value"))
 
 

@@ -222,6 +222,12 @@ def test_as_of_and_order(spark):
     left = spark.createDataFrame([(1, 5), (1, 0), (2, 5)], "k int, t int")
     right = spark.createDataFrame([(1, 1, "a"), (1, 5, "b")], "k int, t int, v string")
     assert {tuple(r) for r in relational.as_of(left, right, "t", ["k"], ["v"]).collect()} == {(1, 5, "b"), (1, 0, None), (2, 5, None)}
+    r = random.Random(0)
+    many = spark.createDataFrame([(r.randrange(2), r.randrange(60), i) for i in range(80)], "k int, t int, i int")
+    marks = spark.createDataFrame([(r.randrange(2), r.randrange(60), str(i)) for i in range(12)], "k int, t int, v string")
+    plain, spans = (relational.as_of(many, marks, "t", ["k"], ["v"], span=s).orderBy("i").collect() for s in (None, lambda t: F.floor(t / 7)))
+    assert plain == spans and len(plain) == 80
+    assert [x["p50"] for x in relational.describe(many, ["i"], exact=False).collect()] == [39.0]
     assert [r["t"] for r in relational.tail(left.filter("k = 1"), 1, ["t"]).collect()] == [5]
     assert relational.info(left).collect()[0]["null_count"] == 0
 
