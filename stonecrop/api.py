@@ -18,7 +18,7 @@ def probe(spark: SparkSession, path: str, max_depth: int | None = None) -> profi
     """The record of a file, or the profile of a directory."""
     if os.path.isfile(path):
         return tree.probe_file(path)
-    return profile.Profile(tree.with_root(tree.scan(spark, path, max_depth), path))
+    return profile.Profile(tree.with_root(tree.scan(spark, path, max_depth, lean=True), path))
 
 
 def probe_to_frame(spark: SparkSession, path: str, max_depth: int | None = None, enrich: bool = True, compute_hash: bool = False) -> FileFrame:

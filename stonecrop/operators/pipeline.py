@@ -77,7 +77,7 @@ class Dataset:
         return self._frame[1]
 
     def probe(self) -> profile.Profile:
-        return profile.Profile(tree.with_root(tree.scan(self.spark, self.root), self.root))
+        return profile.Profile(tree.with_root(tree.scan(self.spark, self.root, lean=True), self.root))
 
     def snap(self, mode: str = "fast", pattern: str | None = None, include_hidden: bool = True) -> integrity.Snapshot:
         files = tree.scan(self.spark, self.root).filter("is_file")

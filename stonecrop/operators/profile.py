@@ -40,22 +40,29 @@ def tree_of(files: DataFrame, path_col: str = "path", size_col: str | None = Non
 
 
 def summary(entries: DataFrame) -> DataFrame:
-    """One row: total_files, total_folders (the root counts), total_size_bytes, total_size_mb, avg_files_per_folder, max_depth, empty_folder_count."""
+    """One row: total_files, total_folders (the root counts), total_size_bytes, total_size_mb, avg_files_per_folder, max_depth, empty_folder_count.
+
+    One pass where folders know how many entries they have (``n_entries``).
+    """
     files, folders = F.sum((~F.col("is_dir")).cast("long")), F.sum(F.col("is_dir").cast("long"))
     size = F.sum(F.when(~F.col("is_dir"), F.col("size_bytes")).otherwise(0))
-    one = entries.agg(
+    totals = [
         F.coalesce(files, F.lit(0)).alias("total_files"),
         F.coalesce(folders, F.lit(0)).alias("total_folders"),
         F.coalesce(size, F.lit(0)).alias("total_size_bytes"),
         F.bround(F.coalesce(size, F.lit(0)) / 1048576, 2).alias("total_size_mb"),
         F.bround(F.when(folders > 0, files / folders).otherwise(0.0), 2).alias("avg_files_per_folder"),
         F.coalesce(F.max("depth"), F.lit(0)).alias("max_depth"),
-    )
-    return one.join(F.broadcast(empty_folders(entries).agg(F.count("*").alias("empty_folder_count"))))
+    ]
+    if "n_entries" in entries.columns:
+        return entries.agg(*totals, F.count(F.when(F.col("is_dir") & (F.col("n_entries") == 0), 1)).alias("empty_folder_count"))
+    return entries.agg(*totals).join(F.broadcast(empty_folders(entries).agg(F.count("*").alias("empty_folder_count"))))
 
 
 def empty_folders(entries: DataFrame) -> DataFrame:
-    """Folders without any entry below, hidden ones counted."""
+    """Folders without any entry in them, hidden ones counted: by ``n_entries``, else those that are no entry's parent."""
+    if "n_entries" in entries.columns:
+        return entries.filter("is_dir and n_entries = 0").select("path")
     parents = entries.filter("depth > 0").select(paths.parent(F.col("path")).alias("path")).distinct()
     return entries.filter("is_dir").select("path").join(parents, "path", "left_anti")
 

@@ -16,10 +16,12 @@ import os
 import re
 import stat
 import time
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -29,6 +31,9 @@ from stonecrop.functions import paths, units
 SCHEMA = "path string, name string, is_file boolean, is_dir boolean, depth long, size_bytes long, modified_time string, created_time string, mtime double, owner string, `group` string, mode_str string, inode long, nlink long, sha256 string, xattrs string"
 #: Folders that version control and tools make, left out if ``ignore`` is set.
 IGNORED = frozenset(".git .hg .svn __pycache__ .mypy_cache .pytest_cache .ruff_cache .tox .nox .venv venv env node_modules target dist build .next .nuxt .cache .idea .vscode".split())
+#: What a profile needs: one call an entry, in Arrow batches. ``n_entries`` counts all that is in a folder, hidden entries and links too; null if it can't be read.
+LEAN = "path string, is_file boolean, is_dir boolean, depth long, size_bytes long, n_entries long"
+BATCH = 20_000
 RETRIES = 3
 
 
@@ -69,6 +74,24 @@ def attributes(path: str) -> str:
     return json.dumps(found)
 
 
+def attempted(call: Callable, *args: Any, **kwargs: Any) -> Any:
+    """What a file system call gives; null once it fails for good."""
+    for attempt in range(RETRIES):
+        try:
+            return call(*args, **kwargs)
+        except (FileNotFoundError, PermissionError):
+            return None
+        except OSError:
+            if attempt < RETRIES - 1:
+                time.sleep(0.01 * 2**attempt)
+    return None
+
+
+def listed(path: str) -> list[os.DirEntry]:
+    with os.scandir(path) as found:
+        return list(found)
+
+
 def row(path: str, depth: int, stats: bool, hashes: bool, entry: os.DirEntry | None = None) -> tuple | None:
     """A row of ``SCHEMA``; null for links and what can't be read. Without ``stats`` the kind of a listed entry costs no call."""
     if entry is not None and not stats:
@@ -78,17 +101,8 @@ def row(path: str, depth: int, stats: bool, hashes: bool, entry: os.DirEntry | N
             return (path, entry.name, entry.is_file(follow_symlinks=False), entry.is_dir(follow_symlinks=False), depth, *[None] * 11)
         except OSError:
             return None
-    for attempt in range(RETRIES):
-        try:
-            s = os.lstat(path)
-            break
-        except FileNotFoundError:
-            return None
-        except OSError:
-            if attempt == RETRIES - 1:
-                return None
-            time.sleep(0.01 * 2**attempt)
-    if stat.S_ISLNK(s.st_mode):
+    s = attempted(os.lstat, path)
+    if s is None or stat.S_ISLNK(s.st_mode):
         return None
     is_dir, is_file = stat.S_ISDIR(s.st_mode), stat.S_ISREG(s.st_mode)
     head = (path, os.path.basename(path), is_file, is_dir, depth, s.st_size)
@@ -97,8 +111,8 @@ def row(path: str, depth: int, stats: bool, hashes: bool, entry: os.DirEntry | N
     return (*head, _time(int(s.st_mtime)), _time(int(s.st_ctime)), s.st_mtime, _name("u", s.st_uid), _name("g", s.st_gid), stat.filemode(s.st_mode), s.st_ino, s.st_nlink, file_hash(path) if hashes and is_file else None, attributes(path))
 
 
-#: Tasks of a scan at most, subtrees that the driver looks for, and entries of a folder that it lists at most for that.
-TASKS, SPREAD, LISTED = 256, 64, 10_000
+#: Tasks a core of a scan at most, and entries of a folder that the driver lists at most to find as many subtrees.
+TASKS_A_CORE, LISTED = 4, 10_000
 
 
 class Subtrees(InputPartition):
@@ -118,6 +132,8 @@ class TreeReader(DataSourceReader):
         self.max_depth = int(depth) if str(depth).isdigit() else None
         self.hidden, self.ignore = flag("hidden", "true"), flag("ignore", "false")
         self.stats, self.hashes = flag("withstats", "true"), flag("computehash", "false")
+        self.lean = flag("lean", "false")
+        self.tasks = int(options.get("tasks", "64"))
 
     def partitions(self) -> list[InputPartition]:
         """Subtrees, one level deeper as long as they are few; a folder of many entries is left to a task."""
@@ -126,7 +142,7 @@ class TreeReader(DataSourceReader):
         alone: list[tuple[str, int, bool]] = []
         whole = [(e.path, 1, True) for e in sorted(os.scandir(self.root), key=lambda e: e.name)]
         for _ in range(3):
-            folders = [t for t in whole if os.path.isdir(t[0]) and not os.path.islink(t[0])] if len(whole) < SPREAD else []
+            folders = [t for t in whole if os.path.isdir(t[0]) and not os.path.islink(t[0])] if len(whole) < self.tasks else []
             if not folders:
                 break
             for t in folders:
@@ -141,7 +157,7 @@ class TreeReader(DataSourceReader):
                     alone.append((*t[:2], False))
                     whole += below
         tops = alone + whole
-        step = max(1, -(-len(tops) // TASKS))
+        step = max(1, -(-len(tops) // self.tasks))
         return [Subtrees(tops[i::-(-len(tops) // step)]) for i in range(-(-len(tops) // step))] or [Subtrees([])]
 
     def wanted(self, name: str, is_dir: bool, depth: int) -> bool:
@@ -151,7 +167,44 @@ class TreeReader(DataSourceReader):
             return False
         return self.max_depth is None or depth <= self.max_depth + (not is_dir)
 
-    def read(self, partition: Subtrees) -> Iterator[tuple]:
+    def read(self, partition: Subtrees) -> Iterator[tuple] | Iterator[pa.RecordBatch]:
+        return self.read_lean(partition) if self.lean else self.read_rows(partition)
+
+    def read_lean(self, partition: Subtrees) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        folders: list[tuple[str, int, bool, int]] = []
+
+        def take(path: str, name: str, depth: int, walk: bool, s: os.stat_result) -> None:
+            is_dir = stat.S_ISDIR(s.st_mode)
+            if stat.S_ISLNK(s.st_mode) or not self.wanted(name, is_dir, depth):
+                return
+            if is_dir:
+                folders.append((path, depth, walk, s.st_size))
+            else:
+                rows.append((path, stat.S_ISREG(s.st_mode), False, depth, s.st_size, None))
+
+        def batch() -> pa.RecordBatch:
+            kinds = {"string": pa.string(), "boolean": pa.bool_(), "long": pa.int64()}
+            fields = [x.split() for x in LEAN.split(", ")]
+            return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*rows, strict=True), fields, strict=True)], names=[n for n, _ in fields])
+
+        for path, depth, walk in partition.tops:
+            if (s := attempted(os.lstat, path)) is not None:
+                take(path, os.path.basename(path), depth, walk, s)
+        while folders:
+            path, depth, walk, size = folders.pop()
+            entries = attempted(listed, path)
+            rows.append((path, False, True, depth, size, None if entries is None else len(entries)))
+            for e in entries or () if walk else ():
+                if (s := attempted(e.stat, follow_symlinks=False)) is not None:
+                    take(e.path, e.name, depth + 1, True, s)
+                if len(rows) >= BATCH:
+                    yield batch()
+                    rows.clear()
+        if rows:
+            yield batch()
+
+    def read_rows(self, partition: Subtrees) -> Iterator[tuple]:
         waiting: list[tuple] = [(*t, None) for t in partition.tops]
         while waiting:
             path, depth, walk, entry = waiting.pop()
@@ -167,30 +220,34 @@ class TreeReader(DataSourceReader):
 
 
 class TreeSource(DataSource):
-    """Format ``tree``; options path, maxDepth, hidden, ignore, withStats, computeHash."""
+    """Format ``tree``; options path, maxDepth, hidden, ignore, withStats, computeHash, lean, tasks."""
 
     @classmethod
     def name(cls) -> str:
         return "tree"
 
     def schema(self) -> str:
-        return SCHEMA
+        return LEAN if dict(self.options).get("lean", "false").lower() == "true" else SCHEMA
 
     def reader(self, schema: object) -> TreeReader:
         return TreeReader(dict(self.options))
 
 
-def scan(spark: SparkSession, path: str, max_depth: int | None = None, hidden: bool = True, ignore: bool = False, with_stats: bool = True, compute_hash: bool = False) -> DataFrame:
-    """All entries below ``path``, not the root itself."""
+def scan(spark: SparkSession, path: str, max_depth: int | None = None, hidden: bool = True, ignore: bool = False, with_stats: bool = True, compute_hash: bool = False, lean: bool = False) -> DataFrame:
+    """All entries below ``path``, not the root itself; with the columns of ``LEAN`` if ``lean``."""
     spark.dataSource.register(TreeSource)
-    reader = spark.read.format("tree").option("path", path).option("hidden", hidden).option("ignore", ignore).option("withStats", with_stats).option("computeHash", compute_hash)
+    reader = spark.read.format("tree").option("path", path).option("hidden", hidden).option("ignore", ignore).option("withStats", with_stats).option("computeHash", compute_hash).option("lean", lean).option("tasks", TASKS_A_CORE * spark.sparkContext.defaultParallelism)
     return (reader.option("maxDepth", max_depth) if max_depth is not None else reader).load()
 
 
 def with_root(entries: DataFrame, path: str) -> DataFrame:
-    """Entries (path, is_dir, depth, size_bytes) with the root at depth 0, for profiles."""
-    root = entries.sparkSession.createDataFrame([(os.path.abspath(path), True, 0, 0)], "path string, is_dir boolean, depth long, size_bytes long")
-    return root.unionByName(entries.filter("is_dir or is_file").select("path", "is_dir", "depth", "size_bytes"))
+    """Entries (path, is_dir, depth, size_bytes, and n_entries if it is there) with the root at depth 0, for profiles."""
+    columns = {"path": "string", "is_dir": "boolean", "depth": "long", "size_bytes": "long", "n_entries": "long"}
+    names = [c for c in columns if c in entries.columns]
+    found = attempted(listed, path)
+    one = {"path": os.path.abspath(path), "is_dir": True, "depth": 0, "size_bytes": 0, "n_entries": None if found is None else len(found)}
+    root = entries.sparkSession.range(1).select(*[F.lit(one[c]).cast(columns[c]).alias(c) for c in names])
+    return root.unionByName(entries.filter("is_dir or is_file").select(*names))
 
 
 def stat_paths(df: DataFrame, path_col: str = "path", base: str | None = None, compute_hash: bool = False) -> DataFrame:

@@ -41,6 +41,24 @@ def test_profile(spark, project):
     assert p.to_dict()["depth_distribution"] == {0: 1, 1: 3, 2: 1, 3: 1}
 
 
+def test_lean_scan_equals_the_full_one(spark, project):
+    (project / "b/only").mkdir()
+    (project / "b/only/.hidden").write_text("")
+    (project / "linked").mkdir()
+    (project / "linked/to").symlink_to(project)
+    columns = ["path", "is_file", "is_dir", "depth", "size_bytes"]
+    for options in ({}, {"max_depth": 1}, {"hidden": False}):
+        want = {tuple(r) for r in tree.scan(spark, str(project), **options).select(*columns).collect()}
+        lean = tree.scan(spark, str(project), lean=True, **options)
+        assert {tuple(r) for r in lean.select(*columns).collect()} == want
+        # a folder with hidden entries, links or entries beyond the depth isn't empty
+        assert [r["path"] for r in profile.empty_folders(tree.with_root(lean, str(project))).collect()] == [str(project / "empty")]
+    bare = project / "bare"
+    bare.mkdir()
+    row = profile.summary(tree.with_root(tree.scan(spark, str(bare), lean=True), str(bare))).first()
+    assert (row["total_files"], row["total_folders"], row["empty_folder_count"]) == (0, 1, 1)
+
+
 def test_search(spark, project):
     rows = tree.scan(spark, str(project))
     assert tree.find_by_extension(rows, "txt").count() == 3
