@@ -87,11 +87,6 @@ def attempted(call: Callable, *args: Any, **kwargs: Any) -> Any:
     return None
 
 
-def listed(path: str) -> list[os.DirEntry]:
-    with os.scandir(path) as found:
-        return list(found)
-
-
 def row(path: str, depth: int, stats: bool, hashes: bool, entry: os.DirEntry | None = None) -> tuple | None:
     """A row of ``SCHEMA``; null for links and what can't be read. Without ``stats`` the kind of a listed entry costs no call."""
     if entry is not None and not stats:
@@ -167,10 +162,14 @@ class TreeReader(DataSourceReader):
             return False
         return self.max_depth is None or depth <= self.max_depth + (not is_dir)
 
-    def read(self, partition: Subtrees) -> Iterator[tuple] | Iterator[pa.RecordBatch]:
-        return self.read_lean(partition) if self.lean else self.read_rows(partition)
+    def read(self, partition: Subtrees) -> Iterator[pa.RecordBatch]:
+        kinds = {"string": pa.string(), "boolean": pa.bool_(), "long": pa.int64(), "double": pa.float64()}
+        fields = [x.replace("`", "").split() for x in (LEAN if self.lean else SCHEMA).split(", ")]
+        rows = self.read_lean(partition) if self.lean else self.read_rows(partition)
+        while some := list(itertools.islice(rows, BATCH)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*some, strict=True), fields, strict=True)], names=[n for n, _ in fields])
 
-    def read_lean(self, partition: Subtrees) -> Iterator[pa.RecordBatch]:
+    def read_lean(self, partition: Subtrees) -> Iterator[tuple]:
         rows: list[tuple] = []
         folders: list[tuple[str, int, bool, int]] = []
 
@@ -183,26 +182,24 @@ class TreeReader(DataSourceReader):
             else:
                 rows.append((path, stat.S_ISREG(s.st_mode), False, depth, s.st_size, None))
 
-        def batch() -> pa.RecordBatch:
-            kinds = {"string": pa.string(), "boolean": pa.bool_(), "long": pa.int64()}
-            fields = [x.split() for x in LEAN.split(", ")]
-            return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*rows, strict=True), fields, strict=True)], names=[n for n, _ in fields])
-
         for path, depth, walk in partition.tops:
             if (s := attempted(os.lstat, path)) is not None:
                 take(path, os.path.basename(path), depth, walk, s)
         while folders:
             path, depth, walk, size = folders.pop()
-            entries = attempted(listed, path)
-            rows.append((path, False, True, depth, size, None if entries is None else len(entries)))
-            for e in entries or () if walk else ():
-                if (s := attempted(e.stat, follow_symlinks=False)) is not None:
+            entries = attempted(os.scandir, path)
+            n = None if entries is None else 0
+            for e in entries or ():
+                n += 1
+                if walk and (s := attempted(e.stat, follow_symlinks=False)) is not None:
                     take(e.path, e.name, depth + 1, True, s)
                 if len(rows) >= BATCH:
-                    yield batch()
+                    yield from rows
                     rows.clear()
-        if rows:
-            yield batch()
+            rows.append((path, False, True, depth, size, n))
+            yield from rows
+            rows.clear()
+        yield from rows
 
     def read_rows(self, partition: Subtrees) -> Iterator[tuple]:
         waiting: list[tuple] = [(*t, None) for t in partition.tops]
@@ -244,7 +241,7 @@ def with_root(entries: DataFrame, path: str) -> DataFrame:
     """Entries (path, is_dir, depth, size_bytes, and n_entries if it is there) with the root at depth 0, for profiles."""
     columns = {"path": "string", "is_dir": "boolean", "depth": "long", "size_bytes": "long", "n_entries": "long"}
     names = [c for c in columns if c in entries.columns]
-    found = attempted(listed, path)
+    found = attempted(os.listdir, path)
     one = {"path": os.path.abspath(path), "is_dir": True, "depth": 0, "size_bytes": 0, "n_entries": None if found is None else len(found)}
     root = entries.sparkSession.range(1).select(*[F.lit(one[c]).cast(columns[c]).alias(c) for c in names])
     return root.unionByName(entries.filter("is_dir or is_file").select(*names))
