@@ -12,7 +12,9 @@ expression gives the label ``unparsed`` and no licences.
 
 from __future__ import annotations
 
+import operator
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,78 +48,86 @@ TAG = "spdx license identifier"
 TAG_AT = re.compile(r"spdx-license-identifier:[ \t]*([^\r\n]*)", re.I | re.A)
 #: All bytes to what they are in a phrase: letters in lower case, digits, bytes of other characters, else a space.
 WORDS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
+#: Licences that are permitted unless a caller says otherwise.
+PERMITTED = frozenset("0bsd apache-2.0 bsd-2-clause bsd-3-clause bsl-1.0 cc0-1.0 isc mit unlicense zlib".split())
 STRENGTH = {"or": 1, "and": 2, "with": 3}
-SCHEMA = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, places array<struct<label:string,start:long,words:long>>, expressions array<string>"
+SCHEMA = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, places array<struct<label:string,start:long,words:long>>, expressions array<string>, permitted boolean"
 
 
-def parse(expression: str) -> tuple | None:
-    """The tree of an expression: a licence, or (operator, left, right); None if it is malformed.
+def parse(expression: str) -> tuple[str, ...] | None:
+    """The expression in postfix order, licences in lower case; None if it is malformed.
 
-    Shunting-yard: operators wait on a stack until one that binds less comes.
+    Shunting-yard: operators wait on a stack until one that binds less comes. An exception is
+    one name that follows one licence, so WITH between parentheses is malformed.
     """
-    values, waiting = [], []
+    out: list[str] = []
+    waiting: list[str] = []
+    operand, before = True, ""  # whether one must come now; the token before
 
-    def reduce() -> bool:
-        if len(values) < 2 or waiting[-1] == "(":
-            return False
-        b, a = values.pop(), values.pop()
-        values.append((waiting.pop(), a, b))
-        return True
+    def settle(least: int) -> None:
+        while waiting and waiting[-1] != "(" and STRENGTH[waiting[-1]] >= least:
+            out.append(waiting.pop())
 
-    operand = True  # whether one must come now
     for token in re.findall(r"[()]|[^\s()]+", expression):
         low = token.lower()
-        if token == "(":
-            if not operand:
+        if low in STRENGTH or token == ")":
+            if operand or (low == "with" and before == ")"):
                 return None
-            waiting.append(token)
-        elif token == ")":
-            if operand:
-                return None
-            while waiting and waiting[-1] != "(":
-                if not reduce():
-                    return None
-            if not waiting:
-                return None
-            waiting.pop()
-        elif low in STRENGTH:
-            if operand:
+            settle(STRENGTH.get(low, 0))
+            if low in STRENGTH:
+                waiting.append(low)
+                operand = True
+            elif not waiting:
                 return None
-            while waiting and waiting[-1] != "(" and STRENGTH[waiting[-1]] >= STRENGTH[low]:
-                if not reduce():
-                    return None
-            waiting.append(low)
-            operand = True
-        else:
-            if not operand or not re.fullmatch(r"[A-Za-z0-9.+:-]+", token):
-                return None
-            values.append(low)
+            else:
+                waiting.pop()
+        elif not operand or (token == "(" and before == "with"):
+            return None
+        elif token == "(":
+            waiting.append(token)
+        elif re.fullmatch(r"[A-Za-z0-9.+:-]+", token):
+            out.append(low)
             operand = False
-    while waiting:
-        if not reduce():
+        else:
             return None
-    return values[0] if len(values) == 1 and not operand else None
+        before = low
+    settle(0)
+    return None if operand or waiting else tuple(out)
+
+
+def evaluated(postfix: tuple[str, ...], leaf: Callable, both: dict[str, Callable]):
+    """The value of an expression from those of its licences; without recursion, so of any depth."""
+    values = []
+    for token in postfix:
+        if token in STRENGTH:
+            b = values.pop()
+            values.append(both[token](values.pop(), b))
+        else:
+            values.append(leaf(token))
+    return values[0]
 
 
-def choices(tree: tuple | str) -> frozenset[frozenset[str]]:
+def choices(postfix: tuple[str, ...]) -> frozenset[frozenset[str]]:
     """The sets of licences that satisfy an expression: AND needs both, OR either; an exception qualifies its licence."""
-    if isinstance(tree, str):
-        return frozenset({frozenset({tree})})
-    operator, a, b = tree[0], choices(tree[1]), choices(tree[2])
-    if operator == "or":
-        return a | b
-    if operator == "and":
-        return frozenset(x | y for x in a for y in b)
-    return frozenset(frozenset({f"{'+'.join(sorted(x))} with {'+'.join(sorted(y))}"}) for x in a for y in b)
+    qualified = lambda a, b: frozenset({frozenset({f"{next(iter(next(iter(a))))} with {next(iter(next(iter(b))))}"})})
+    return evaluated(postfix, lambda x: frozenset({frozenset({x})}), {"or": operator.or_, "and": lambda a, b: frozenset(x | y for x in a for y in b), "with": qualified})
 
 
-def named(tree: tuple | str) -> set[str]:
+def named(postfix: tuple[str, ...]) -> set[str]:
     """Licences in an expression, with their exceptions."""
-    if isinstance(tree, str):
-        return {tree}
-    if tree[0] == "with":
-        return {f"{a} with {b}" for a in named(tree[1]) for b in named(tree[2])}
-    return named(tree[1]) | named(tree[2])
+    names: list[str] = []
+    for token in postfix:
+        if token == "with":
+            exception = names.pop()
+            names[-1] += f" with {exception}"
+        elif token not in STRENGTH:
+            names.append(token)
+    return set(names)
+
+
+def satisfied(postfix: tuple[str, ...], permitted: frozenset[str]) -> bool:
+    """Whether ``permitted`` licences suffice; an exception only adds permissions, so a permitted licence is so with any."""
+    return evaluated(postfix, lambda x: x in permitted, {"or": operator.or_, "and": operator.and_, "with": lambda a, _: a})
 
 
 def automaton():
@@ -130,7 +140,7 @@ def automaton():
     return found
 
 
-def scan(raw: bytes, phrases) -> tuple:
+def scan(raw: bytes, phrases, permitted: frozenset[str] = PERMITTED) -> tuple:
     """A row of ``SCHEMA``."""
     words = raw.translate(WORDS).split()
     joined = b" " + b" ".join(words) + b" "
@@ -146,14 +156,15 @@ def scan(raw: bytes, phrases) -> tuple:
     base = [(BASE[p], i) for p, i, _ in places if p in BASE]
     labels = {BASE.get(p) or NOTICES[p] for p, _, _ in places}
     strong = any(p in NOTICES for p, _, _ in places)
-    expressions, good = [], False
+    expressions, good, allowed = [], False, None
     if tagged:
         for m in TAG_AT.finditer(raw.decode()):
             text = re.sub(r"\s*(\*/|-->|#+|\")?\s*$", "", m[1]).strip()
             expressions.append(text)
-            tree = parse(text)
-            good |= tree is not None
-            labels |= {"unparsed"} if tree is None else {x for x in named(tree)}
+            postfix = parse(text)
+            good |= postfix is not None
+            labels |= {"unparsed"} if postfix is None else named(postfix)
+            allowed = allowed is not False and postfix is not None and satisfied(postfix, permitted)
     n = len(labels - {"unparsed"})
     score = 1.0 if good else max(1 - 0.5**n, 0.8 * strong) if n else 0.0
     starts = [i for _, i in base]
@@ -167,17 +178,18 @@ def scan(raw: bytes, phrases) -> tuple:
         score,
         [{"label": BASE.get(p) or NOTICES[p], "start": i, "words": k} for p, i, k in places],
         expressions,
+        allowed,
     )
 
 
-def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ``SCHEMA``): a row per document, with where each phrase stands and the raw expressions."""
+def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", permitted: frozenset[str] = PERMITTED) -> DataFrame:
+    """(doc_id, ``SCHEMA``): a row per document, with where each phrase stands, the raw expressions and whether ``permitted`` licences satisfy all of them (null without any)."""
     state: dict = {}
 
     def make(batch) -> list[list]:
         if not state:
             state["phrases"] = automaton()
-        rows = [scan(x, state["phrases"]) for x in raw_texts(batch.column(1))]
+        rows = [scan(x, state["phrases"], permitted) for x in raw_texts(batch.column(1))]
         return [batch.column(0), *map(list, zip(*rows, strict=True))]
 
     kind = f"doc_id {docs.schema[id_col].dataType.simpleString()}, {SCHEMA}"

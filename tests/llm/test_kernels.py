@@ -247,3 +247,27 @@ def test_compression_tells_apart():
     slope, intercept = compression.logistic(x, np.r_[np.ones(100), np.zeros(100)])
     assert ((slope * x + intercept > 0) == np.r_[np.ones(100), np.zeros(100)]).mean() > 0.98
     assert d(b"") == 0.0 and compression.dictionary([b"a"])
+
+
+def test_license_expressions_of_any_length():
+    long = licenses.parse(" AND ".join(["MIT"] * 20_000))
+    assert licenses.named(long) == {"mit"} and licenses.satisfied(long, licenses.PERMITTED)
+    deep = licenses.parse("(" * 20_000 + "GPL-2.0" + ")" * 20_000)
+    assert licenses.named(deep) == {"gpl-2.0"} and not licenses.satisfied(deep, licenses.PERMITTED)
+    assert licenses.parse("(") is None and licenses.parse("") is None and licenses.parse("(MIT OR ISC) WITH x") is None and licenses.parse("MIT WITH (x)") is None
+
+
+def test_license_permission_is_that_of_choices():
+    r = random.Random(5)
+    for _ in range(300):
+        n = r.randint(1, 6)
+        parts = [r.choice(["MIT", "ISC", "GPL-2.0", "GPL-2.0 WITH x", "MIT WITH y"]) for _ in range(n)]
+        text = parts[0]
+        for p in parts[1:]:
+            text = f"{text} {r.choice(['AND', 'OR'])} {p}"
+            if r.random() < 0.4:
+                text = f"({text})"
+        postfix = licenses.parse(text)
+        allowed = any(all(x.split()[0] in licenses.PERMITTED for x in c) for c in licenses.choices(postfix))
+        assert licenses.satisfied(postfix, licenses.PERMITTED) == allowed, text
+        assert set().union(*licenses.choices(postfix)) <= licenses.named(postfix)
