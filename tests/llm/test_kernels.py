@@ -186,6 +186,40 @@ def test_edited_copies_are_found():
     assert short.matches(short.encode("two words"), 0.6) == {}
 
 
+@pytest.mark.parametrize("corpus_counts", [False, True])
+def test_no_alignment_is_lost(corpus_counts):
+    """Every copy whose whole text aligns at the threshold is found, however its edits are spread, also by real counts."""
+    r = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(300)]
+    items = [(i, " ".join(r.choices(vocabulary, k=n))) for i, n in enumerate((3, 4, 5, 6, 13, 25, 40, 58))]
+    own = decontaminate.Items(items)
+    copies = []
+    for i, t in items:
+        w = t.split()
+        for every in (2, 3, 4, 5, 6):
+            for kind in ("replace", "drop", "insert"):
+                for offset in range(every):
+                    body = []
+                    for k, x in enumerate(w):
+                        edit = k % every == offset
+                        body += {"replace": ["x"], "drop": [], "insert": [x, "x"]}[kind] if edit else [x]
+                    copies.append((i, r.choices(["y", "z"], k=30) + body + r.choices(["y", "z"], k=30)))
+        copies.append((i, ["y", *" x ".join(w).split(), "y"]))
+    counts = np.zeros(len(own.codes), np.int64)
+    if corpus_counts:
+        for _, c in copies:
+            np.add.at(counts, own.found(own.encode(" ".join(c)))[1], 1)
+    own.choose(counts)
+    found = 0
+    for i, c in copies:
+        ids = own.encode(" ".join(c))
+        score = decontaminate.align(ids, own.words[i])[0] / (2 * len(own.words[i]))
+        got = own.matches(ids, 0.6)
+        assert (i in got) == (score >= 0.6) and (i not in got or got[i][0] == score), (items[i], c)
+        found += i in got
+    assert found > 100
+
+
 def test_ftrl_is_sparse_and_learns():
     r = random.Random(0)
     rows = []
