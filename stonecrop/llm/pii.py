@@ -113,18 +113,18 @@ def candidates(text: Column, base: Column) -> Column:
 
 
 def learned(found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(pattern) that are trusted and (inst) that are known but no seed, from candidates in column ``c``."""
+    """(pattern) that are trusted and (inst) that are known, seeds too, from candidates in column ``c``."""
     each = found.select("c.inst", "c.seed", F.explode("c.pats").alias("pattern"))
     edges = materialize(each.groupBy("pattern", "inst").agg(F.max("seed").alias("seed")), "pii-edges")
     known = edges.filter("seed").select("inst").distinct()
-    seeds, trusted = known, None
+    trusted = None
     for _ in range(ROUNDS):
         flagged = edges.join(known.withColumn("known", F.lit(1)), "inst", "left")
         scored = flagged.groupBy("pattern").agg(F.count("*").alias("n"), F.count("known").alias("f"))
         trusted = materialize(scored.filter((F.col("f") >= SUPPORT) & (F.col("f") >= CONFIDENCE * F.col("n"))).select("pattern"), "pii-patterns")
         drawn = edges.join(trusted, "pattern", "left_semi").groupBy("inst").agg(F.count("*").alias("n")).filter(F.col("n") >= AGREE)
         known = materialize(known.unionByName(drawn.select("inst")).distinct(), "pii-instances")
-    return trusted, known.join(seeds, "inst", "left_anti")
+    return trusted, known
 
 
 def marked(docs: DataFrame, text_col: str, carry: list[str], uid: str, base: str, added: str) -> DataFrame:

@@ -186,6 +186,12 @@ def test_pii_learns_contexts(spark):
     assert red[0][0] == "please contact [EMAIL] or wait" and red[0][1] == len(red[0][0]) and red[12][0] == "please contact [ID] or wait" and red[15][0] is None
 
 
+def test_pii_marks_the_text_of_seeds_elsewhere(spark):
+    texts = ["call +49 (30) 12345678 now", "stock item 12345678 left", "stock item 87654321 left"]
+    rows = {r["doc_id"]: r["added"] for r in pii.find(table(spark, list(enumerate(texts)))).collect()}
+    assert rows[0] == [] and [texts[1][x["s"] : x["e"]] for x in rows[1]] == ["12345678"] and rows[2] == []
+
+
 def test_pii_edges(spark, odd):
     assert pii.find(odd).count() == len(ODD) and pii.find(odd.limit(0)).count() == 0
     assert pii.redact(odd).columns == odd.columns
