@@ -1,12 +1,12 @@
 """Personal data: base patterns and bootstrapped contextual extraction. Native.
 
 1. Base spans: e-mail, IP, card and phone patterns with their tests.
-2. Candidates are tokens of five or more characters with a digit in them. Each has up to three
+2. Candidates are tokens of five or more letters of ASCII, digits and ``_ @ . + / -`` with a digit in them; identifiers without a digit are none. Each has up to three
    lexical patterns: the word before it, the two words before it, and the words on either side.
 3. Candidates that overlap base spans are the seed instances. A pattern's score is the share of its distinct
    instances that are known; one with ``SUPPORT`` known instances and a score of
    ``CONFIDENCE`` is trusted. An instance that ``AGREE`` trusted patterns extract becomes known, and
-   the patterns are scored again, ``ROUNDS`` times.
+   the patterns are scored again, until no instance is new.
 4. All candidates in a trusted pattern, or whose text is a known instance, are spans of kind ``id``.
 
 The graph is a table of distinct (pattern, instance) pairs in the shared folder, counted before it is
@@ -32,9 +32,9 @@ PATTERNS = {
 }
 #: What a text must hold for a pattern to be tried.
 HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){11}", "phone": r"\+[0-9]"}
-#: Token of five or more characters with a digit among its first 65, not within a longer one.
-CANDIDATE = r"(?<![A-Za-z0-9_@.+/-])(?=[A-Za-z_@.+/-]{0,64}+[0-9])[A-Za-z0-9_@+/-][A-Za-z0-9_@.+/-]{3,}[A-Za-z0-9_]"
-SUPPORT, CONFIDENCE, AGREE, ROUNDS = 3, 0.8, 1, 2
+#: Token of five or more characters with a digit, not within a longer one.
+CANDIDATE = r"(?<![A-Za-z0-9_@.+/-])(?=[A-Za-z_@.+/-]*+[0-9])[A-Za-z0-9_@+/-][A-Za-z0-9_@.+/-]{3,}[A-Za-z0-9_]"
+SUPPORT, CONFIDENCE, AGREE = 3, 0.8, 1
 
 
 def positions(text: Column, pattern: str) -> Column:
@@ -116,15 +116,17 @@ def learned(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(pattern) that are trusted and (inst) that are known, seeds too, from candidates in column ``c``."""
     each = found.select("c.inst", "c.seed", F.explode("c.pats").alias("pattern"))
     edges = materialize(each.groupBy("pattern", "inst").agg(F.max("seed").alias("seed")), "pii-edges")
-    known = edges.filter("seed").select("inst").distinct()
-    trusted = None
-    for _ in range(ROUNDS):
+    known = materialize(edges.filter("seed").select("inst").distinct(), "pii-instances")
+    # a pattern stays trusted as more instances are known, so each round but the last adds some
+    while True:
         flagged = edges.join(known.withColumn("known", F.lit(1)), "inst", "left")
         scored = flagged.groupBy("pattern").agg(F.count("*").alias("n"), F.count("known").alias("f"))
         trusted = materialize(scored.filter((F.col("f") >= SUPPORT) & (F.col("f") >= CONFIDENCE * F.col("n"))).select("pattern"), "pii-patterns")
         drawn = edges.join(trusted, "pattern", "left_semi").groupBy("inst").agg(F.count("*").alias("n")).filter(F.col("n") >= AGREE)
-        known = materialize(known.unionByName(drawn.select("inst")).distinct(), "pii-instances")
-    return trusted, known
+        fresh = materialize(drawn.select("inst").join(known, "inst", "left_anti"), "pii-fresh")
+        if fresh.isEmpty():
+            return trusted, known
+        known = materialize(known.unionByName(fresh), "pii-instances")
 
 
 def marked(docs: DataFrame, text_col: str, carry: list[str], uid: str, base: str, added: str) -> DataFrame:

@@ -192,6 +192,18 @@ def test_pii_marks_the_text_of_seeds_elsewhere(spark):
     assert rows[0] == [] and [texts[1][x["s"] : x["e"]] for x in rows[1]] == ["12345678"] and rows[2] == []
 
 
+def test_pii_learns_chains_of_any_length(spark):
+    """Each link's instances stand in its own context and in the next one; only the first context holds seeds."""
+    texts = [f"x alpha jo{i}@mail.example y" for i in range(208)] + ["x alpha " + "b" * 80 + "-5 y"]
+    for k, (here, after, n) in enumerate((("alpha", "beta", 48), ("beta", "gamma", 12), ("gamma", "delta", 3))):
+        for i in range(n):
+            texts += [f"x {here} L{k}-{i}-77 y", f"x {after} L{k}-{i}-77 y"]
+    texts.append("plain L2-1-77 words")
+    rows = {r["doc_id"]: r["added"] for r in pii.find(table(spark, list(enumerate(texts)))).collect()}
+    cut = lambda i: [texts[i][x["s"] : x["e"]] for x in rows[i]]
+    assert cut(len(texts) - 1) == ["L2-1-77"] and cut(208) == ["b" * 80 + "-5"]
+
+
 def test_pii_edges(spark, odd):
     assert pii.find(odd).count() == len(ODD) and pii.find(odd.limit(0)).count() == 0
     assert pii.redact(odd).columns == odd.columns
