@@ -3,7 +3,9 @@
 The text becomes ASCII-lower-cased words of letters and digits (all characters from U+0080 count
 as letters), joined by spaces; the automaton finds phrases at word borders in one pass,
 however many there are. A tag (``SPDX-License-Identifier``) is followed by an expression in the raw
-text, which is parsed with AND before OR, WITH before AND, and parentheses; its licences become labels.
+text, the longest well-formed one up to the line's end or the next tag; it is parsed with AND before OR, WITH
+before AND, and parentheses, and its licences become labels. A sentence's full stop ends it. One that an
+operator follows without its operand is malformed.
 
 Score: 1 with a well-formed tag; otherwise 1 - 0.5**n for n distinct licences named by phrases,
 0.8 at least if one of them is a full notice. 0 without any. Null texts count as empty. A malformed
@@ -45,7 +47,10 @@ NOTICES = {
     "all rights reserved": "proprietary",
 }
 TAG = "spdx license identifier"
-TAG_AT = re.compile(r"spdx-license-identifier:[ \t]*([^\r\n]*)", re.I | re.A)
+TAG_AT = re.compile(r"spdx-license-identifier:[ \t]*", re.I | re.A)
+LINE_END = re.compile(r"[\r\n]|\Z")
+#: A token of an expression at the start of a text, and what may follow a name.
+TOKEN = re.compile(r"\s*([()]|[A-Za-z0-9.+:]+(?:-[A-Za-z0-9.+:]+)*(?=$|[\s()*<>\"'`,;#|\\\]}]|-->))", re.A)
 #: All bytes to what they are in a phrase: letters in lower case, digits, bytes of other characters, else a space.
 WORDS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 #: Licences that are permitted unless a caller says otherwise.
@@ -95,6 +100,33 @@ def parse(expression: str) -> tuple[str, ...] | None:
     return None if operand or waiting else tuple(out)
 
 
+def leading(text: str) -> str | None:
+    """The longest well-formed expression at the start of ``text``; None without one, or if an operator without operand follows it."""
+    at = end = depth = 0
+    operand, before, open_operator = True, "", False
+    while m := TOKEN.match(text, at):
+        token = m[1].rstrip(".") if operand else m[1]
+        low, stop = token.lower(), token != m[1]
+        if low in STRENGTH or token == ")":
+            open_operator = open_operator or (low in STRENGTH and not operand)
+            if operand or (low == "with" and before == ")") or (token == ")" and not depth):
+                break
+            depth -= token == ")"
+            operand = low in STRENGTH
+        elif not token or not operand or (token == "(" and before == "with"):
+            break
+        elif token == "(":
+            depth += 1
+        else:
+            operand = False
+        at, before = m.end(), low
+        if not operand and not depth:
+            end, open_operator = m.start(1) + len(token), False
+        if stop:
+            break
+    return text[:end] if end and not open_operator else None
+
+
 def evaluated(postfix: tuple[str, ...], leaf: Callable, both: dict[str, Callable]):
     """The value of an expression from those of its licences; without recursion, so of any depth."""
     values = []
@@ -158,10 +190,13 @@ def scan(raw: bytes, phrases, permitted: frozenset[str] = PERMITTED) -> tuple:
     strong = any(p in NOTICES for p, _, _ in places)
     expressions, good, allowed = [], False, None
     if tagged:
-        for m in TAG_AT.finditer(raw.decode()):
-            text = re.sub(r"\s*(\*/|-->|#+|\")?\s*$", "", m[1]).strip()
-            expressions.append(text)
-            postfix = parse(text)
+        whole = raw.decode()
+        tags = [(m.start(), m.end()) for m in TAG_AT.finditer(whole)]
+        for (_, begin), (next_, _) in zip(tags, [*tags[1:], (len(whole), 0)], strict=True):
+            line = whole[begin : min(next_, LINE_END.search(whole, begin).start())]
+            text = leading(line)
+            postfix = None if text is None else parse(text)
+            expressions.append(text if postfix else re.sub(r"\s*(\*/|-->|#+|\")?\s*$", "", line).strip())
             good |= postfix is not None
             labels |= {"unparsed"} if postfix is None else named(postfix)
             allowed = allowed is not False and postfix is not None and satisfied(postfix, permitted)

@@ -272,6 +272,28 @@ def test_license_tag():
     assert row[5] == "apache-2.0,mit,unparsed" and row[6] == 1.0 and row[8] == ["(MIT OR Apache-2.0)", "GPL-2.0 AND"]
 
 
+@pytest.mark.parametrize(
+    "rest,labels,expressions",
+    [
+        ("MIT */ int main() { return 0; }", "mit", ["MIT"]),
+        ("MIT.", "mit", ["MIT"]),
+        ("MIT. More text", "mit", ["MIT"]),
+        ("(MIT OR Apache-2.0) AND ISC --> <p>(x", "apache-2.0,isc,mit", ["(MIT OR Apache-2.0) AND ISC"]),
+        ("MIT--> SPDX-License-Identifier: Apache-2.0", "apache-2.0,mit", ["MIT", "Apache-2.0"]),
+        ("MIT OR SPDX-License-Identifier: GPL-2.0+\nSPDX-License-Identifier: ISC", "gpl-2.0+,isc,unparsed", ["MIT OR", "GPL-2.0+", "ISC"]),
+        ("GPL-2.0-only WITH Classpath-exception-2.0; int x", "gpl-2.0-only with classpath-exception-2.0", ["GPL-2.0-only WITH Classpath-exception-2.0"]),
+        ("MIT MIT", "mit", ["MIT"]),
+        ("MIT AND (ISC", "unparsed", ["MIT AND (ISC"]),
+        ("(MIT", "unparsed", ["(MIT"]),
+        ("M$T */", "unparsed", ["M$T"]),
+        ("", "unparsed", [""]),
+    ],
+)
+def test_license_tag_in_running_text(rest, labels, expressions):
+    row = licenses.scan(b"/* SPDX-License-Identifier: " + rest.encode(), licenses.automaton())
+    assert (row[5], row[8]) == (labels, expressions)
+
+
 def test_compression_tells_apart():
     r = random.Random(1)
     good = [" ".join(r.choices(["alpha", "beta", "gamma", "delta"], k=80)).encode() for _ in range(200)]
