@@ -34,7 +34,7 @@ class ChunkStore:
         files = files.filter(kinds.is_text(F.col("path"))).withColumn("mtime", F.col("mtime").cast("string"))
         old = self.table
         new = files if old is None else files.join(old.select("path", "mtime").distinct(), ["path", "mtime"], "left_anti")
-        made = embed.text_embedding(chunk_rows(new, max_tokens=self.max_tokens), embedder=self.embedder, out="vector")
+        made = embed.text_embedding(chunk_rows(new, max_tokens=self.max_tokens), embedder=self.embedder, max_chars=None, out="vector")
         if old is not None:
             made = old.join(files.select("path", "mtime").distinct(), ["path", "mtime"], "left_semi").select(*made.columns).unionByName(made)
         made.write.mode("overwrite").parquet(f"{self.folder}/v{self.version + 1}")

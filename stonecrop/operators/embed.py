@@ -59,8 +59,8 @@ def hashed_embedder(dimensions: int = 64) -> Callable[[list[str]], list[list[flo
     return embed
 
 
-def text_embedding(df: DataFrame, text_col: str = "text", path_col: str | None = None, embedder: Callable[[list[str]], list[list[float]]] | None = None, max_chars: int = 4000, out: str = "embedding") -> DataFrame:
-    """Add array<double> of the first ``max_chars`` characters; null for blank texts, and for paths that aren't text files.
+def text_embedding(df: DataFrame, text_col: str = "text", path_col: str | None = None, embedder: Callable[[list[str]], list[list[float]]] | None = None, max_chars: int | None = 4000, out: str = "embedding") -> DataFrame:
+    """Add array<double> of the first ``max_chars`` characters, of all of them if it is None; null for blank texts, and for paths that aren't text files.
 
     ``embedder`` takes a list of texts; it is made once a worker if it has an attribute ``load``.
     """
@@ -76,7 +76,7 @@ def text_embedding(df: DataFrame, text_col: str = "text", path_col: str | None =
                 found.iloc[i] = [float(x) for x in v]
             yield found
 
-    text = F.substring(F.col(text_col), 1, max_chars)
+    text = F.col(text_col) if max_chars is None else F.substring(F.col(text_col), 1, max_chars)
     if path_col:
         text = F.when(kinds.is_text(F.col(path_col)), text)
     return df.withColumn(out, embedded(text))

@@ -97,7 +97,7 @@ class FileFrame:
         texts = [c for c in given if kind[c] in ("string", "boolean") and (columns or c in ("suffix", "owner", "group", "mode_str"))]
         return self._next(embed.metadata_embedding(self.df, number, times, texts, max_categories=max_categories), "add_metadata_embedding")
 
-    def add_embedding(self, text_col: str = "text", embedder: Callable | None = None, max_chars: int = 4000) -> FileFrame:
+    def add_embedding(self, text_col: str = "text", embedder: Callable | None = None, max_chars: int | None = 4000) -> FileFrame:
         return self._next(embed.text_embedding(self.df, text_col, "path" if "path" in self.df.columns else None, embedder, max_chars), "add_embedding")
 
     def filter_by_extension(self, extensions: list[str] | str) -> FileFrame:

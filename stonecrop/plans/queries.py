@@ -127,7 +127,7 @@ def p14_shingles(spark, sf_dir):
 @query()
 def p8_text_embedding(spark, sf_dir):
     """Norms of the stand-in embeddings; tested against a plain loop."""
-    rows = embed.text_embedding(read(spark, sf_dir, "documents"))
+    rows = embed.text_embedding(read(spark, sf_dir, "documents"), max_chars=None)
     return rows.select("doc_id", F.size("embedding").alias("dimensions"), F.round(similarity.dot(F.col("embedding"), F.col("embedding")), 6).alias("norm"))
 
 

@@ -178,6 +178,17 @@ def test_text_embedding(spark):
     assert [r["embedding"] for r in rows] == [[5.0], None, None]
 
 
+def test_text_embedding_of_whole_texts(spark, tmp_path):
+    long = "word " * 2000
+    length = lambda texts: [[float(len(t)), 1.0] for t in texts]
+    df = spark.createDataFrame([("a.txt", long, "1")], "path string, text string, mtime string")
+    got = lambda **options: embed.text_embedding(df, embedder=length, **options).first()["embedding"][0]
+    assert (got(), got(max_chars=None)) == (4000.0, 10000.0)
+    store = chunk_store.ChunkStore(spark, str(tmp_path / "chunks"), embedder=length)
+    store.index(df)
+    assert all(r["vector"][0] == len(r["text"]) for r in store.table.collect()) and max(len(r["text"]) for r in store.table.collect()) > 4000
+
+
 def test_snapshot(spark, project):
     d = Dataset(spark, str(project))
     before = d.snap("full")
