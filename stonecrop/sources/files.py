@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
@@ -56,8 +58,40 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+#: Paths of the tables written since each open ``scratch`` block began.
+_scratch: list[list[str]] = []
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, which ends its lineage."""
+    """Write ``df`` to the shared folder and read it back: lineage ends there and a lost executor costs nothing."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for block in _scratch:
+        block.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables, wherever Spark's file systems keep them."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """A block at whose end the tables that ``materialize`` wrote in it are deleted, but for those written by what it gives."""
+    made: list[str] = []
+    kept: list[str] = []
+    _scratch.append(made)
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        out = materialize(df, name)
+        kept.append(made[-1])
+        return out
+
+    try:
+        yield keep
+    finally:
+        _scratch.pop()
+        discard(spark, [x for x in made if x not in kept])
