@@ -1,9 +1,10 @@
-"""What the training-data operators share: the shared folder, Arrow access to text, sizes."""
+"""What the training-data operators share: the shared folder, Arrow access to text, labelled samples.
+
+Arrow batches have the session's size: Spark closes one at 10,000 rows or 64 MB unless told otherwise, whichever comes first.
+"""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,32 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows of an Arrow batch sent to a Python worker: at 120 kB a text, some 60 MB.
-ARROW_ROWS = 500
+from stonecrop.sources.files import discard, materialize, scratch, shared_dir
+
+__all__ = ["append_column", "discard", "free_name", "id_crc32", "labelled_sample", "let", "map_rows", "materialize", "raw_texts", "read", "scratch", "shared_dir", "strings"]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. Only a local session without one gets a folder of its own."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if path:
-        return path
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="stonecrop-"))
-    return spark.sparkContext.getCheckpointDir()
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there and a lost executor costs nothing."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def raw_texts(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column; null counts as empty."""
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
@@ -48,7 +32,6 @@ def strings(column: pa.Array) -> list[str]:
 
 def map_rows(df: DataFrame, schema: T.StructType | str, make: Callable[[pa.RecordBatch], list[list]]) -> DataFrame:
     """``make`` turns a batch into one list per column of ``schema``."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     out = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -70,7 +53,6 @@ def append_column(df: DataFrame, name: str, kind: T.DataType, text_col: str, of:
     out = T.StructType([*df.schema.fields, T.StructField(name, kind)])
     arrow = to_arrow_schema(out)
     at = df.columns.index(text_col)
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -89,18 +71,25 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def let(value: F.Column, use: Callable[[F.Column], F.Column]) -> F.Column:
+    """``use`` of a value that is made once, though it be named many times."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def id_crc32(column: str) -> F.Column:
     """crc32 of an id written as decimal text."""
     return F.crc32(F.col(column).cast("string").cast("binary"))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, limit: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text, label) of at most ``limit`` labelled documents, the least by a hash of the id.
+    """(doc_id, text, label) of at most ``limit`` labelled documents, the ids least by a hash; a row an id.
 
     ``limit`` is the bound of the sample, so the ids (8 bytes each) may be broadcast.
-    Of several labels of an id the least counts; rows without id, text or label are left out.
+    Of several labels of an id the least counts, of several texts the least by hash, then by itself;
+    copies of a row go before the shuffle. Rows without id, text or label are left out.
     """
     chosen = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).dropna()
     chosen = chosen.groupBy("doc_id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).dropna()
-    return texts.join(F.broadcast(chosen), "doc_id")
+    one = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "label")).alias("x"))
+    return one.select("doc_id", "x.text", "x.label")

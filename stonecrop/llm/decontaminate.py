@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stonecrop.llm.common import ARROW_ROWS, append_column, free_name, strings
+from stonecrop.llm.common import append_column, free_name, strings
 
 #: Words of a seed, and the least words of an item.
 SEED, SHORTEST = 2, 3
@@ -217,7 +217,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """Rows (doc_id, item_id, score, start_word, end_word, n_seeds)."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     out = None
     for block in blocks(benchmark, item_id_col, item_text_col):
         handle = spark.sparkContext.broadcast(prepared(rows, "text", block, threshold))
@@ -240,7 +239,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the documents that hold a test item. Columns as in ``docs``; no shuffle."""
     spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     rows, columns = docs, docs.columns
     for block in blocks(benchmark, item_id_col, item_text_col):
         handle = spark.sparkContext.broadcast(prepared(docs, text_col, block, threshold))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stonecrop.llm.common import ARROW_ROWS, strings
+from stonecrop.llm.common import strings
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Windows a partition may hold open; 4096 windows of 1024 four-byte ids are 16 MB.
@@ -39,7 +39,8 @@ class Tokenizer:
 
     ``ranks``, the same vocabulary as ranks, encodes texts of ASCII and Latin letters, where every regex
     engine agrees on what letters, digits and white space are; it is several times as fast. Other texts,
-    and all texts without ``ranks``, go to the library of the file.
+    those that hold a string the file has an added token for, and all texts without ``ranks``, go to the
+    library of the file, so the ids are always those of its plain call.
     """
 
     def __init__(self, path: str, ranks: str | None, pattern: str | None) -> None:
@@ -49,7 +50,6 @@ class Tokenizer:
         from tokenizers import Tokenizer as Library
 
         self.library = Library.from_file(path)
-        self.library.encode_special_tokens = True
         self.fast = None
         if ranks:
             import base64
@@ -58,7 +58,8 @@ class Tokenizer:
 
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(ranks, "rb"))}
             self.fast = tiktoken.Encoding("byte-bpe", pat_str=pattern, mergeable_ranks=table, special_tokens={})
-        self.odd = re.compile("[^\t\n\r\x20-\x7e\xa1-\u024f]").search
+        added = [re.escape(x.content) for x in self.library.get_added_tokens_decoder().values()]
+        self.odd = re.compile("|".join(["[^\t\n\r\x20-\x7e\xa1-\u024f]", *added])).search
 
     def encode(self, text: str) -> np.ndarray:
         if self.fast is None or self.odd(text):
@@ -165,7 +166,6 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
     splitting pattern; by default the public 50k one. Each document ends with ``separator``.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
