@@ -7,9 +7,13 @@ text, the longest well-formed one up to the line's end or the next tag; it is pa
 before AND, and parentheses, and its licences become labels. A sentence's full stop ends it. One that an
 operator follows without its operand is malformed.
 
-Score: 1 with a well-formed tag; otherwise 1 - 0.5**n for n distinct licences named by phrases,
-0.8 at least if one of them is a full notice. 0 without any. Null texts count as empty. A malformed
-expression gives the label ``unparsed`` and no licences.
+A name counts if it is among the identifiers, which a caller may add to, with or without a ``+``, or a reference
+of one's own (``LicenseRef-``); an exception if it is among the exceptions. Any other name gives the label ``unknown``.
+
+Score: 1 with a well-formed tag of known names only; otherwise 1 - 0.5**n for n distinct licences that tags or phrases
+name, 0.8 at least if one of them is a full notice. 0 without any. A malformed
+expression gives the label ``unparsed`` and no licences. Null texts count as empty; an empty table gives no rows;
+repeated rows get a row each; only the columns for id and text are read.
 """
 
 from __future__ import annotations
@@ -46,6 +50,32 @@ NOTICES = {
     "cc0 1 0": "cc0",
     "all rights reserved": "proprietary",
 }
+#: Identifiers of licences, in lower case; a parameter adds others.
+IDENTIFIERS = frozenset(
+    """
+    0bsd aal afl-1.1 afl-1.2 afl-2.0 afl-2.1 afl-3.0 agpl-1.0-only agpl-1.0-or-later agpl-3.0 agpl-3.0-only agpl-3.0-or-later
+    apache-1.0 apache-1.1 apache-2.0 apl-1.0 apsl-1.0 apsl-2.0 artistic-1.0 artistic-1.0-perl artistic-2.0 beerware blueoak-1.0.0
+    bsd-1-clause bsd-2-clause bsd-2-clause-patent bsd-3-clause bsd-3-clause-clear bsd-3-clause-lbnl bsd-4-clause bsd-4-clause-uc bsl-1.0 busl-1.1 bzip2-1.0.6
+    cal-1.0 catosl-1.1 cc-by-1.0 cc-by-2.0 cc-by-2.5 cc-by-3.0 cc-by-4.0 cc-by-nc-3.0 cc-by-nc-4.0 cc-by-nc-nd-4.0 cc-by-nc-sa-3.0 cc-by-nc-sa-4.0 cc-by-nd-4.0 cc-by-sa-2.0 cc-by-sa-2.5
+    cc-by-sa-3.0 cc-by-sa-4.0 cc-pddc cc0-1.0 cddl-1.0 cddl-1.1 cecill-2.0 cecill-2.1 cecill-b cecill-c cern-ohl-p-2.0 cern-ohl-s-2.0 cern-ohl-w-2.0
+    cnri-python cpal-1.0 cpl-1.0 curl ecl-2.0 efl-2.0 elastic-2.0 epl-1.0 epl-2.0 eudatagrid eupl-1.1 eupl-1.2 fair frameworx-1.0 fsfap ftl
+    gfdl-1.1-only gfdl-1.1-or-later gfdl-1.2-only gfdl-1.2-or-later gfdl-1.3-only gfdl-1.3-or-later gpl-1.0 gpl-1.0-only gpl-1.0-or-later gpl-2.0 gpl-2.0-only gpl-2.0-or-later
+    gpl-3.0 gpl-3.0-only gpl-3.0-or-later hpnd icu ijg imagemagick intel ipa ipl-1.0 isc jasper-2.0 json lgpl-2.0 lgpl-2.0-only lgpl-2.0-or-later
+    lgpl-2.1 lgpl-2.1-only lgpl-2.1-or-later lgpl-3.0 lgpl-3.0-only lgpl-3.0-or-later libpng libpng-2.0 libtiff lpl-1.02 lppl-1.3c
+    mit mit-0 mit-cmu mit-modern-variant miros mpl-1.0 mpl-1.1 mpl-2.0 mpl-2.0-no-copyleft-exception ms-pl ms-rl mulanpsl-2.0 multics naist-2003 ncsa ngpl nokia npl-1.1 ntp
+    oclc-2.0 odbl-1.0 odc-by-1.0 ofl-1.0 ofl-1.1 ogl-uk-3.0 oldap-2.8 openssl osl-1.0 osl-2.0 osl-2.1 osl-3.0 pddl-1.0 php-3.0 php-3.01 postgresql psf-2.0 python-2.0 qpl-1.0
+    rpl-1.5 rpsl-1.0 ruby sgi-b-2.0 simpl-2.0 sleepycat spl-1.0 sspl-1.0 tcl unicode-3.0 unicode-dfs-2016 unlicense upl-1.0 vim w3c watcom-1.0 wtfpl x11 xnet zend-2.0 zlib zpl-2.0 zpl-2.1
+    """.split()
+)
+#: Identifiers of exceptions, in lower case.
+EXCEPTIONS = frozenset(
+    """
+    389-exception autoconf-exception-2.0 autoconf-exception-3.0 bison-exception-2.2 bootloader-exception classpath-exception-2.0 clisp-exception-2.0 ecos-exception-2.0
+    fawkes-runtime-exception fltk-exception font-exception-2.0 freertos-exception-2.0 gcc-exception-2.0 gcc-exception-3.1 gnu-javamail-exception gpl-cc-1.0 i2p-gpl-java-exception
+    libtool-exception linux-syscall-note llvm-exception lzma-exception mif-exception openjdk-assembly-exception-1.0 openvpn-openssl-exception ps-or-pdf-font-exception-20170817
+    qt-gpl-exception-1.0 qt-lgpl-exception-1.1 qwt-exception-1.0 swift-exception u-boot-exception-2.0 universal-foss-exception-1.0 wxwindows-exception-3.1
+    """.split()
+)
 TAG = "spdx license identifier"
 TAG_AT = re.compile(r"spdx-license-identifier:[ \t]*", re.I | re.A)
 LINE_END = re.compile(r"[\r\n]|\Z")
@@ -139,12 +169,6 @@ def evaluated(postfix: tuple[str, ...], leaf: Callable, both: dict[str, Callable
     return values[0]
 
 
-def choices(postfix: tuple[str, ...]) -> frozenset[frozenset[str]]:
-    """The sets of licences that satisfy an expression: AND needs both, OR either; an exception qualifies its licence."""
-    qualified = lambda a, b: frozenset({frozenset({f"{next(iter(next(iter(a))))} with {next(iter(next(iter(b))))}"})})
-    return evaluated(postfix, lambda x: frozenset({frozenset({x})}), {"or": operator.or_, "and": lambda a, b: frozenset(x | y for x in a for y in b), "with": qualified})
-
-
 def named(postfix: tuple[str, ...]) -> set[str]:
     """Licences in an expression, with their exceptions."""
     names: list[str] = []
@@ -157,6 +181,13 @@ def named(postfix: tuple[str, ...]) -> set[str]:
     return set(names)
 
 
+def known(name: str, identifiers: frozenset[str]) -> bool:
+    """Whether a licence, with its exception if it has one, is among the identifiers and exceptions or a reference of one's own."""
+    licence, _, exception = name.partition(" with ")
+    own = re.match(r"(documentref-[a-z0-9.-]+:)?licenseref-[a-z0-9]", licence)
+    return (bool(own) or licence in identifiers or licence.removesuffix("+") in identifiers) and (not exception or exception in EXCEPTIONS or exception.startswith("additionref-"))
+
+
 def satisfied(postfix: tuple[str, ...], permitted: frozenset[str]) -> bool:
     """Whether ``permitted`` licences suffice; an exception only adds permissions, so a permitted licence is so with any."""
     return evaluated(postfix, lambda x: x in permitted, {"or": operator.or_, "and": operator.and_, "with": lambda a, _: a})
@@ -172,7 +203,7 @@ def automaton():
     return found
 
 
-def scan(raw: bytes, phrases, permitted: frozenset[str] = PERMITTED) -> tuple:
+def scan(raw: bytes, phrases, permitted: frozenset[str] = PERMITTED, identifiers: frozenset[str] = IDENTIFIERS) -> tuple:
     """A row of ``SCHEMA``."""
     words = raw.translate(WORDS).split()
     joined = b" " + b" ".join(words) + b" "
@@ -197,10 +228,11 @@ def scan(raw: bytes, phrases, permitted: frozenset[str] = PERMITTED) -> tuple:
             text = leading(line)
             postfix = None if text is None else parse(text)
             expressions.append(text if postfix else re.sub(r"\s*(\*/|-->|#+|\")?\s*$", "", line).strip())
-            good |= postfix is not None
-            labels |= {"unparsed"} if postfix is None else named(postfix)
+            names = {x if known(x, identifiers) else "unknown" for x in named(postfix)} if postfix else {"unparsed"}
+            good |= not names & {"unknown", "unparsed"}
+            labels |= names
             allowed = allowed is not False and postfix is not None and satisfied(postfix, permitted)
-    n = len(labels - {"unparsed"})
+    n = len(labels - {"unparsed", "unknown"})
     score = 1.0 if good else max(1 - 0.5**n, 0.8 * strong) if n else 0.0
     starts = [i for _, i in base]
     return (
@@ -217,14 +249,17 @@ def scan(raw: bytes, phrases, permitted: frozenset[str] = PERMITTED) -> tuple:
     )
 
 
-def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", permitted: frozenset[str] = PERMITTED) -> DataFrame:
-    """(doc_id, ``SCHEMA``): a row per document, with where each phrase stands, the raw expressions and whether ``permitted`` licences satisfy all of them (null without any)."""
+def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", permitted: frozenset[str] = PERMITTED, identifiers: frozenset[str] = IDENTIFIERS) -> DataFrame:
+    """(doc_id, ``SCHEMA``): a row per document, with where each phrase stands, the raw expressions and whether ``permitted`` licences satisfy all of them (null without any).
+
+    ``identifiers`` are the names that count as licences, in lower case.
+    """
     state: dict = {}
 
     def make(batch) -> list[list]:
         if not state:
             state["phrases"] = automaton()
-        rows = [scan(x, state["phrases"], permitted) for x in raw_texts(batch.column(1))]
+        rows = [scan(x, state["phrases"], permitted, identifiers) for x in raw_texts(batch.column(1))]
         return [batch.column(0), *map(list, zip(*rows, strict=True))]
 
     kind = f"doc_id {docs.schema[id_col].dataType.simpleString()}, {SCHEMA}"
