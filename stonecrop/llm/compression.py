@@ -5,12 +5,16 @@ difference is the mean over the blocks of (bad size - good size) / (bad size + g
 if the text is more like good text. A logistic curve, fitted on labelled rows that no dictionary saw,
 turns it into a score.
 
-Null and empty texts have difference 0. Without labels of both classes every text scores 1.
+What is learned from is a bounded sample by two arguments: ``limit`` labelled rows, and of their blocks ``blocks`` a
+class, the least by a hash of id and place. No whole text goes to the driver.
+
+Null and empty texts have difference 0. Without labels of both classes, in the part for the dictionaries and in that for the
+curve, every text scores 1. Rows with a null label, id or text don't teach; of repeated ids one row does
+(``common.labelled_sample``). Repeated rows get a row each, an empty table none.
 """
 
 from __future__ import annotations
 
-import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,13 +22,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stonecrop.llm.common import labelled_sample, map_rows, raw_texts
+from stonecrop.llm.common import labelled_sample, let, map_rows, materialize, raw_texts
 
-#: Labelled rows that are learned from at most.
-TRAIN_ROWS = 6_000
+#: Labelled rows that are learned from at most, and blocks of them for the dictionary of a class at most: 8 MB.
+TRAIN_ROWS, TRAIN_BLOCKS = 6_000, 32_768
 BLOCK, DICTIONARY, LEVEL = 256, 112_640, 3
-#: Bytes of blocks a dictionary is trained on at most, in the order of the sample.
-TRAIN_BYTES = 8_000_000
 
 
 @dataclass
@@ -56,14 +58,8 @@ class Differ:
         return total / n if n else 0.0
 
 
-def dictionary(texts: list[bytes]) -> bytes:
-    """A dictionary of the blocks of ``texts``; the blocks themselves where they are too few to train one."""
-    blocks, size = [], 0
-    for t in texts:
-        for a in range(0, len(t), BLOCK):
-            if size < TRAIN_BYTES:
-                blocks.append(t[a : a + BLOCK])
-                size += len(blocks[-1])
+def dictionary(blocks: list[bytes]) -> bytes:
+    """A dictionary of ``blocks``; the blocks themselves where they are too few to train one."""
     try:
         return zstandard.train_dictionary(DICTIONARY, blocks).as_bytes()
     except zstandard.ZstdError:
@@ -82,22 +78,43 @@ def logistic(x: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, floa
     return float(w[0] / scale), float(w[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", limit: int = TRAIN_ROWS) -> Model | None:
-    """Learn from at most ``limit`` labelled documents: a third of them for the curve, the rest for the dictionaries."""
-    rows = labelled_sample(docs, labels, label_col, limit, id_col, text_col).toLocalIterator()
-    parts: dict[tuple[bool, bool], list[tuple]] = {(a, b): [] for a in (True, False) for b in (True, False)}
-    for r in rows:
-        parts[r["label"] > 0, zlib.crc32(f"{r['doc_id']} curve".encode()) % 3 == 0].append((r["doc_id"], r["text"].encode()))
-    for p in parts.values():
-        p.sort(key=lambda x: (zlib.crc32(str(x[0]).encode()), x))
-    texts = {k: [t for _, t in p] for k, p in parts.items()}
-    if not (texts[True, False] and texts[False, False] and texts[True, True] and texts[False, True]):
+def cut(rows: DataFrame, text_col: str = "text") -> DataFrame:
+    """(doc_id, place, block): the ``BLOCK``-byte blocks of the texts."""
+    def of(raw: F.Column) -> F.Column:
+        n = F.ceil(F.octet_length(raw) / BLOCK).cast("int")
+        return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(raw, i * BLOCK + 1, F.lit(BLOCK))))
+
+    return rows.select("doc_id", F.posexplode(let(F.col(text_col).cast("binary"), of)).alias("place", "block"))
+
+
+def differences(rows: DataFrame, good: bytes, bad: bytes) -> DataFrame:
+    """(doc_id, difference) of rows (doc_id, text)."""
+    handle = rows.sparkSession.sparkContext.broadcast((good, bad))
+    state: dict = {}
+
+    def make(batch) -> list[list]:
+        if not state:
+            state["differ"] = Differ(*handle.value)
+        return [batch.column(0), [state["differ"](x) for x in raw_texts(batch.column(1))]]
+
+    return map_rows(rows.select("doc_id", "text"), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, difference double", make)
+
+
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", limit: int = TRAIN_ROWS, blocks: int = TRAIN_BLOCKS) -> Model | None:
+    """Learn from at most ``limit`` labelled documents: a third of them for the curve, the rest for the dictionaries, of at most ``blocks`` blocks a class."""
+    rows = labelled_sample(docs, labels, label_col, limit, id_col, text_col)
+    curve = F.crc32(F.concat(F.col("doc_id").cast("string"), F.lit(" curve")).cast("binary")) % 3 == 0
+    rows = materialize(rows.select("doc_id", "text", (F.col("label") > 0).alias("good"), curve.alias("curve")), "compression-sample")
+    if rows.groupBy("good", "curve").count().count() < 4:
         return None
-    good, bad = dictionary(texts[True, False]), dictionary(texts[False, False])
-    differ = Differ(good, bad)
-    x = np.array([differ(t) for k in (True, False) for t in texts[k, True]])
-    y = np.array([float(k) for k in (True, False) for _ in texts[k, True]])
-    return Model(good, bad, *logistic(x, y))
+    made = []
+    for good in (True, False):
+        part = cut(rows.filter(F.col("good") == good).filter("not curve"))
+        least = part.orderBy(F.xxhash64("doc_id", "place"), "doc_id", "place").limit(blocks).select("block")
+        made.append(dictionary([bytes(r["block"]) for r in least.collect()]))
+    seen = differences(rows.filter("curve"), *made).join(rows.filter("curve").select("doc_id", "good"), "doc_id").select("difference", "good").collect()
+    x, y = (np.array(c, float) for c in zip(*sorted(map(tuple, seen)), strict=True))
+    return Model(*made, *logistic(x, y))
 
 
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -105,14 +122,5 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     if model is None:
         return rows.select("doc_id", F.lit(0.0).alias("difference"), F.lit(1.0).alias("score"))
-    handle = docs.sparkSession.sparkContext.broadcast(model)
-    state: dict = {}
-
-    def make(batch) -> list[list]:
-        m = handle.value
-        if not state:
-            state["differ"] = Differ(m.good, m.bad)
-        d = np.array([state["differ"](x) for x in raw_texts(batch.column(1))])
-        return [batch.column(0), d, 1 / (1 + np.exp(-np.clip(m.slope * d + m.intercept, -35, 35)))]
-
-    return map_rows(rows, f"doc_id {docs.schema[id_col].dataType.simpleString()}, difference double, score double", make)
+    margin = F.greatest(F.lit(-35.0), F.least(F.lit(35.0), F.lit(model.slope) * F.col("difference") + F.lit(model.intercept)))
+    return differences(rows, model.good, model.bad).select("doc_id", "difference", (1 / (1 + F.exp(-margin))).alias("score"))
