@@ -5,12 +5,14 @@ ranges of 2**``LEAF`` bytes of (archive, offset); a range's hash is SHA-256 over
 digests in order. Higher ranges join 2**``FAN`` ranges each, up to one root. Ranges are aligned
 to offsets, not counts, so a missing record leaves all other ranges as they are.
 
-Two replicas are compared from the root: only the children of ranges that differ are joined at the
-next level, and only records of leaf ranges that differ at the end. Groups are bounded by
-what a leaf range holds, or 2**``FAN`` children.
-
-Null payloads count as empty. Null offsets aren't addressable and are left out. Rows that repeat an
-offset are compared as a sorted list of digests. An empty replica differs in every range of the other.
+Two replicas are compared from the root: only the children of ranges that differ are read at the
+next level, and only records of leaf ranges that differ at the end. What differs is written at each
+level, so a plan has one level in it. Groups are bounded by what a leaf range holds, or 2**``FAN`` children.
+
+Null payloads count as empty. Null offsets aren't addressable and are left out; an offset or archive under 0, an
+offset of 2**``ARCHIVE`` or an archive of 2**27 and over are an error, as they have no address. Rows that repeat
+an offset are compared as a multiset: by their number and the sums of their digests' words, in bounded memory.
+An empty replica differs in every range of the other; two empty ones in none. Other columns don't matter.
 """
 
 from __future__ import annotations
@@ -36,19 +38,28 @@ def laid_out(pages: DataFrame, id_col: str, payload: Column, per_archive: int =
     return rows.withColumn("offset", F.coalesce(F.sum("size").over(before), F.lit(0))).select("archive", "offset", "size", "record_id", "digest")
 
 
-def leaves(records: DataFrame) -> DataFrame:
-    """A row per offset: (address, node, h, ids)."""
-    at = F.shiftleft(F.col("archive").cast("long"), ARCHIVE) + F.col("offset")
-    rows = records.filter("archive is not null and offset is not null").select(at.alias("address"), "digest", "record_id")
-    rows = rows.groupBy("address").agg(F.array_sort(F.collect_list("digest")).alias("digests"), F.min("record_id").alias("record_id"))
-    return rows.select("address", F.shiftright("address", LEAF).alias("node"), F.when(F.size("digests") == 1, F.col("digests")[0]).otherwise(F.unhex(F.sha2(F.array_join(F.transform("digests", F.hex), ","), 256))).alias("h"), "record_id")
+def _address() -> Column:
+    archive, offset = F.col("archive").cast("long"), F.col("offset").cast("long")
+    fits = (archive >= 0) & (archive < 2 ** (63 - ARCHIVE)) & (offset >= 0) & (offset < 2**ARCHIVE)
+    what = F.concat(F.lit("no address for archive "), archive.cast("string"), F.lit(", offset "), offset.cast("string"))
+    return F.when(fits, F.shiftleft(archive, ARCHIVE) + offset).otherwise(F.raise_error(what).cast("long"))
+
+
+def leaves(records: DataFrame, by: list[str] = ()) -> DataFrame:
+    """A row per offset: (*by, address, node, h, record_id)."""
+    rows = records.filter("archive is not null and offset is not null").select(*by, _address().alias("address"), F.coalesce("digest", F.lit(b"")).alias("digest"), F.col("record_id").cast("long").alias("record_id"))
+    word = lambda i: F.coalesce(F.conv(F.hex(F.substring("digest", 1 + 8 * i, 8)), 16, 10).cast("decimal(20,0)"), F.lit(0).cast("decimal(20,0)"))
+    sums = [F.sum(word(i)).cast("string").alias(f"w{i}") for i in range(4)]
+    rows = rows.groupBy(*by, "address").agg(F.count("*").alias("n"), F.min("digest").alias("one"), *sums, F.min("record_id").alias("record_id"))
+    many = F.unhex(F.sha2(F.concat_ws(",", F.col("n").cast("string"), *[f"w{i}" for i in range(4)]), 256))
+    return rows.select(*by, "address", F.shiftright("address", LEAF).alias("node"), F.when(F.col("n") == 1, F.col("one")).otherwise(many).alias("h"), "record_id")
 
 
-def tree(rows: DataFrame) -> list[DataFrame]:
-    """Levels (node, h) from the leaf ranges to the root."""
+def tree(rows: DataFrame, by: list[str] = ()) -> list[DataFrame]:
+    """Levels (*by, node, h) from the leaf ranges to the root, each written; a tree for each value of ``by``."""
     def up(children: DataFrame, key: str, of: Column) -> DataFrame:
         parts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), "h"))), lambda x: F.concat_ws(":", x["k"].cast("string"), F.hex(x["h"]))), ",")
-        return children.groupBy(of.alias("node")).agg(F.unhex(F.sha2(parts, 256)).alias("h"))
+        return children.groupBy(*by, of.alias("node")).agg(F.unhex(F.sha2(parts, 256)).alias("h"))
 
     levels = [materialize(up(rows, "address", F.col("node")), "fixity-level")]
     for _ in range(LEVELS):
@@ -56,10 +67,10 @@ def tree(rows: DataFrame) -> list[DataFrame]:
     return levels
 
 
-def differing(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
-    """Keys whose hashes differ or that one side lacks: (key, h_a, h_b)."""
-    a, b = a.withColumnRenamed("h", "h_a"), b.withColumnRenamed("h", "h_b")
-    return a.join(b, key, "full").filter(~F.col("h_a").eqNullSafe(F.col("h_b")))
+def differing(rows: DataFrame, key: str, *more: Column) -> DataFrame:
+    """Keys of (replica, key, h) whose hashes differ or that one side lacks: (key, h_a, h_b) and ``more`` aggregates."""
+    side = lambda n: F.max(F.when(F.col("replica") == n, F.col("h"))).alias(f"h_{'ab'[n]}")
+    return rows.groupBy(key).agg(side(0), side(1), *more).filter(~F.col("h_a").eqNullSafe(F.col("h_b")))
 
 
 def audit(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -67,16 +78,17 @@ def audit(a: DataFrame, b: DataFrame) -> DataFrame:
 
     ``a`` and ``b`` have (archive, offset, record_id, digest). Status: altered, missing (from b) or extra (in b).
     """
-    a, b = materialize(leaves(a), "fixity-leaves"), materialize(leaves(b), "fixity-leaves")
-    left, right = tree(a), tree(b)
-    bad = differing(left[-1], right[-1], "node").select("node")
-    for x, y in zip(left[-2::-1], right[-2::-1], strict=True):
+    columns = ["archive", "offset", "record_id", "digest"]
+    both = a.select(F.lit(0).alias("replica"), *columns).unionByName(b.select(F.lit(1).alias("replica"), *columns))
+    rows = materialize(leaves(both, ["replica"]), "fixity-leaves")
+    levels = tree(rows, ["replica"])
+    bad = materialize(differing(levels[-1], "node").select("node"), "fixity-ranges")
+    for level in levels[-2::-1]:
         above = bad.withColumnRenamed("node", "up")
-        below = lambda t, above=above: t.join(above, F.shiftright(t["node"], FAN) == above["up"], "left_semi")
-        bad = differing(below(x), below(y), "node").select("node")
-    bad = materialize(bad, "fixity-ranges")
-    a, b = (t.join(bad, "node", "left_semi").select("address", "h", F.col("record_id").alias(f"id_{n}")) for t, n in ((a, "a"), (b, "b")))
-    return differing(a, b, "address").select(
+        below = level.join(above, F.shiftright("node", FAN) == F.col("up"), "left_semi")
+        bad = materialize(differing(below, "node").select("node"), "fixity-ranges")
+    id_of = lambda n: F.max(F.when(F.col("replica") == n, F.col("record_id"))).alias(f"id_{'ab'[n]}")
+    return differing(rows.join(bad, "node", "left_semi"), "address", id_of(0), id_of(1)).select(
         F.shiftright("address", ARCHIVE).alias("archive"),
         F.col("address").bitwiseAND(F.lit(2**ARCHIVE - 1)).alias("offset"),
         F.coalesce("id_a", "id_b").alias("record_id"),
