@@ -28,6 +28,18 @@ def hamming_hex(a: Column, b: Column) -> Column:
     return F.bit_count(number(a).bitwiseXOR(number(b)))
 
 
+def covering_masks(radius: int, bits: int = 64) -> list[int]:
+    """2**(radius + 1) - 1 masks of ``bits`` bits: any two numbers that differ in at most ``radius`` bits are equal under one of them.
+
+    Each position has a vector of radius + 1 bits; a mask keeps the positions whose vector has an odd product with the
+    mask's number. The vectors of ``radius`` positions don't span the space, so some mask leaves them all out.
+    """
+    top = 2 ** (radius + 1)
+    step = 1 if top <= bits else round(top * 0.618) | 1
+    vectors = [1 + i * step % (top - 1) for i in range(bits)]
+    return [sum(1 << i for i, v in enumerate(vectors) if (v & n).bit_count() % 2) for n in range(1, top)]
+
+
 def bits_to_hex(bits: Column) -> Column:
     """16 hex digits of an array of 64 zeros and ones, the first the highest."""
     return F.lpad(F.lower(F.conv(F.array_join(bits, ""), 2, 16)), 16, "0")

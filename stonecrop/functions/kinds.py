@@ -8,9 +8,13 @@ from pyspark.sql import functions as F
 from stonecrop.functions import paths
 
 #: Suffixes that count as images.
-IMAGE = {".jpg", ".jpeg", ".png", ".bmp", ".gif", ".tif", ".tiff", ".webp"}
+IMAGE = {".jpg", ".jpeg", ".png", ".gif", ".bmp", ".tif", ".tiff", ".webp"}
 #: Suffixes that count as text.
-TEXT = set(".txt .md .markdown .rst .json .jsonl .yaml .yml .toml .ini .cfg .conf .py .rs .js .ts .tsx .jsx .css .html .htm .xml .sql .sh .bash .zsh .fish .r .jl .go .java .c .cpp .h .hpp .rb .php .swift .kt .scala .lua .pl .pm .tf .tfvars .env .make .cmake .gradle .cs".split())
+TEXT = {
+    ".txt", ".md", ".markdown", ".rst", ".json", ".jsonl", ".yaml", ".yml", ".toml", ".ini", ".cfg", ".conf", ".py", ".rs", ".js", ".ts", ".tsx",
+    ".jsx", ".css", ".html", ".htm", ".xml", ".sql", ".sh", ".bash", ".zsh", ".fish", ".r", ".jl", ".go", ".java", ".c", ".cpp", ".h", ".hpp", ".rb",
+    ".php", ".swift", ".kt", ".scala", ".lua", ".pl", ".pm", ".tf", ".tfvars", ".env", ".make", ".cmake", ".gradle", ".cs",
+}
 
 
 def is_image(path: Column) -> Column:

@@ -2,8 +2,18 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+_SENTENCE_END = re.compile(r"(?<=[.!?])\s+")
 
 
 def tokens(text: Column) -> Column:
@@ -47,29 +57,69 @@ def sentences(text: Column) -> Column:
     return F.split(text, r"(?<=[.!?])\s+")
 
 
-def chunks(text: Column, max_tokens: int = 512) -> Column:
+def chunked(text: str, max_tokens: int = 512) -> list[str]:
     """Sentences packed greedily into chunks of at most three quarters of ``max_tokens`` words; a longer sentence is a chunk of its own.
 
     A text without sentences is one chunk of its first ``4 * max_tokens`` characters.
     """
-    most = int(max_tokens * 0.75)
-    parts = F.filter(F.transform(sentences(text), F.trim), lambda s: s != "")
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.array().cast("array<string>").alias("now"), F.lit(0).alias("n"))
-
-    def step(state: Column, s: Column) -> Column:
-        words = F.size(F.filter(F.split(s, r"\s+"), lambda w: w != ""))
-        full = (state["n"] + words > most) & (F.size(state["now"]) > 0)
-        return F.struct(
-            F.when(full, F.array_append(state["done"], F.array_join(state["now"], " "))).otherwise(state["done"]).alias("done"),
-            F.when(full, F.array(s)).otherwise(F.array_append(state["now"], s)).alias("now"),
-            F.when(full, words).otherwise(state["n"] + words).alias("n"),
-        )
-
-    def finish(state: Column) -> Column:
-        return F.when(F.size(state["now"]) > 0, F.array_append(state["done"], F.array_join(state["now"], " "))).otherwise(state["done"])
-
-    packed = F.aggregate(parts, start, step, finish)
-    return F.when(F.size(packed) > 0, packed).otherwise(F.array(F.substring(F.trim(text), 1, 4 * max_tokens)))
+    most, out, now, n = int(max_tokens * 0.75), [], [], 0
+    for s in _SENTENCE_END.split(text):
+        if s := s.strip():
+            words = len(s.split())
+            if now and n + words > most:
+                out.append(" ".join(now))
+                now, n = [], 0
+            now.append(s)
+            n += words
+    return [*out, " ".join(now)] if now else [text.strip()[: 4 * max_tokens]]
+
+
+def chunks(text: Column, max_tokens: int = 512) -> Column:
+    """``chunked`` of a column, in Arrow batches: the rule is sequential, and a fold of expressions copies all chunks at each sentence. Null for null."""
+    @F.pandas_udf("array<string>")
+    def made(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else chunked(t, max_tokens))
+
+    return made(text)
+
+
+#: Kept hashes of normalized words in a worker.
+REMEMBERED = 300_000
+
+
+def shingle_hashes(df: DataFrame, id_col: str, text_col: str, k: int = 3) -> DataFrame:
+    """(id, items): the distinct 64-bit hashes of each text's ``shingles``, sorted, in Arrow batches. Null counts as empty."""
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    kind = pa.list_(pa.int64())
+    find = re.compile(r"\w+").findall
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        for batch in batches:
+            out = []
+            for text in batch.column(1).to_pylist():
+                words = find((text or "").lower())
+                if len(known) > REMEMBERED:
+                    known.clear()
+                for w in words:
+                    if w not in known:
+                        known[w] = xxhash.xxh64_intdigest(_stemmed(w).encode(), 7)
+                h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+                n = len(h) - k + 1
+                total = np.full(max(n, 1), len(words) if n < 1 else k, np.uint64)
+                for j in range(k if n > 0 else len(h)):
+                    part = h[j : j + n] if n > 0 else h[j : j + 1]
+                    total = (total ^ part) * np.uint64(0x9E3779B97F4A7C15)
+                    total ^= total >> np.uint64(32)
+                out.append(np.unique(total).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], names=["id", "items"])
+
+    return rows.mapInArrow(run, T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("items", T.ArrayType(T.LongType()))]))
+
+
+def _stemmed(w: str) -> str:
+    """The rule of ``tokens``."""
+    return re.sub("(ed|ing|s)$", "", w) if len(w) > 4 else w.removesuffix("s") if len(w) == 4 else w
 
 
 def line_slice(text: Column, first: int = 1, last: int | None = None, max_chars: int | None = None) -> Column:

@@ -69,11 +69,17 @@ def across_directories(groups: DataFrame, prefixes: list[str]) -> DataFrame:
 def directory_overlap(groups: DataFrame, directory: Column, all_files: DataFrame | None = None, all_directory: Column | None = None, min_shared: int = 1) -> DataFrame:
     """(dir_a, dir_b, shared_files, dir_a_total_files, dir_b_total_files, overlap_pct) for directories that share groups.
 
-    A group counts once for each pair of directories that it is in. Totals and percentage are null without ``all_files``.
+    A group counts once for each pair of directories that it is in. Groups in the same directories are one to the join, which
+    counts them: mirrored trees make a pair of directories once, not once a file. Totals and percentage are null without ``all_files``.
     """
     each = groups.select("group_id", directory.alias("dir")).distinct()
-    a, b = each.alias("a"), each.alias("b")
-    pairs = a.join(b, (F.col("a.group_id") == F.col("b.group_id")) & (F.col("a.dir") < F.col("b.dir"))).groupBy(F.col("a.dir").alias("dir_a"), F.col("b.dir").alias("dir_b")).agg(F.count("*").alias("shared_files")).filter(F.col("shared_files") >= min_shared)
+    # a set of directories is known by its size and two sums of hashes, so none is gathered
+    sums = [F.sum(F.xxhash64(F.lit(i), "dir").cast("decimal(20,0)")).alias(f"h{i}") for i in range(2)]
+    sets = each.groupBy("group_id").agg(F.count("*").alias("n"), *sums).filter("n > 1")
+    kinds_ = sets.groupBy("n", "h0", "h1").agg(F.min("group_id").alias("group_id"), F.count("*").alias("times")).select("group_id", "times")
+    weighed = each.join(kinds_, "group_id")
+    a, b = weighed.alias("a"), weighed.alias("b")
+    pairs = a.join(b, (F.col("a.group_id") == F.col("b.group_id")) & (F.col("a.dir") < F.col("b.dir"))).groupBy(F.col("a.dir").alias("dir_a"), F.col("b.dir").alias("dir_b")).agg(F.sum("a.times").alias("shared_files")).filter(F.col("shared_files") >= min_shared)
     if all_files is None:
         none = F.lit(None)
         return pairs.select("dir_a", "dir_b", "shared_files", none.cast("long").alias("dir_a_total_files"), none.cast("long").alias("dir_b_total_files"), none.cast("double").alias("overlap_pct"))

@@ -2,38 +2,129 @@
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from stonecrop.functions import hashing
 from stonecrop.functions import text as text_functions
 from stonecrop.sources.files import materialize
 
+#: Distance up to which covering masks are fewer than what they save.
+MASKED = 7
 
-def set_pairs(sets: DataFrame, threshold: float, id_col: str = "id", items_col: str = "items") -> DataFrame:
+
+#: Items that count as frequent: at most so many can have as large a share of all places as one in so many. 16 bytes each are broadcast.
+FREQUENT = 1_000_000
+#: Sets of a bucket that meet on a second item too.
+BUCKET = 1_000
+#: Sets of one side of a part of a bucket that is still too large then.
+PART = 500
+
+
+def prefixes(sets: DataFrame, threshold: float, order: np.ndarray, deeper: DataFrame | None = None) -> DataFrame:
+    """Rows (id, n, item, second) of the first items of each set (id, items) by a total order.
+
+    ``order`` has the frequent items, the rarest first; they come after all others, which go by value. Without ``deeper`` a set has a row
+    for each of its first ``n - ceil(t * n) + 1`` items, and ``second`` is null. With ``deeper`` (item), it has a row for each
+    of those that are in it, with each later item of the first ``n - ceil(t * n) + 2``.
+    """
+    handle = sets.sparkSession.sparkContext.broadcast((np.sort(order), np.argsort(order), None if deeper is None else deeper.toArrow().column("item").to_numpy()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, place, wanted = handle.value
+        for batch in batches:
+            rows: list[tuple] = []
+            for at, items in enumerate(batch.column(1)):
+                v = items.values.to_numpy()
+                n = len(v)
+                keep = n - math.ceil(n * threshold - 1e-9) + 1
+                rank = np.zeros(n, np.int64)
+                if len(known):
+                    i = np.minimum(np.searchsorted(known, v), len(known) - 1)
+                    rank = np.where(known[i] == v, place[i] + 1, 0)
+                ordered = v[np.lexsort((v, rank))[: keep + 1]]
+                if wanted is None:
+                    rows.append((at, n, ordered[:keep], None))
+                    continue
+                for j in np.flatnonzero(np.isin(ordered[:keep], wanted)).tolist():
+                    rows.append((at, n, np.full(len(ordered) - j - 1, ordered[j]), ordered[j + 1 :]))
+            if rows:
+                sizes = [len(r[2]) for r in rows]
+                item = np.concatenate([r[2] for r in rows])
+                second = pa.nulls(len(item), pa.int64()) if wanted is None else pa.array(np.concatenate([r[3] for r in rows]), pa.int64())
+                ids = batch.column(0).take(pa.array(np.repeat([r[0] for r in rows], sizes)))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(np.repeat([r[1] for r in rows], sizes), pa.int32()), pa.array(item, pa.int64()), second], names=["id", "n", "item", "second"])
+
+    kind = sets.schema["id"].dataType
+    return sets.select("id", "items").mapInArrow(run, T.StructType([T.StructField("id", kind), T.StructField("n", T.IntegerType()), T.StructField("item", T.LongType()), T.StructField("second", T.LongType())]))
+
+
+def _met(rows: DataFrame, threshold: float, keys: list[str], others: DataFrame | None = None) -> DataFrame:
+    """(a, b) of rows (id, n, *keys) that share the keys, with sizes within the threshold of each other."""
+    a, b = rows.alias("a"), (rows if others is None else others).alias("b")
+    close = (F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * threshold - 1e-9) & (F.col("a.id") < F.col("b.id"))
+    same = functools.reduce(operator.and_, [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys])
+    return a.join(b, same & close).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+
+
+def _met_in_parts(rows: DataFrame, threshold: float, keys: list[str]) -> DataFrame:
+    """As ``_met``, but each bucket is dealt to parts, and each two parts to a task of their own."""
+    sizes = rows.groupBy(*keys).agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    dealt = rows.join(sizes, keys).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    columns = ["id", "n", *keys, "part", "other"]
+    left = dealt.withColumn("other", every).select(*columns)
+    right = dealt.withColumn("other", F.col("part")).withColumn("part", every).select(*columns)
+    return _met(left, threshold, [*keys, "part", "other"], right)
+
+
+def set_pairs(sets: DataFrame, threshold: float, id_col: str = "id", items_col: str = "items", bucket: int = BUCKET) -> DataFrame:
     """(a, b, similarity) with a < b of all sets of Jaccard similarity ``threshold`` or more. Exact.
 
-    Items are ordered by how many sets have them, the rarest first. Two similar sets share one of
+    Items have a total order, the frequent ones last. Two similar sets share one of
     the first ``n - ceil(t * n) + 1`` items of either, so only those are joined, with sizes
-    within the threshold of each other; what meets is verified on the whole sets. Sets must be distinct
+    within the threshold of each other; what meets is verified on the whole sets. An item that more than ``bucket`` sets have there
+    doesn't join them: similar sets of more than one item in common share a second one, too, of one more of their first items, so (item, second) does;
+    what is still as frequent is dealt in parts, each two of which are a task. Sets must be distinct
     (``classes_of_sets``), so a group of copies is one row.
     """
     if not 0 < threshold <= 1:
         raise ValueError("the threshold must be over 0 and at most 1")
     sets = sets.select(F.col(id_col).alias("id"), F.col(items_col).alias("items"))
-    each = sets.select("id", F.size("items").alias("n"), F.explode("items").alias("item"))
-    counts = each.groupBy("item").agg(F.count("*").alias("df"))
-    # an item that one set has can't be shared, but it takes its place in the order
-    ranked = each.join(counts, "item").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "item"))).alias("order"))
-    keep = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9).cast("int") + 1
-    prefix = ranked.select("id", "n", F.explode(F.slice("order", F.lit(1), keep)).alias("x")).filter("x.df > 1").select("id", "n", "x.item")
-    a, b = prefix.alias("a"), prefix.alias("b")
-    close = (F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * threshold - 1e-9) & (F.col("a.id") < F.col("b.id"))
-    met = a.join(b, (F.col("a.item") == F.col("b.item")) & close).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+    # items of any type are compared by 64-bit hashes until they are verified
+    numbers = sets.schema["items"].dataType.elementType == T.LongType()
+    coded = sets if numbers else sets.select("id", F.transform("items", lambda x: F.xxhash64(x)).alias("items"))
+    counts = coded.select(F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("df"))
+    total = coded.agg(F.coalesce(F.sum(F.size("items")), F.lit(0))).first()[0]
+    often = counts.filter(F.col("df") > F.lit(max(1, total // FREQUENT))).toArrow()
+    order = often.column("item").to_numpy()[np.lexsort((often.column("item").to_numpy(), often.column("df").to_numpy()))]
+    first = materialize(prefixes(coded, threshold, order), "set-prefixes")
+    hot = materialize(first.groupBy("item").agg(F.count("*").alias("m")).filter(F.col("m") > bucket).select("item"), "hot-items")
+    n_hot = hot.count()
+    rare = first.join(F.broadcast(hot) if n_hot <= FREQUENT else hot, "item", "left_anti")
+    met = _met(rare, threshold, ["item"])
+    if n_hot:
+        fresh = []
+        step = FREQUENT
+        for block in range(-(-n_hot // step)):
+            part = hot.filter(F.pmod(F.xxhash64("item"), F.lit(-(-n_hot // step))) == block)
+            fresh.append(prefixes(coded, threshold, order, part))
+        second = materialize(functools.reduce(DataFrame.unionByName, fresh), "set-second-items")
+        many = materialize(second.groupBy("item", "second").agg(F.count("*").alias("m")).filter(F.col("m") > bucket).select("item", "second"), "hot-pairs")
+        met = met.unionByName(_met(second.join(many, ["item", "second"], "left_anti"), threshold, ["item", "second"]))
+        met = met.unionByName(_met_in_parts(second.join(many, ["item", "second"], "left_semi"), threshold, ["item", "second"]))
+        # similar sets that share a single item have at most 1 / t each
+        small = first.filter(F.col("n") <= 1 / threshold + 1e-9).join(hot, "item", "left_semi")
+        met = met.unionByName(_met_in_parts(small, threshold, ["item"]))
+    met = met.distinct()
     both = met.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
     return both.select("a", "b", text_functions.jaccard(F.col("x"), F.col("y")).alias("similarity")).filter(F.col("similarity") >= threshold)
 
@@ -48,9 +139,8 @@ def classes_of_sets(rows: DataFrame, id_col: str, items_col: str) -> DataFrame:
 
 def near_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """Membership (id, rep) and pairs (a, b, similarity) between representatives of equal shingle sets."""
-    rows = docs.select(F.col(id_col).alias("id"), text_functions.shingles(F.col(text_col), k).alias("items"))
-    # 64-bit hashes stand for shingles; the sets are read several times, so they are written once
-    rows = materialize(rows.select("id", F.array_distinct(F.transform("items", lambda x: F.xxhash64(x))).alias("items")), "shingle-sets")
+    # the sets are read several times, so they are written once
+    rows = materialize(text_functions.shingle_hashes(docs, id_col, text_col, k), "shingle-sets")
     members = classes_of_sets(rows, "id", "items")
     sets = materialize(members.filter("id = rep").dropDuplicates(["id"]).select("id", "items"), "distinct-sets")
     return members.select("id", "rep"), set_pairs(sets, threshold)
@@ -84,17 +174,22 @@ def leaders(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 def hamming_pairs(rows: DataFrame, most: int, id_col: str = "id", hash_col: str = "hash") -> DataFrame:
     """(a, b, distance) with a < b of 64-bit hex hashes at most ``most`` bits apart. Exact.
 
-    Of ``most + 1`` bands of bits one is equal in any such pair, so an equi-join on (band, value) finds
-    all. Rows must have distinct hashes.
+    Any such pair is equal under one of 2**(most + 1) - 1 covering masks, each of about half the bits, so an equi-join on
+    (mask, masked bits) finds all, and few others however many rows there are. Rows must have distinct hashes. Of more than
+    ``MASKED`` bits bands are joined instead: of ``most + 1`` of them one is equal.
     """
-    bands, width = most + 1, math.ceil(64 / (most + 1))
     number = F.conv(F.col(hash_col), 16, -10).cast("long")
     one = rows.select(F.col(id_col).alias("id"), number.alias("h"))
-    band = lambda i: F.shiftrightunsigned("h", width * i).bitwiseAND(F.lit((1 << min(width, 64 - width * i)) - 1 if width < 64 else -1))
-    dealt = one.select("id", "h", F.explode(F.array(*[F.struct(F.lit(i).alias("band"), band(i).alias("value")) for i in range(bands) if width * i < 64])).alias("x")).select("id", "h", "x.band", "x.value")
+    if most <= MASKED:
+        parts = [m - 2**64 if m >= 2**63 else m for m in hashing.covering_masks(most)]
+    else:
+        width = math.ceil(64 / (most + 1))
+        parts = [m - 2**64 if m >= 2**63 else m for m in (((1 << min(width, 64 - i)) - 1) << i for i in range(0, 64, width))]
+    masks = F.array(*[F.struct(F.lit(i).alias("mask"), F.col("h").bitwiseAND(F.lit(m)).alias("value")) for i, m in enumerate(parts)])
+    dealt = one.select("id", "h", F.explode(masks).alias("x")).select("id", "h", "x.mask", "x.value")
     a, b = dealt.alias("a"), dealt.alias("b")
     distance = F.bit_count(F.col("a.h").bitwiseXOR(F.col("b.h"))).cast("long")
-    met = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.value") == F.col("b.value")) & (F.col("a.id") < F.col("b.id")) & (distance <= most))
+    met = a.join(b, (F.col("a.mask") == F.col("b.mask")) & (F.col("a.value") == F.col("b.value")) & (F.col("a.id") < F.col("b.id")) & (distance <= most))
     return met.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), distance.alias("distance")).distinct()
 
 
@@ -106,65 +201,87 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a)) / F.sqrt(dot(b, b))
 
 
-#: Queries of a block: with 1024 doubles each, 16 MB.
+#: Queries that go out to all tasks, and rows or queries of a block of the grid: with 1024 doubles each, 16 MB.
 QUERY_BLOCK = 2048
+NEIGHBOURS = "query long, neighbour long, similarity double"
 
 
-def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "id", vector_col: str = "vector", skip_self: bool = True) -> DataFrame:
-    """(query, rank, neighbour, similarity): the ``k`` rows of greatest cosine for each query, ties by id. Exact.
+def _unit(m: np.ndarray) -> np.ndarray:
+    n = np.linalg.norm(m, axis=1, keepdims=True)
+    return m / np.where(n == 0, 1, n)
 
-    Queries go out in blocks of ``QUERY_BLOCK``; each batch of rows is one matrix product, and a task
-    keeps ``k`` rows a query, so what is merged doesn't grow with the rows. Null vectors match nothing; a zero vector
-    has similarity 0 to all.
-    """
-    spark: SparkSession = rows.sparkSession
-    data = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).dropna()
-    asked = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).dropna().orderBy("id")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
-    schema = "query long, neighbour long, similarity double"
-    parts = []
 
-    def unit(m: np.ndarray) -> np.ndarray:
-        n = np.linalg.norm(m, axis=1, keepdims=True)
-        return m / np.where(n == 0, 1, n)
+class _Best:
+    """The ``k`` rows of greatest cosine for each of some queries, from blocks of rows."""
 
-    def send(block: list) -> None:
-        handle = spark.sparkContext.broadcast((np.array([r["id"] for r in block], np.int64), unit(np.array([r["v"] for r in block], float))))
+    def __init__(self, names: np.ndarray, vectors: np.ndarray, k: int, skip_self: bool) -> None:
+        self.names, self.vectors, self.k, self.skip_self = names, vectors, k, skip_self
+        self.s, self.i = np.full((len(names), 0), 0.0), np.full((len(names), 0), 0, np.int64)
 
-        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            names, q = handle.value
-            best_s = np.full((len(names), 0), 0.0)
-            best_i = np.full((len(names), 0), 0, np.int64)
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                ids = batch.column(0).to_numpy()
-                m = unit(np.stack(batch.column(1).to_numpy(zero_copy_only=False)))
-                s = q @ m.T
-                if skip_self:
-                    s[names[:, None] == ids[None]] = -np.inf
-                s = np.concatenate([best_s, s], 1)
-                i = np.concatenate([best_i, np.broadcast_to(ids, (len(names), len(ids)))], 1)
-                order = np.lexsort((i, -s), axis=1)[:, :k]
-                best_s, best_i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
-            good = np.isfinite(best_s)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, good.sum(1))), pa.array(best_i[good]), pa.array(best_s[good])], names=["query", "neighbour", "similarity"])
-
-        parts.append(data.mapInArrow(search, schema))
-
-    block: list = []
-    for r in asked.toLocalIterator():
-        block.append(r)
-        if len(block) == QUERY_BLOCK:
-            send(block)
-            block = []
-    if block:
-        send(block)
-    if not parts:
-        return spark.createDataFrame([], "query long, rank int, neighbour long, similarity double")
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
+    def see(self, ids: np.ndarray, m: np.ndarray) -> None:
+        for a in range(0, len(ids), QUERY_BLOCK):
+            some, s = ids[a : a + QUERY_BLOCK], self.vectors @ _unit(m[a : a + QUERY_BLOCK]).T
+            if self.skip_self:
+                s[self.names[:, None] == some[None]] = -np.inf
+            s = np.concatenate([self.s, s], 1)
+            i = np.concatenate([self.i, np.broadcast_to(some, (len(self.names), len(some)))], 1)
+            order = np.lexsort((i, -s), axis=1)[:, : self.k]
+            self.s, self.i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
+
+    def rows(self) -> list[pa.Array]:
+        good = np.isfinite(self.s)
+        return [pa.array(np.repeat(self.names, good.sum(1)), pa.int64()), pa.array(self.i[good], pa.int64()), pa.array(self.s[good], pa.float64())]
+
+
+def _stacked(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return np.stack(column.to_numpy(zero_copy_only=False)) if isinstance(column, pa.Array) else np.stack(column.to_numpy())
+
+
+def _by_broadcast(data: DataFrame, asked: list, k: int, skip_self: bool) -> DataFrame:
+    handle = data.sparkSession.sparkContext.broadcast((np.array([r["id"] for r in asked], np.int64), _unit(np.array([r["v"] for r in asked], float))))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = _Best(*handle.value, k, skip_self)
+        for batch in batches:
+            if batch.num_rows:
+                best.see(batch.column(0).to_numpy(), _stacked(batch.column(1)))
+        yield pa.RecordBatch.from_arrays(best.rows(), names=["query", "neighbour", "similarity"])
+
+    return data.mapInArrow(search, NEIGHBOURS)
+
+
+def _by_grid(data: DataFrame, asked: DataFrame, k: int, skip_self: bool, block: int) -> DataFrame:
+    """Blocks of queries against blocks of rows, each two of them in a task of their own."""
+    across, down = (max(1, -(-t.count() // block)) for t in (asked, data))
+    deal = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    q = asked.select("id", "v", deal(across).alias("q"), F.explode(F.sequence(F.lit(0), F.lit(down - 1))).alias("r"))
+    r = data.select("id", "v", deal(down).alias("r"), F.explode(F.sequence(F.lit(0), F.lit(across - 1))).alias("q"))
+
+    def search(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not (left.num_rows and right.num_rows):
+            return pa.table({"query": pa.array([], pa.int64()), "neighbour": pa.array([], pa.int64()), "similarity": pa.array([], pa.float64())})
+        best = _Best(left.column("id").to_numpy(), _unit(_stacked(left.column("v"))), k, skip_self)
+        best.see(right.column("id").to_numpy(), _stacked(right.column("v")))
+        return pa.Table.from_arrays(best.rows(), names=["query", "neighbour", "similarity"])
+
+    return q.groupBy("q", "r").cogroup(r.groupBy("q", "r")).applyInArrow(search, NEIGHBOURS)
+
+
+def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "id", vector_col: str = "vector", skip_self: bool = True, block: int = QUERY_BLOCK) -> DataFrame:
+    """(query, rank, neighbour, similarity): the ``k`` rows of greatest cosine for each query, ties by id. Exact.
+
+    Up to ``block`` queries are sent to all tasks; each batch of rows is a matrix product. More of them are dealt, like the rows, in
+    blocks, each two of which are a task, and none passes through the driver. A task keeps ``k`` rows a query, so what is merged
+    doesn't grow with the rows of a block. Null vectors match nothing; a zero vector has similarity 0 to all.
+    """
+    data = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).dropna()
+    asked = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).dropna()
+    few = asked.limit(block + 1).collect()
+    found = _by_broadcast(data, sorted(few, key=lambda r: r["id"]), k, skip_self) if 0 < len(few) <= block else None
+    if found is None:
+        if not few:
+            return rows.sparkSession.createDataFrame([], "query long, rank int, neighbour long, similarity double")
+        found = _by_grid(data, asked, k, skip_self, block)
     top = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("s"), "neighbour"))), 1, k)
     return found.groupBy("query").agg(top.alias("top")).select("query", F.posexplode("top").alias("at", "x")).select("query", (F.col("at") + 1).alias("rank"), "x.neighbour", (-F.col("x.s")).alias("similarity"))
 
