@@ -6,8 +6,12 @@ import json
 import os
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from stonecrop.functions import kinds
+from stonecrop.functions.text import line_slice
 from stonecrop.operators import integrity, profile, quality, report
 from stonecrop.operators.frame import FileFrame
 from stonecrop.operators.pipeline import Dataset
@@ -46,6 +50,28 @@ def sample_paths(spark: SparkSession, path: str, sample_size: int = 20) -> list[
     return [r["path"] for r in tree.scan(spark, path, with_stats=False).select("path").orderBy("path").limit(sample_size).collect()]
 
 
+#: Bytes of a file that is read as text at most, unless a caller says otherwise.
+READ_LIMIT = 10 * 2**20
+
+
+def read_lines(files: DataFrame, first: int = 1, last: int | None = None, max_chars: int | None = None, limit: int = READ_LIMIT) -> DataFrame:
+    """``files`` (path) with lines ``first`` to ``last`` of each, read by the tasks; null for a file that isn't there, isn't text or is over ``limit`` bytes."""
+    @F.pandas_udf("string")
+    def text(given: pd.Series) -> pd.Series:
+        def one(path: str | None) -> str | None:
+            try:
+                if path is None or os.path.getsize(path) > limit:
+                    return None
+                with open(path, "rb") as f:
+                    return f.read().decode()
+            except (OSError, UnicodeDecodeError):
+                return None
+
+        return given.map(one)
+
+    return files.withColumn("lines", line_slice(text("path"), first, last, max_chars))
+
+
 def snapshot(spark: SparkSession, path: str, mode: str = "fast", save_to: str | None = None, **options: object) -> integrity.Snapshot:
     made = Dataset(spark, path).snap(mode, **options)
     if save_to:
@@ -77,9 +103,24 @@ def verify(spark: SparkSession, path: str, reference: integrity.Snapshot | DataF
     return integrity.verify_manifest(reference, tree.scan(spark, path, compute_hash=True).select("path", "is_dir", "size_bytes", "sha256"))
 
 
-def audit(spark: SparkSession, path: str, policy: str | None = None, format: str = "json") -> tuple[str, int]:
+def audit(spark: SparkSession, path: str, policy: str | None = None, format: str = "json", include_hidden: bool = True, show_evidence: bool = False) -> tuple[str, int]:
     """The rendered report of a directory and an exit code."""
-    metrics = quality.audit(tree.scan(spark, path, compute_hash=True).filter("is_file"))
-    gates = quality.gate_results(metrics, quality.gate_policy(policy)) if policy else []
-    made = report.as_dict(metrics, gates)
+    files = tree.with_content(tree.scan(spark, path, hidden=include_hidden, compute_hash=True).filter("is_file"), kinds.is_image(F.col("path")))
+    made = report.full(integrity.with_corruption(files, content_col="content").drop("content"), policy and quality.gate_policy(policy), show_evidence=show_evidence)
     return report.rendered(made, format), report.exit_code(made)
+
+
+def watch(spark: SparkSession, path: str, before: integrity.Snapshot, gates: dict[str, float] | None = None, export: str | None = None) -> tuple[dict, int]:
+    """The counts of changes since a snapshot, the changed paths by status, the gates' results; and an exit code. ``export`` is a JSON file for it."""
+    changes = Dataset(spark, path).verify(before).filter("status <> 'matched'")
+    counts = {r["status"]: r["n"] for r in changes.groupBy("status").agg(F.count("*").alias("n")).collect()}
+    counts = {s: counts.get(s, 0) for s in ("modified", "missing", "added")}
+    passed = {g: counts[g] <= most for g, most in (gates or {}).items() if g in counts}
+    made = {"path": path, "mode": before.mode, "summary": counts, "gates": passed, "passed": all(passed.values())}
+    if export:
+        lists = {s: [] for s in counts}
+        for r in changes.orderBy("path").toLocalIterator():
+            lists[r["status"]].append(r["path"])
+        with open(export, "w", encoding="utf-8") as f:
+            json.dump(made | {"changes": lists}, f, indent=2)
+    return made, 0 if made["passed"] else 1

@@ -103,6 +103,28 @@ def glob_regex(pattern: str) -> str:
     return "^(?s:" + fnmatch.translate(pattern).removeprefix("(?s:").removesuffix(")\\z").removesuffix(")\\Z") + ")$"
 
 
+def match_regex(pattern: str) -> str:
+    """The regular expression of a glob on the last segments of a path, as many as the pattern has; on the whole path if it starts with a slash.
+
+    ``*``, ``?`` and sets don't match a slash.
+    """
+    def segment(given: str) -> str:
+        out, i = "", 0
+        while i < len(given):
+            c, i = given[i], i + 1
+            end = given.find("]", i + 1 + given[i : i + 1].count("!")) if c == "[" else -1
+            if end > 0:
+                inside = given[i:end].replace("\\", "\\\\").replace("[", "\\[").replace("&", "\\&")
+                out += "[^/" + inside[1:] + "]" if inside.startswith("!") else "[" + inside.replace("^", "\\^") + "]"
+                i = end + 1
+            else:
+                out += {"*": "[^/]*", "?": "[^/]"}.get(c) or re.escape(c)
+        return out
+
+    parts = [segment(x) for x in pattern.split("/") if x and x != "."]
+    return ("^/" if pattern.startswith("/") else "^(?:.*/)?") + "/".join(parts) + "$"
+
+
 def pattern_regex(pattern: str, glob: bool = False, case_sensitive: bool = False) -> str | None:
     """A search pattern as a regular expression on names; null matches nothing, as a bad pattern does."""
     if not pattern or pattern == ".":

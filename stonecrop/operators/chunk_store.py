@@ -19,6 +19,12 @@ def chunk_rows(files: DataFrame, path_col: str = "path", text_col: str = "text",
     return made.withColumn("chunk_idx", F.col("chunk_idx").cast("long"))
 
 
+def changed_files(files: DataFrame, known: DataFrame) -> DataFrame:
+    """``files`` whose (path, mtime) ``known`` doesn't have."""
+    key = lambda df: df.select("path", F.col("mtime").cast("string").alias("mtime"))
+    return files.withColumn("mtime", F.col("mtime").cast("string")).join(key(known).distinct(), ["path", "mtime"], "left_anti")
+
+
 class ChunkStore:
     """Parquet folders, one a version; the newest counts."""
 
@@ -33,7 +39,7 @@ class ChunkStore:
         """Take in files (path, text, mtime): those new or changed are chunked and embedded; chunks of changed and gone files go."""
         files = files.filter(kinds.is_text(F.col("path"))).withColumn("mtime", F.col("mtime").cast("string"))
         old = self.table
-        new = files if old is None else files.join(old.select("path", "mtime").distinct(), ["path", "mtime"], "left_anti")
+        new = files if old is None else changed_files(files, old)
         made = embed.text_embedding(chunk_rows(new, max_tokens=self.max_tokens), embedder=self.embedder, max_chars=None, out="vector")
         if old is not None:
             made = old.join(files.select("path", "mtime").distinct(), ["path", "mtime"], "left_semi").select(*made.columns).unionByName(made)

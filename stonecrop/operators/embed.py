@@ -42,17 +42,22 @@ def metadata_embedding(df: DataFrame, numeric: list[str] = (), datetimes: list[s
     return df.withColumn(out, F.array(*parts).cast("array<double>"))
 
 
+#: Factors of the code points of a trigram in its hash.
+FACTORS = (7919, 104729, 1299709)
+
+
 def hashed_embedder(dimensions: int = 64) -> Callable[[list[str]], list[list[float]]]:
-    """A deterministic stand-in for a model: signed hashes of character trigrams, to unit length."""
-    import zlib
+    """A deterministic stand-in for a model: signed hashes of character trigrams, to unit length.
 
+    With a text lower-cased and a space on either side, trigram abc has h = 7919 a + 104729 b + 1299709 c of its code
+    points; it adds 1 to place h mod ``dimensions`` if (h div ``dimensions``) is odd, and takes 1 if it is even.
+    """
     def embed(texts: list[str]) -> list[list[float]]:
         out = np.zeros((len(texts), dimensions))
-        for i, t in enumerate(texts):
-            t = f" {t.lower()} "
-            for j in range(len(t) - 2):
-                h = zlib.crc32(t[j : j + 3].encode())
-                out[i, h % dimensions] += 1 if h >> 31 else -1
+        for row, text in zip(out, texts, strict=True):
+            points = np.frombuffer(f" {text.lower()} ".encode("utf-32-le"), "<u4").astype(np.int64)
+            h = points[:-2] * FACTORS[0] + points[1:-1] * FACTORS[1] + points[2:] * FACTORS[2]
+            row += np.bincount(h % dimensions, weights=2.0 * (h // dimensions % 2) - 1, minlength=dimensions)
         n = np.linalg.norm(out, axis=1, keepdims=True)
         return (out / np.where(n == 0, 1, n)).tolist()
 

@@ -53,10 +53,17 @@ class FileFrame:
     def add_lineage_entry(self, operation: str, **params: Any) -> FileFrame:
         return self._next(self.df, operation, **params)
 
-    def with_value(self, name: str, value: Any) -> FileFrame:
-        """A column of a constant or an expression; lists by row position have no meaning here."""
+    def with_value(self, name: str, value: Any, order: str | list[str] | None = None) -> FileFrame:
+        """A column of a constant, an expression, or a list with a value for each row by ``order``."""
         if isinstance(value, list):
-            raise TypeError("rows have no positions; join the values on a key")
+            if order is None:
+                raise TypeError("rows have no positions: a list needs an order")
+            rows = self.with_row_index(order, "__at").df
+            if rows.count() != len(value):
+                raise ValueError(f"{len(value)} values for {rows.count()} rows")
+            made = rows.sparkSession.createDataFrame([(i, x) for i, x in enumerate(value)], ["__at", "__value"]) if value else None
+            joined = rows.drop(name).join(made, "__at") if made is not None else rows.drop(name).withColumn("__value", F.lit(None))
+            return self._next(joined.withColumnRenamed("__value", name).drop("__at"), "assign", column=name)
         return self._next(self.df.withColumn(name, value if isinstance(value, Column) else F.lit(value)), "assign", column=name)
 
     def add_path_components(self) -> FileFrame:
@@ -122,11 +129,18 @@ class FileFrame:
     def sort(self, by: str | list[str], descending: bool = False) -> FileFrame:
         return self._next(relational.sort(self.df, by, descending), "sort", by=by, descending=descending)
 
-    def head(self, n: int = 5) -> FileFrame:
-        return self._next(self.df.limit(n), "head", n=n)
+    def head(self, n: int = 5, order: list[str] | None = None) -> FileFrame:
+        """The first ``n`` rows by ``order``; by path, or by all columns, unless it is given."""
+        by = order or (["path"] if "path" in self.df.columns else self.df.columns)
+        return self._next(self.df.orderBy(*by).limit(n), "head", n=n)
+
+    def largest(self, n: int = 10, ascending: bool = False, column: str = "size_bytes") -> FileFrame:
+        """The ``n`` largest or smallest files, ``n`` held to 1 to 100; ties by path."""
+        key = F.asc_nulls_last(column) if ascending else F.desc_nulls_last(column)
+        return self._next(self.df.orderBy(key, *(["path"] if "path" in self.df.columns else [])).limit(max(1, min(100, n))), "largest", n=n)
 
     def tail(self, n: int = 5, order: list[str] | None = None) -> FileFrame:
-        return self._next(relational.tail(self.df, n, order or ["path"]), "tail", n=n)
+        return self._next(relational.tail(self.df, n, order or (["path"] if "path" in self.df.columns else self.df.columns)), "tail", n=n)
 
     def unique(self, subset: list[str] | None = None) -> FileFrame:
         keys = subset or self.df.columns
@@ -142,6 +156,40 @@ class FileFrame:
     def save(self, path: str, format: str | None = None) -> None:
         files.save(self.df, path, format)
 
+    def save_array(self, path: str) -> None:
+        """One JSON file that holds an array of the rows."""
+        files.save_array(self.df, path)
+
+    def sql(self, query: str, name: str = "self") -> FileFrame:
+        """A query over this frame as the table ``name``."""
+        return self._next(self.df.sparkSession.sql(query.replace(f"{{{name}}}", "{frame}"), frame=self.df), "sql", query=query)
+
+    def summarize(self, top: int = 10) -> dict:
+        """The number of rows and the ``top`` extensions and directories with their counts."""
+        parts = {"extensions": profile.extension_counts(self.df, top=top), "directories": profile.directory_counts(self.df, top=top)}
+        return {"rows": self.df.count()} | {k: {r[0]: r[1] for r in v.collect()} for k, v in parts.items()}
+
+    def with_row_index(self, order: str | list[str], name: str = "index", offset: int = 0) -> FileFrame:
+        """A column with each row's place by ``order``, by counts of the rows before its partition; no partition holds all rows."""
+        return self._next(relational.with_row_index(self.df, [order] if isinstance(order, str) else order, name, offset), "with_row_index", order=order)
+
+    def to_arrow(self):
+        return self.df.toArrow()
+
+    def to_polars(self):
+        """Through Arrow; needs polars."""
+        import polars
+
+        return polars.from_arrow(self.df.toArrow())
+
+    def iter_rows(self, named: bool = False):
+        """Rows one partition at a time, as tuples or dicts."""
+        for r in self.df.toLocalIterator():
+            yield r.asDict() if named else tuple(r)
+
+    def to_dicts(self) -> list[dict]:
+        return [r.asDict() for r in self.df.collect()]
+
     def to_dict(self) -> dict[str, list]:
         return self.df.toPandas().to_dict("list")
 

@@ -6,37 +6,39 @@ import json
 import time
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stonecrop.functions import hashing, paths
+from stonecrop.sources import images
 
 MODES = ("fast", "deep", "full")
 MATCH = {"fast": ["hash_fast"], "deep": ["hash_fast", "hash_deep"], "full": ["hash_full"]}
 
 
-def entries(df: DataFrame, mode: str = "fast", path_col: str = "path", size_col: str = "size_bytes", mtime_col: str = "mtime", content_col: str | None = None, pattern: str | None = None, include_hidden: bool = True) -> DataFrame:
+def entries(df: DataFrame, mode: str = "fast", path_col: str = "path", size_col: str = "size_bytes", mtime_col: str = "mtime", content_col: str | None = None, pattern: str | None = None, include_hidden: bool = True, hash_col: str | None = None) -> DataFrame:
     """Snapshot entries (path, size, mtime, hash_fast, hash_deep, hash_full) of a table of files.
 
-    ``deep`` and ``full`` need the content. ``pattern`` is a glob on the end of the path.
+    ``deep`` and ``full`` need the content, or the hash of that mode in ``hash_col``. ``pattern`` is a glob on the last segments of the path, as many as it has.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
-    if mode != "fast" and not content_col:
+    if mode != "fast" and not (content_col or hash_col):
         raise ValueError(f"mode {mode} needs the content")
     rows = df
     if not include_hidden:
         rows = rows.filter(~paths.hidden(F.col(path_col)))
     if pattern:
-        rows = rows.filter(paths.name(F.col(path_col)).rlike(paths.glob_regex(pattern)))
+        rows = rows.filter(paths.normalized(F.col(path_col)).rlike(paths.match_regex(pattern)))
     none = F.lit(None).cast("string")
     return rows.select(
         F.col(path_col).alias("path"),
         F.col(size_col).cast("long").alias("size"),
         F.col(mtime_col).cast("double").alias("mtime"),
         hashing.fast_hash(paths.name(F.col(path_col)), F.col(size_col), F.col(mtime_col)).alias("hash_fast"),
-        (hashing.deep_hash(F.col(content_col)) if mode == "deep" else none).alias("hash_deep"),
-        (hashing.full_hash(F.col(content_col)) if mode == "full" else none).alias("hash_full"),
+        (none if mode != "deep" else F.col(hash_col) if hash_col else hashing.deep_hash(F.col(content_col))).alias("hash_deep"),
+        (none if mode != "full" else F.col(hash_col) if hash_col else hashing.full_hash(F.col(content_col))).alias("hash_full"),
     )
 
 
@@ -109,6 +111,11 @@ def manifest_summary(files: DataFrame) -> DataFrame:
     return files.agg(F.count("*").alias("total_files"), F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("total_size_bytes"))
 
 
+def load_manifest(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
+    """The files of a saved manifest and its header."""
+    return spark.read.parquet(f"{path}/files"), json.loads(spark.read.text(f"{path}/header").first()[0])
+
+
 def save_manifest(files: DataFrame, path: str, lineage: list[dict] | None = None) -> None:
     """A folder with the files (path, size_bytes, modified_time, sha256) as Parquet and a JSON header."""
     total = manifest_summary(files).first().asDict()
@@ -117,18 +124,26 @@ def save_manifest(files: DataFrame, path: str, lineage: list[dict] | None = None
     files.sparkSession.createDataFrame([(header,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/header")
 
 
-#: The first bytes of image files, in hex, by suffix.
-MAGIC = {".jpg": "FFD8FF", ".jpeg": "FFD8FF", ".png": "89504E470D0A1A0A", ".bmp": "424D"}
+#: Suffixes of images that are checked.
+CHECKED = (".jpg", ".jpeg", ".png", ".bmp")
 
 
 def with_corruption(df: DataFrame, path_col: str = "path", size_col: str = "size_bytes", content_col: str | None = None, is_file_col: str | None = None) -> DataFrame:
-    """Add corruption_reason and is_corrupt: zero_byte, or corrupt_or_unsupported for images without their magic bytes. What isn't a file is not corrupt."""
+    """Add corruption_reason and is_corrupt: zero_byte, or corrupt_or_unsupported for images that are cut short or are none. What isn't a file is not corrupt.
+
+    With the content, PNG are checked by their chunks' checksums up to the last one, JPEG by their segments up to the end mark, BMP by their header and size.
+    """
     reason = F.when(F.col(size_col) == 0, "zero_byte")
     if content_col:
         suffix = F.lower(paths.suffix(F.col(path_col)))
-        for s, magic in MAGIC.items():
-            head = F.hex(F.substring(F.col(content_col).cast("binary"), 1, len(magic) // 2))
-            reason = reason.when((suffix == s) & ~head.eqNullSafe(F.lit(magic)), "corrupt_or_unsupported")
+
+        @F.pandas_udf("boolean")
+        def sound(content: pd.Series, kind: pd.Series) -> pd.Series:
+            return pd.Series([c is not None and images.is_sound(bytes(c), k) for c, k in zip(content, kind, strict=True)])
+
+        # only images are sent to Python
+        checked = F.when(suffix.isin(*CHECKED), F.col(content_col).cast("binary"))
+        reason = reason.when(suffix.isin(*CHECKED) & ~sound(checked, suffix), "corrupt_or_unsupported")
     if is_file_col:
         reason = F.when(F.col(is_file_col), reason)
     return df.withColumn("corruption_reason", reason).withColumn("is_corrupt", F.col("corruption_reason").isNotNull())

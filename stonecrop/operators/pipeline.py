@@ -80,13 +80,13 @@ class Dataset:
         return profile.Profile(tree.with_root(tree.scan(self.spark, self.root, lean=True), self.root))
 
     def snap(self, mode: str = "fast", pattern: str | None = None, include_hidden: bool = True) -> integrity.Snapshot:
-        files = tree.scan(self.spark, self.root).filter("is_file")
-        content = None
-        if mode != "fast":
-            read = self.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(self.root).select(F.regexp_replace("path", "^file:/*", "/").alias("path"), "content")
-            files, content = files.join(read, "path", "left"), "content"
+        # the tasks hash what they scan, hidden files too, which the built-in file source doesn't see
+        files = tree.scan(self.spark, self.root, compute_hash=mode == "full").filter("is_file")
+        if mode == "deep":
+            files = files.withColumn("deep", tree.deep_hash(F.col("path")))
+        hash_col = {"full": "sha256", "deep": "deep"}.get(mode)
         options = {"pattern": pattern, "include_hidden": include_hidden}
-        return integrity.Snapshot(integrity.entries(files, mode, content_col=content, **options), mode, options)
+        return integrity.Snapshot(integrity.entries(files, mode, hash_col=hash_col, **options), mode, options)
 
     def verify(self, before: integrity.Snapshot) -> DataFrame:
         """Changes since ``before``, scanned as that was."""

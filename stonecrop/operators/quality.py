@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stonecrop.functions import paths
+from stonecrop.operators import profile
 
 #: Score of a metric's status.
 POINTS = {"pass": 100.0, "warn": 70.0, "fail": 30.0}
@@ -22,6 +24,65 @@ def class_balance(df: DataFrame, label_col: str) -> DataFrame:
     return df.filter(F.col(label_col).isNotNull()).groupBy(F.col(label_col).cast("string").alias("label")).agg(F.count("*").alias("n"))
 
 
+def folder_labels(files: DataFrame, path_col: str = "path") -> DataFrame:
+    """``files`` with label, the name of the folder a file is in."""
+    return files.withColumn("label", paths.name(paths.parent(F.col(path_col))))
+
+
+def table_labels(rows: DataFrame) -> DataFrame:
+    """(label) of a table of annotations: its first column that isn't called filename; none without such a column."""
+    names = [c for c in rows.columns if c.lower() != "filename"]
+    return rows.select(F.col(f"`{names[0]}`").cast("string").alias("label") if names else F.lit(None).cast("string").alias("label"))
+
+
+def labels_of(files: DataFrame, annotations: DataFrame | None = None, source: str = "auto") -> DataFrame:
+    """(label): from the annotations (``csv``), the folders (``folder``), or the folders only where annotations give none (``auto``)."""
+    if source != "folder" and annotations is not None:
+        found = table_labels(annotations).filter("label is not null")
+        if source == "csv" or not found.isEmpty():
+            return found
+    return folder_labels(files).select("label")
+
+
+def extension_shares(files: DataFrame, path_col: str = "path") -> DataFrame:
+    """(extension, n, share_pct) of all files."""
+    counts = files.groupBy(profile.extension(path_col).alias("extension")).agg(F.count("*").alias("n"))
+    # the total of a table of one row an extension
+    total = counts.agg(F.sum("n").alias("total"))
+    return counts.join(F.broadcast(total)).select("extension", "n", F.bround(F.col("n") * 100.0 / F.col("total"), 2).alias("share_pct"))
+
+
+def reconciliation(profiled: DataFrame, checked: DataFrame, basis: DataFrame) -> DataFrame:
+    """One row: the numbers of files that three stages saw, how they differ, and status ok or warn."""
+    parts = [t.select(F.lit(k).alias("stage")) for k, t in (("profiled", profiled), ("checked", checked), ("basis", basis))]
+    n = lambda k: F.count(F.when(F.col("stage") == k, 1))
+    one = functools.reduce(DataFrame.unionByName, parts).agg(n("profiled").alias("profiled"), n("checked").alias("checked"), n("basis").alias("basis"))
+    one = one.withColumn("profiled_not_checked", F.col("profiled") - F.col("checked")).withColumn("profiled_not_basis", F.col("profiled") - F.col("basis"))
+    fine = F.col("profiled").isin(0) | (F.col("profiled") == F.col("checked"))
+    fine = fine & (F.col("basis").isin(0) | (F.col("basis") == F.col("profiled")))
+    return one.withColumn("status", F.when(fine, "ok").otherwise("warn"))
+
+
+def equal_hashes(files: DataFrame, hash_col: str = "dhash") -> DataFrame:
+    """One row: duplicate_count, the groups of two or more files of one hash, and duplicate_file_count, the files in them."""
+    groups = files.filter(F.col(hash_col).isNotNull()).groupBy(hash_col).agg(F.count("*").alias("n")).filter("n > 1")
+    return groups.agg(F.count("*").alias("duplicate_count"), F.coalesce(F.sum("n"), F.lit(0)).alias("duplicate_file_count"))
+
+
+#: What is to be done about a metric that isn't zero: severity, what to do, and the metric with the number of things.
+ADVICE = [
+    ("critical", "set damaged and empty files aside", "failed_files"),
+    ("high", "keep one file of each duplicate group", "duplicate_groups"),
+    ("medium", "find out why stages saw different files", "unreconciled"),
+]
+
+
+def findings(metrics: dict[str, float]) -> list[dict]:
+    """(severity, action, count), the most severe first; one of low severity if there is nothing to do."""
+    out = [{"severity": s, "action": a, "count": int(metrics[m])} for s, a, m in ADVICE if metrics.get(m)]
+    return out or [{"severity": "low", "action": "keep this report to compare later ones with", "count": 0}]
+
+
 def class_variation(balance: DataFrame) -> DataFrame:
     """One row: n_classes, cv_pct (sample deviation over mean, in percent) and status: pass to 30, warn to 50, else fail; null for fewer than two classes."""
     cv = F.stddev_samp("n") / F.avg("n") * 100
@@ -116,6 +177,24 @@ class GateResult:
     passed: bool
 
 
+def drilled(report: dict, name: str) -> float | None:
+    """The first number called ``name`` in a nested report, level by level."""
+    level = [report]
+    while level:
+        for d in level:
+            value = d.get(name)
+            if isinstance(value, (int, float)) and not isinstance(value, bool):
+                return float(value)
+        level = [v for d in level for v in d.values() if isinstance(v, dict)]
+    return None
+
+
+def gates_on(report: dict, gates: dict[str, float]) -> list[GateResult]:
+    """Gates on a nested report, as ``check_gates``."""
+    found = [(g, float(t), drilled(report, g)) for g, t in gates.items() if g in GATES]
+    return [GateResult(g, t, v, v <= t if g in LOWER_IS_BETTER else v >= t) for g, t, v in found if v is not None]
+
+
 def gate_policy(path_or_text: str) -> dict[str, float]:
     """Thresholds by gate of a policy in YAML; values that aren't numbers are skipped."""
     import os

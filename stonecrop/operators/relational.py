@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stonecrop.sources.files import materialize
+
 
 def as_of(left: DataFrame, right: DataFrame, on: str, by: list[str], values: list[str], span: Callable[[Column], Column] | None = None) -> DataFrame:
     """``left`` with ``values`` of the last row of ``right`` at or before its ``on``, within equal ``by``.
@@ -80,6 +82,40 @@ def unique(df: DataFrame, subset: list[str], order: list[str]) -> DataFrame:
     return df.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
 
 
+def with_row_index(df: DataFrame, order: list[str], name: str = "index", offset: int = 0) -> DataFrame:
+    """``df`` with each row's place by ``order``: rows are dealt by ranges, numbered in each, and moved by the counts of the ranges before."""
+    dealt = materialize(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id()), "row-index")
+    sizes = dealt.groupBy("__p").agg(F.count("*").alias("n"), F.min("__i").alias("__low"))
+    # one row a partition
+    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("__p", "__low", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__start"))
+    return dealt.join(F.broadcast(starts), "__p").select(*df.columns, (F.col("__i") - F.col("__low") + F.col("__start") + offset).alias(name))
+
+
+def within(left: DataFrame, right: DataFrame, value: str, low: str, high: str, width: float, by: list[str] = ()) -> DataFrame:
+    """An inequality join: rows of ``left`` with those of ``right`` whose [low, high) holds ``value``, within equal ``by``.
+
+    Intervals are cut at multiples of ``width``, so it is an equi-join on (by, cell) and no product. All column names must differ but ``by``.
+    """
+    cell = lambda x: F.floor(F.col(x).cast("double") / width).cast("long")
+    cut = right.filter(F.col(low) < F.col(high)).withColumn("__cell", F.explode(F.sequence(cell(low), cell(high))))
+    met = left.withColumn("__cell", cell(value)).join(cut, [*by, "__cell"])
+    return met.filter((F.col(value) >= F.col(low)) & (F.col(value) < F.col(high))).drop("__cell")
+
+
+def transpose(df: DataFrame, names: str) -> DataFrame:
+    """A row for each column but ``names``, whose values become the columns; for tables of a few rows, as their values are all named."""
+    columns = sorted(r[0] for r in df.select(F.col(names).cast("string")).distinct().collect())
+    others = [c for c in df.columns if c != names]
+    long = df.select(F.col(names).cast("string").alias("__name"), *[F.col(c).cast("string").alias(c) for c in others]).unpivot(["__name"], others, "column", "__value")
+    return long.groupBy("column").pivot("__name", columns).agg(F.first("__value"))
+
+
+def unnest(df: DataFrame, column: str) -> DataFrame:
+    """The fields of a struct as columns in its place."""
+    return df.select(*[F.col(f"`{c}`") if c != column else F.col(f"`{c}`.*") for c in df.columns])
+
+
 def tail(df: DataFrame, n: int, order: list[str]) -> DataFrame:
     """The last ``n`` rows by ``order``, in that order."""
     return df.orderBy(*[F.desc(c) for c in order]).limit(n).orderBy(*order)

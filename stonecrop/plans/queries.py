@@ -124,16 +124,28 @@ def p14_shingles(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", text_functions.shingles(F.col("text")).alias("shingles")).select("doc_id", F.size("shingles").cast("long").alias("n_shingles"), F.array_min("shingles").alias("least"))
 
 
-@query()
+@query("""WITH t AS (SELECT doc_id, string_split(' ' || lower(text) || ' ', '') AS c FROM documents WHERE regexp_matches(text, '\\S')),
+h AS (SELECT doc_id, unnest(list_transform(range(1, len(c) - 1), lambda i: unicode(c[i])::BIGINT * 7919 + unicode(c[i + 1])::BIGINT * 104729 + unicode(c[i + 2])::BIGINT * 1299709)) AS h FROM t),
+v AS (SELECT doc_id, h % 64 AS place, sum(h // 64 % 2 * 2 - 1)::DOUBLE AS x FROM h GROUP BY ALL),
+n AS (SELECT doc_id, sqrt(sum(x * x)) AS norm, max(abs(x)) AS greatest, coalesce(max(x) FILTER (place = 7), 0) AS seventh FROM v GROUP BY 1)
+SELECT doc_id, CASE WHEN norm IS NULL THEN NULL ELSE 64 END AS dimensions, round(CASE WHEN norm = 0 THEN 0 ELSE 1 END, 6)::DOUBLE AS norm, round(greatest / CASE WHEN norm = 0 THEN 1 ELSE norm END, 6) AS greatest, round(seventh / CASE WHEN norm = 0 THEN 1 ELSE norm END, 6) AS seventh FROM documents LEFT JOIN n USING (doc_id)""".replace("\\\\S", "\\S"))
 def p8_text_embedding(spark, sf_dir):
-    """Norms of the stand-in embeddings; tested against a plain loop."""
+    """Of the stand-in embedding of each whole text: the size, the norm, the greatest value by amount and the seventh."""
     rows = embed.text_embedding(read(spark, sf_dir, "documents"), max_chars=None)
-    return rows.select("doc_id", F.size("embedding").alias("dimensions"), F.round(similarity.dot(F.col("embedding"), F.col("embedding")), 6).alias("norm"))
+    e = F.col("embedding")
+    return rows.select("doc_id", F.when(e.isNotNull(), F.size(e)).alias("dimensions"), F.round(similarity.dot(e, e), 6).alias("norm"), F.round(F.array_max(F.transform(e, F.abs)), 6).alias("greatest"), F.round(F.get(e, F.lit(7)), 6).alias("seventh"))
 
 
-@query()
+#: Sentences and the chunk of each, for at most ``MOST`` words a chunk.
+CHUNKS = r"""q AS (SELECT path, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS s FROM f WHERE trim(text) <> ''),
+w AS (SELECT path, s, list_transform(s, lambda x: len(regexp_split_to_array(x, '\s+'))) AS n FROM q),
+g AS (SELECT path, s, list_reduce(list_transform(n, lambda x: {{'n': x, 'c': [0::BIGINT]}}), lambda a, x: CASE WHEN a.n + x.n > {most} THEN {{'n': x.n, 'c': list_append(a.c, a.c[-1] + 1)}} ELSE {{'n': a.n + x.n, 'c': list_append(a.c, a.c[-1])}} END).c AS c FROM w WHERE len(s) > 0),
+u AS (SELECT path, unnest(c) AS chunk_idx, unnest(s) AS sentence, unnest(range(len(s))) AS i FROM g)"""
+
+
+@query(f"WITH {FILES}, {CHUNKS.format(most=96)} SELECT path, chunk_idx, string_agg(sentence, ' ' ORDER BY i) AS text FROM u GROUP BY 1, 2")
 def p20_chunks(spark, sf_dir):
-    """Greedy sentence chunks; tested against a plain loop."""
+    """Greedy sentence chunks of whole texts."""
     rows = files(spark, sf_dir)
     return chunk_store.chunk_rows(rows, max_tokens=128).select("path", "chunk_idx", "text")
 
@@ -273,19 +285,28 @@ def j6_shingle_classes(spark, sf_dir):
     return similarity.classes_of_sets(rows, "doc_id", "items").select("doc_id", "rep")
 
 
-@query(f"""WITH {SHINGLES}, r AS (SELECT * FROM s QUALIFY doc_id = min(doc_id) OVER (PARTITION BY list_sort(items))),
+#: Pairs of similar texts, between the first documents of equal shingle sets.
+NEAR = SHINGLES + """, r AS (SELECT * FROM s QUALIFY doc_id = min(doc_id) OVER (PARTITION BY list_sort(items))),
 x AS (SELECT doc_id, len(items) AS n, unnest(items) AS item FROM r),
-c AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS k FROM x a JOIN x b ON a.item = b.item AND a.doc_id < b.doc_id AND least(a.n, b.n) >= 0.8 * greatest(a.n, b.n) GROUP BY ALL)
-SELECT a, b, round(k / (na + nb - k), 6) AS similarity FROM c WHERE k / (na + nb - k) >= 0.8""")
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS k FROM x a JOIN x b ON a.item = b.item AND a.doc_id < b.doc_id AND least(a.n, b.n) >= 0.8 * greatest(a.n, b.n) GROUP BY ALL),
+pairs AS (SELECT a, b, k / (na + nb - k) AS similarity FROM c WHERE k / (na + nb - k) >= 0.8)"""
+#: Leaders among the nodes of ``pairs``: in the order of nodes, one without a lesser neighbour that leads.
+LEADERS = """nodes AS (SELECT v, list(u) FILTER (u IS NOT NULL) AS less FROM (SELECT b AS v, a AS u FROM pairs UNION ALL SELECT a, NULL FROM pairs) GROUP BY 1),
+chosen AS (SELECT list_reduce(list({'less': coalesce(less, [-1]), 'lead': [v]} ORDER BY v), lambda s, x: CASE WHEN list_has_any(s.lead, x.less) THEN s ELSE {'less': x.less, 'lead': list_concat(s.lead, x.lead)} END).lead AS lead FROM nodes),
+leads AS (SELECT v AS node, CASE WHEN list_contains(lead, v) THEN v ELSE list_min(list_intersect(lead, less)) END AS leader FROM nodes, chosen),
+grouped AS (SELECT doc_id, coalesce(leader, rep) AS leader FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY list_sort(items)) AS rep FROM s) LEFT JOIN leads ON node = rep)"""
+
+
+@query(f"WITH {NEAR} SELECT a, b, round(similarity, 6) AS similarity FROM pairs")
 def j6_near_text_pairs(spark, sf_dir):
     """Pairs between the first documents of equal shingle sets."""
     pairs = similarity.near_text(read(spark, sf_dir, "documents"))[1]
     return pairs.select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
-@query()
+@query(f"WITH {NEAR}, {LEADERS} SELECT doc_id, leader FROM grouped")
 def j6_leader_groups(spark, sf_dir):
-    """A row per document with its greedy leader; tested against the sequential loop."""
+    """A row per document with its greedy leader."""
     members, pairs = similarity.near_text(read(spark, sf_dir, "documents"))
     lead = similarity.leaders(pairs)
     return members.join(lead, members["rep"] == lead["node"], "left").select(F.col("id").alias("doc_id"), F.coalesce("leader", "rep").alias("leader"))
@@ -303,6 +324,17 @@ def j7_hamming_pairs(spark, sf_dir):
     return similarity.hamming_pairs(reps, 5)
 
 
+@query("""WITH o AS (SELECT vec_id * 2 + k AS id, CASE WHEN k = 0 THEN array_to_string(list_transform(embedding, lambda x: CASE WHEN x >= 0 THEN '1' ELSE '0' END), '') ELSE array_to_string(list_transform(embedding, lambda x: CASE WHEN x >= 0.1 THEN '1' ELSE '0' END), '') END AS bits FROM embeddings, range(2) t(k)),
+r AS (SELECT bits, min(id) AS id FROM o GROUP BY bits)
+SELECT a.id AS a, b.id AS b, hamming(a.bits, b.bits)::BIGINT AS distance FROM r a JOIN r b ON a.id < b.id WHERE hamming(a.bits, b.bits) <= 5""")
+def j7_hamming_pairs_of_two_hashes(spark, sf_dir):
+    """Each vector has two hashes here, by the sign and by a threshold of 0.1, some of which differ in few bits."""
+    rows = read(spark, sf_dir, "embeddings")
+    second = hashing.sign_hash(F.transform("embedding", lambda x: x - F.lit(0.1).cast("float")))
+    both = rows.select(F.explode(F.array(*[F.struct((F.col("vec_id") * 2 + k).alias("id"), h.alias("hash")) for k, h in enumerate((hashing.sign_hash(F.col("embedding")), second))])).alias("x")).select("x.*")
+    return similarity.hamming_pairs(both.groupBy("hash").agg(F.min("id").alias("id")), 5)
+
+
 @query("""WITH h AS (SELECT vec_id, array_to_string(list_transform(embedding, lambda x: CASE WHEN x >= 0 THEN '1' ELSE '0' END), '') AS bits FROM embeddings),
 z AS (SELECT bits FROM h WHERE vec_id = 0) SELECT vec_id, hamming(h.bits, z.bits)::BIGINT AS distance FROM h, z""")
 def p18_hamming_distance(spark, sf_dir):
@@ -502,6 +534,13 @@ def j12_anti(spark, sf_dir):
     return read(spark, sf_dir, "customer").join(any_order, "c_custkey", "left_anti").select("c_custkey", "c_name")
 
 
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
+def j12_anti_big_orders(spark, sf_dir):
+    """Customers without a big order: some at any size of the tables."""
+    big = read(spark, sf_dir, "orders").filter("o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey"))
+    return read(spark, sf_dir, "customer").join(big, "c_custkey", "left_anti").select("c_custkey", "c_name")
+
+
 @query("SELECT coalesce(a.k, b.k) AS k, a.n AS n_customers, b.n AS n_suppliers FROM (SELECT c_nationkey AS k, count(*) AS n FROM customer GROUP BY 1) a FULL JOIN (SELECT s_nationkey AS k, count(*) AS n FROM supplier GROUP BY 1) b ON a.k = b.k")
 def j12_full(spark, sf_dir):
     a = read(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.count("*").alias("n_customers"))
@@ -511,8 +550,8 @@ def j12_full(spark, sf_dir):
 
 @query("SELECT r_name, o.p AS priority FROM region, (SELECT DISTINCT o_orderpriority AS p FROM orders) o")
 def j12_cross(spark, sf_dir):
-    """Two dimension tables of a few rows."""
-    return read(spark, sf_dir, "region").crossJoin(F.broadcast(read(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("priority")).distinct())).select("r_name", "priority")
+    """Two dimension tables of a few rows; Spark broadcasts one if its measured size allows."""
+    return read(spark, sf_dir, "region").crossJoin(read(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("priority")).distinct()).select("r_name", "priority")
 
 
 @query("""WITH p AS (SELECT user_id, ts, max(value) AS value FROM events WHERE event_type = 'purchase' GROUP BY ALL), e AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'click')
@@ -567,9 +606,11 @@ def t1_windowed_counts(spark, sf_dir):
     return drift.windowed_counts(read(spark, sf_dir, "events")).withColumn("total", F.round("total", 4))
 
 
-@query("SELECT source, count(*) FILTER (lang = 'en') AS en, count(*) FILTER (lang = 'fr') AS fr FROM documents GROUP BY 1")
+@query("SELECT source, count(*) FILTER (lang = 'de') AS de, count(*) FILTER (lang = 'en') AS en, count(*) FILTER (lang = 'es') AS es, count(*) FILTER (lang = 'fr') AS fr, count(*) FILTER (lang IS NULL OR lang NOT IN ('de', 'en', 'es', 'fr')) AS other FROM documents GROUP BY 1")
 def r1_pivot(spark, sf_dir):
-    return read(spark, sf_dir, "documents").groupBy("source").pivot("lang", ["en", "fr"]).agg(F.count(F.lit(1))).fillna(0)
+    """All documents, by the languages of the tables; any other is counted as such."""
+    kind = F.when(F.col("lang").isin("de", "en", "es", "fr"), F.col("lang")).otherwise("other")
+    return read(spark, sf_dir, "documents").withColumn("kind", kind).groupBy("source").pivot("kind", ["de", "en", "es", "fr", "other"]).agg(F.count(F.lit(1))).fillna(0)
 
 
 @query("SELECT s_suppkey, 'nation' AS field, s_nationkey::DOUBLE AS value FROM supplier UNION ALL SELECT s_suppkey, 'balance', s_acctbal FROM supplier")
@@ -578,6 +619,10 @@ def r2_unpivot(spark, sf_dir):
     return rows.unpivot(["s_suppkey"], ["nation", "balance"], "field", "value")
 
 
-@query("SELECT vec_id, i - 1 AS position, round(embedding[i]::DOUBLE, 6) AS x FROM embeddings, range(1, 4) t(i)")
+@query("SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS position, round(unnest(embedding)::DOUBLE, 6) AS x FROM embeddings")
 def r3_explode(spark, sf_dir):
-    return read(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(F.slice("embedding", 1, 3)).alias("position", "x")).select("vec_id", F.col("position").cast("long"), F.round(F.col("x").cast("double"), 6).alias("x"))
+    return read(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("position", "x")).select("vec_id", F.col("position").cast("long"), F.round(F.col("x").cast("double"), 6).alias("x"))
+
+
+# the queries over trees and the further ones over tables register themselves
+from stonecrop.plans import table_queries, tree_queries  # noqa: E402, F401

@@ -47,6 +47,25 @@ def save(df: DataFrame, path: str, format: str | None = None, mode: str = "overw
         getattr(df.write.mode(mode), kind)(path)
 
 
+def save_array(df: DataFrame, path: str) -> None:
+    """One file that holds a JSON array of the rows, written a row at a time through Spark's file systems."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(conf).create(where, True)
+    try:
+        rows = df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}).alias("x")).toLocalIterator()
+        pending, size, before = ["["], 0, ""
+        for r in rows:
+            pending += [before, r["x"]]
+            before, size = ",\n", size + len(r["x"])
+            if size > 1_000_000:
+                out.write("".join(pending).encode())
+                pending, size = [], 0
+        out.write("".join([*pending, "]\n"]).encode())
+    finally:
+        out.close()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; a local session without one gets a folder of its own."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

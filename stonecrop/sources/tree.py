@@ -22,7 +22,7 @@ from typing import Any
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -74,19 +74,64 @@ def attributes(path: str) -> str:
     return json.dumps(found)
 
 
+#: File systems on a network, by the start of their names in the list of mounts.
+NETWORK = ("nfs", "cifs", "smb", "ceph", "gluster", "fuse.sshfs", "sshfs")
+#: Seconds that a call on a network file system may take.
+PATIENCE = 30.0
+#: Seconds that calls of this process may take; null without a bound.
+_patience: float | None = None
+
+
+def file_system(path: str, mounts: str = "/proc/mounts") -> str | None:
+    """The kind of file system that a path is on: that of the longest mount point above it; null if there is no list."""
+    try:
+        with open(mounts, encoding="utf-8") as f:
+            rows = [line.split()[1:3] for line in f if len(line.split()) > 2]
+    except OSError:
+        return None
+    at = os.path.realpath(path)
+    above = [(len(point), kind) for point, kind in ((p.replace("\\040", " "), k) for p, k in rows) if at == point or at.startswith(point.rstrip("/") + "/")]
+    return max(above)[1] if above else None
+
+
+def on_network(path: str) -> bool:
+    return (file_system(path) or "").startswith(NETWORK)
+
+
+@functools.cache
+def _callers() -> Any:
+    from concurrent.futures import ThreadPoolExecutor
+
+    return ThreadPoolExecutor(8)
+
+
 def attempted(call: Callable, *args: Any, **kwargs: Any) -> Any:
-    """What a file system call gives; null once it fails for good."""
+    """What a file system call gives; null once it fails for good. With a bound on its time, one that takes longer fails."""
     for attempt in range(RETRIES):
         try:
-            return call(*args, **kwargs)
+            return _callers().submit(call, *args, **kwargs).result(_patience) if _patience else call(*args, **kwargs)
         except (FileNotFoundError, PermissionError):
             return None
-        except OSError:
+        except (OSError, TimeoutError):
             if attempt < RETRIES - 1:
                 time.sleep(0.01 * 2**attempt)
     return None
 
 
+def _listed(path: str) -> Iterator[os.DirEntry] | None:
+    """The entries of a folder, up to one that can't be read; null if the folder can't."""
+    def each(found: Any) -> Iterator[os.DirEntry]:
+        with found:
+            while True:
+                try:
+                    yield next(found)
+                except (StopIteration, OSError):
+                    return
+
+    found = attempted(os.scandir, path)
+    return None if found is None else each(found)
+
+
 def row(path: str, depth: int, stats: bool, hashes: bool, entry: os.DirEntry | None = None) -> tuple | None:
     """A row of ``SCHEMA``; null for links and what can't be read. Without ``stats`` the kind of a listed entry costs no call."""
     if entry is not None and not stats:
@@ -129,6 +174,7 @@ class TreeReader(DataSourceReader):
         self.stats, self.hashes = flag("withstats", "true"), flag("computehash", "false")
         self.lean = flag("lean", "false")
         self.tasks = int(options.get("tasks", "64"))
+        self.timeout = float(options["timeout"]) if options.get("timeout") else None
 
     def partitions(self) -> list[InputPartition]:
         """Subtrees, one level deeper as long as they are few; a folder of many entries is left to a task."""
@@ -163,6 +209,8 @@ class TreeReader(DataSourceReader):
         return self.max_depth is None or depth <= self.max_depth + (not is_dir)
 
     def read(self, partition: Subtrees) -> Iterator[pa.RecordBatch]:
+        global _patience
+        _patience = self.timeout
         kinds = {"string": pa.string(), "boolean": pa.bool_(), "long": pa.int64(), "double": pa.float64()}
         fields = [x.replace("`", "").split() for x in (LEAN if self.lean else SCHEMA).split(", ")]
         rows = self.read_lean(partition) if self.lean else self.read_rows(partition)
@@ -187,7 +235,7 @@ class TreeReader(DataSourceReader):
                 take(path, os.path.basename(path), depth, walk, s)
         while folders:
             path, depth, walk, size = folders.pop()
-            entries = attempted(os.scandir, path)
+            entries = _listed(path)
             n = None if entries is None else 0
             for e in entries or ():
                 n += 1
@@ -210,14 +258,11 @@ class TreeReader(DataSourceReader):
                 continue
             yield found
             if found[3] and walk:
-                try:
-                    waiting += [(e.path, depth + 1, True, e) for e in os.scandir(path)]
-                except OSError:
-                    continue
+                waiting += [(e.path, depth + 1, True, e) for e in _listed(path) or ()]
 
 
 class TreeSource(DataSource):
-    """Format ``tree``; options path, maxDepth, hidden, ignore, withStats, computeHash, lean, tasks."""
+    """Format ``tree``; options path, maxDepth, hidden, ignore, withStats, computeHash, lean, tasks, timeout (seconds of a call)."""
 
     @classmethod
     def name(cls) -> str:
@@ -230,10 +275,14 @@ class TreeSource(DataSource):
         return TreeReader(dict(self.options))
 
 
-def scan(spark: SparkSession, path: str, max_depth: int | None = None, hidden: bool = True, ignore: bool = False, with_stats: bool = True, compute_hash: bool = False, lean: bool = False) -> DataFrame:
-    """All entries below ``path``, not the root itself; with the columns of ``LEAN`` if ``lean``."""
+def scan(spark: SparkSession, path: str, max_depth: int | None = None, hidden: bool = True, ignore: bool = False, with_stats: bool = True, compute_hash: bool = False, lean: bool = False, timeout: float | None = None) -> DataFrame:
+    """All entries below ``path``, not the root itself; with the columns of ``LEAN`` if ``lean``.
+
+    ``timeout`` bounds the seconds of a call; on a network file system it is ``PATIENCE`` unless given, as calls may hang there.
+    """
     spark.dataSource.register(TreeSource)
-    reader = spark.read.format("tree").option("path", path).option("hidden", hidden).option("ignore", ignore).option("withStats", with_stats).option("computeHash", compute_hash).option("lean", lean).option("tasks", TASKS_A_CORE * spark.sparkContext.defaultParallelism)
+    timeout = timeout or (PATIENCE if on_network(path) else None)
+    reader = spark.read.format("tree").option("path", path).option("hidden", hidden).option("ignore", ignore).option("withStats", with_stats).option("computeHash", compute_hash).option("lean", lean).option("tasks", TASKS_A_CORE * spark.sparkContext.defaultParallelism).option("timeout", timeout or "")
     return (reader.option("maxDepth", max_depth) if max_depth is not None else reader).load()
 
 
@@ -266,6 +315,44 @@ def stat_paths(df: DataFrame, path_col: str = "path", base: str | None = None, c
     return out.select(*[F.col(f"`{c}`") for c in out.columns if c != "__s"], *[F.col(f"__s.`{c}`").alias(c) for c in wanted])
 
 
+def with_content(files: DataFrame, wanted: Column) -> DataFrame:
+    """``files`` (path) with the content of those that are ``wanted``, read by the tasks; null for the others and for what can't be read."""
+    @F.pandas_udf("binary")
+    def content(given: pd.Series) -> pd.Series:
+        def one(name: str | None) -> bytes | None:
+            try:
+                with open(name, "rb") as f:
+                    return f.read()
+            except (OSError, TypeError):
+                return None
+
+        return given.map(one)
+
+    return files.withColumn("content", content(F.when(wanted, F.col("path"))))
+
+
+def deep_hash(path: Column, head: int = 4096) -> Column:
+    """32 hex digits over a file's first ``head`` bytes, and the last as many too if it has over twice as many; null if it can't be read."""
+    @F.pandas_udf("string")
+    def hashed(given: pd.Series) -> pd.Series:
+        import hashlib
+
+        def one(name: str | None) -> str | None:
+            try:
+                with open(name, "rb") as f:
+                    data, size = f.read(head), os.fstat(f.fileno()).st_size
+                    if size > 2 * head:
+                        f.seek(-head, os.SEEK_END)
+                        data += f.read(head)
+            except (OSError, TypeError):
+                return None
+            return hashlib.sha256(data).hexdigest()[:32]
+
+        return given.map(one)
+
+    return hashed(path)
+
+
 @dataclass(frozen=True)
 class FileRecord:
     """One file's metadata by lstat; of a link the kind of its target is told apart."""
@@ -321,8 +408,10 @@ def find_by_extension(entries: DataFrame, extensions: list[str] | str) -> DataFr
     return entries.filter("is_file").filter(kinds.has_extension(F.col("path"), extensions))
 
 
-def find_recent(entries: DataFrame, within: str = "1d", now: float | None = None, mtime_col: str = "mtime") -> DataFrame:
-    """Files changed within a duration before ``now``, epoch seconds."""
+def find_recent(entries: DataFrame, within: str = "1d", now: float | None = None, mtime_col: str = "mtime", extension: str | list[str] | None = None) -> DataFrame:
+    """Files changed within a duration before ``now``, epoch seconds; of some extensions if given."""
+    if extension:
+        entries = find_by_extension(entries, extension_list(extension))
     return entries.filter(F.col(mtime_col) >= (now if now is not None else time.time()) - units.duration(within))
 
 
@@ -355,6 +444,20 @@ def counts(entries: DataFrame) -> DataFrame:
     return entries.agg(F.count(F.when(F.col("is_file"), 1)).alias("files"), F.count(F.when(F.col("is_dir"), 1)).alias("directories"), F.count("*").alias("total"))
 
 
+def search_stream(entries: DataFrame, pattern: str = ".", glob: bool = False) -> Iterator[str]:
+    """The paths of files by name, one partition at a time."""
+    return (r["path"] for r in find_files(entries, pattern, glob).select("path").toLocalIterator())
+
+
+def whole_listing(entries: DataFrame) -> DataFrame:
+    """All levels: a folder's content after it, in each folder directories first, then by name in lower case."""
+    segment = F.split(F.lower("path"), "/")
+    n = F.size(segment)
+    # a segment that isn't the last is a directory's, and so is a directory's last one
+    key = F.transform(segment, lambda x, i: F.concat(F.when((i < n - 1) | F.col("is_dir"), "0").otherwise("1"), x))
+    return entries.withColumn("__key", key).orderBy("__key", "path").drop("__key")
+
+
 def listing(entries: DataFrame) -> DataFrame:
     """One level: directories first, then by name in lower case."""
     return entries.filter("depth = 1").orderBy(~F.col("is_dir"), F.lower("name"), "name")

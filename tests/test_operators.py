@@ -211,8 +211,79 @@ def test_manifest_order_of_tests(spark):
 
 
 def test_corruption(spark):
-    df = spark.createDataFrame([("a.txt", 0, bytearray(b"")), ("b.jpg", 4, bytearray(b"text")), ("c.png", 8, bytearray(b"\x89PNG\r\n\x1a\n")), ("d.txt", 4, bytearray(b"text"))], "path string, size_bytes long, content binary")
-    assert [r["corruption_reason"] for r in integrity.with_corruption(df, content_col="content").collect()] == ["zero_byte", "corrupt_or_unsupported", None, None]
+    """An image that is cut short is corrupt, though its first bytes are right."""
+    whole, jpeg, bmp = png(np.zeros((2, 2, 3), np.uint8)), b"\xff\xd8\xff\xe0\x00\x04ab\xff\xda\x00\x02data\xff\xd9", bmp24(np.zeros((2, 2, 3), np.uint8))
+    broken = bytearray(whole)
+    broken[30] ^= 1
+    files = [("a.txt", b""), ("b.jpg", b"text"), ("c.png", whole), ("d.txt", b"text"), ("e.png", whole[:-9]), ("f.png", whole[:8]), ("g.PNG", bytes(broken)), ("h.jpeg", jpeg), ("i.jpg", jpeg[:-2]), ("j.bmp", bmp), ("k.bmp", bmp[:-1])]
+    df = spark.createDataFrame([(n, len(c), bytearray(c)) for n, c in files], "path string, size_bytes long, content binary")
+    got = {r["path"]: r["corruption_reason"] for r in integrity.with_corruption(df, content_col="content").collect()}
+    bad = "corrupt_or_unsupported"
+    assert got == {"a.txt": "zero_byte", "b.jpg": bad, "c.png": None, "d.txt": None, "e.png": bad, "f.png": bad, "g.PNG": bad, "h.jpeg": None, "i.jpg": bad, "j.bmp": None, "k.bmp": bad}
+
+
+def bmp24(pixels):
+    import struct
+
+    h, w, _ = pixels.shape
+    rows = b"".join(row[:, ::-1].tobytes().ljust(-(-w * 3 // 4) * 4, b"\0") for row in pixels[::-1])
+    return struct.pack("<2sIHHIIiiHHIIiiII", b"BM", 54 + len(rows), 0, 0, 54, 40, w, h, 1, 24, 0, len(rows), 0, 0, 0, 0) + rows
+
+
+def png(values, depth=8, colour=2, woven=False, kinds=(0,), palette=None):
+    """A PNG of (rows, columns, channels); the rows take the filters ``kinds`` in turn."""
+    import struct
+    import zlib
+
+    part = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    h, w, c = values.shape
+    step, raw = max(1, c * depth // 8), b""
+    for x0, y0, dx, dy in images.PASSES if woven else [(0, 0, 1, 1)]:
+        some = values[y0::dy, x0::dx]
+        if not some.size:
+            continue
+        before = None
+        for y, row in enumerate(some):
+            if depth == 16:
+                line = row.astype(">u2").tobytes()
+            elif depth == 8:
+                line = row.astype(np.uint8).tobytes()
+            else:
+                line = np.packbits((row.reshape(-1, 1) >> np.arange(depth)[::-1]) & 1).tobytes()
+            before, kind = before or bytes(len(line)), kinds[y % len(kinds)]
+            out = bytearray()
+            for i, v in enumerate(line):
+                a, b, e = line[i - step] if i >= step else 0, before[i], before[i - step] if i >= step else 0
+                p = a + b - e
+                paeth = min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - e), 2, e))[2]
+                out.append((v - [0, a, b, (a + b) // 2, paeth][kind]) & 255)
+            raw, before = raw + bytes([kind]) + bytes(out), line
+    extra = part(b"PLTE", palette.tobytes()) if palette is not None else b""
+    return images.PNG + part(b"IHDR", struct.pack(">IIBBBBB", w, h, depth, colour, 0, 0, int(woven))) + extra + part(b"IDAT", zlib.compress(raw)) + part(b"IEND", b"")
+
+
+@pytest.mark.parametrize("woven", [False, True])
+@pytest.mark.parametrize("depth,colour,channels", [(8, 2, 3), (8, 6, 4), (8, 0, 1), (16, 2, 3), (16, 0, 1), (1, 0, 1), (2, 0, 1), (4, 0, 1)])
+def test_png_of_all_kinds(depth, colour, channels, woven):
+    g = np.random.default_rng(depth + colour)
+    for h, w in ((9, 13), (1, 1), (3, 2)):
+        values = g.integers(0, 2**depth, (h, w, channels))
+        got = images.decode(png(values, depth, colour, woven, (0, 1, 2, 3, 4)))
+        assert (got == (values * (255 // (2**depth - 1)) if depth < 8 else values)).all() and got.shape == values.shape
+
+
+def test_other_images():
+    palette = np.arange(30, dtype=np.uint8).reshape(10, 3)
+    values = np.random.default_rng(0).integers(0, 10, (4, 5, 1))
+    assert (images.decode(png(values, 8, 3, palette=palette)) == palette[values[:, :, 0]]).all()
+    pixels = np.random.default_rng(1).integers(0, 255, (5, 7, 3), dtype=np.uint8)
+    assert (images.decode(bmp24(pixels)) == pixels).all()
+    for bad in (b"", b"BM", images.PNG, png(pixels)[:40], bmp24(pixels)[:70], png(pixels)[:-30]):
+        with pytest.raises(ValueError):
+            images.decode(bad)
+    report = images.array_report(np.array([np.nan, np.inf]))
+    assert (report["min"], report["max"], report["mean"], report["std"], report["nans"]) == (float("inf"), float("inf"), None, None, 1)
+    assert images.array_report(np.empty((0, 3)))["min"] is None
 
 
 def test_quality_rules(spark):
