@@ -58,10 +58,12 @@ def fingerprint(raw: bytes, k: int = SHINGLE, seed: int = SEED) -> int:
 
 
 def covering_masks(free: int, radius: int = RADIUS) -> list[int]:
-    """Masks over the bit positions set in ``free``."""
+    """Masks over the bit positions set in ``free``: 2**(radius + 1) - 1 of them."""
     places = [i for i in range(BITS) if free >> i & 1]
     top = 2 ** (radius + 1)
-    vector = {p: 1 + i % (top - 1) for i, p in enumerate(places)}
+    # where there are more vectors than positions, they are taken in steps, so that each mask keeps many positions
+    step = 1 if top <= BITS else round(top * 0.618) | 1
+    vector = {p: 1 + i * step % (top - 1) for i, p in enumerate(places)}
     return [sum(1 << p for p in places if (vector[p] & v).bit_count() & 1) for v in range(1, top)]
 
 
@@ -69,9 +71,9 @@ def signed(x: int) -> int:
     return x - 2**64 if x >= 2**63 else x
 
 
-def fingerprints(docs: DataFrame, text_col: str, name: str) -> DataFrame:
+def fingerprints(docs: DataFrame, text_col: str, name: str, shingle: int = SHINGLE) -> DataFrame:
     """``docs`` with the signed 64-bit fingerprint in column ``name``."""
-    return append_column(docs, name, T.LongType(), text_col, lambda texts: [signed(fingerprint(x)) for x in texts])
+    return append_column(docs, name, T.LongType(), text_col, lambda texts: [signed(fingerprint(x, shingle)) for x in texts])
 
 
 def stars(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
@@ -161,8 +163,6 @@ def compare(rows: DataFrame, radius: int, bucket: int, last: bool) -> DataFrame:
             yield from settle(columns, False)
         yield from settle(rest, True)
 
-    spark = rows.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
     dealt = rows.repartition("key").sortWithinPartitions("key")
     return materialize(dealt.mapInArrow(run, "a long, b long, taken long"), "simhash-links")
 
@@ -204,29 +204,45 @@ def components(edges: DataFrame) -> DataFrame:
         edges = joined.unionByName(least.select("a", F.col("m").alias("b"))).filter("a > b").distinct()
 
 
-def classes(prints: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
-    """From rows (doc_id, fp), a row per fingerprint: (fp, component_id, keep_fp), the least id of its component and the fingerprint that has it."""
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+def rooted(prints: DataFrame, radius: int, bucket: int, order: list[str]) -> DataFrame:
+    """From rows (doc_id, fp), a row per fingerprint: (fp, root of its component, least id, best), ``best`` the least of the columns ``order``, rows without id last."""
+    first = F.struct(F.col("doc_id").isNull().alias("none"), *order)
+    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min(first).alias("best"))
     roots = components(links(distinct.select("fp"), radius, bucket))
-    joined = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    # a component without any id is kept by its least fingerprint
-    first = joined.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "fp")).alias("x"))
-    return joined.join(first.select("root", F.col("x.least").alias("component_id"), F.col("x.fp").alias("keep_fp")), "root").select("fp", "component_id", "keep_fp")
+    return distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", "best", F.coalesce("root", "fp").alias("root"))
+
 
+def classes(prints: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
+    """From rows (doc_id, fp), a row per fingerprint: (fp, component_id), the least id of its component."""
+    each = rooted(prints, radius, bucket, ["doc_id"])
+    return each.select("fp", "root").join(each.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp, component_id): a row per document."""
-    prints = fingerprints(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "text", "fp").select("doc_id", "fp")
+    prints = fingerprints(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "text", "fp", shingle).select("doc_id", "fp")
+    prints = materialize(prints, "simhash-prints")
+    return prints.join(classes(prints, radius), "fp").select("doc_id", "fp", "component_id")
+
+
+#: Rows that go, up to which their row ids (8 bytes each) are broadcast; beyond, the ids are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
+    """One row of each near-duplicate group. Columns as in ``docs``.
+
+    It is the row with the least id (nulls last); of several rows with that id the one whose text has the least
+    hash, then the one read first. Texts are read once and written once with a row id; all else moves ids and
+    fingerprints only, unless more than ``broadcast_ids`` rows go.
+    """
+    fp, uid = free_name(docs, "simhash_fp"), free_name(docs, "simhash_uid")
+    marked = fingerprints(docs, text_col, fp, shingle).withColumn(uid, F.monotonically_increasing_id())
+    # once written, row ids are data: a task that runs again reads the same ones
+    marked = materialize(marked, "simhash-rows")
+    prints = marked.select(F.col(id_col).cast("long").alias("doc_id"), F.col(fp).alias("fp"), F.xxhash64(F.col(text_col)).alias("h"), F.col(uid).alias("uid"))
     prints = materialize(prints, "simhash-prints")
-    return prints.join(classes(prints, radius).select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
-
-
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """One row of each near-duplicate group: one with the least id. Columns as in ``docs``."""
-    name = free_name(docs, "simhash_fp")
-    marked = fingerprints(docs, text_col, name)
-    prints = materialize(marked.select(F.col(id_col).cast("long").alias("doc_id"), F.col(name).alias("fp")), "simhash-prints")
-    kept = classes(prints, radius).filter("fp = keep_fp").select(F.col("component_id").alias("keep_id"), F.col("fp").alias("keep_fp"))
-    alias, best = marked.alias("d"), kept.alias("k")
-    both = alias.join(best, (F.col(f"d.`{name}`") == F.col("k.keep_fp")) & F.col(f"d.`{id_col}`").eqNullSafe(F.col("k.keep_id")), "left_semi")
-    return both.dropDuplicates([id_col, name]).select(*docs.columns)
+    kept = rooted(prints, radius, BUCKET, ["doc_id", "h", "uid"]).groupBy("root").agg(F.min("best").alias("best")).select("best.uid")
+    gone = materialize(prints.select("uid").join(kept, "uid", "left_anti").select(F.col("uid").alias(uid)), "simhash-gone")
+    few = gone.count() <= broadcast_ids
+    return marked.join(F.broadcast(gone) if few else gone, uid, "left_anti").select(*docs.columns)
