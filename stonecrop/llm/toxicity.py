@@ -5,8 +5,12 @@ word pairs, triples and pairs with one word between, from the whole text. FTRL-p
 rate per coordinate and an L1 term that keeps most weights at exactly zero; what is broadcast is
 the non-zero ones, at most 2**BITS.
 
+What is learned from is a bounded sample by two arguments: ``limit`` labelled rows, and as many of them, in the order of a
+hash of the id, as have ``features`` features in all.
+
 Null texts count as empty; a text without words scores by the bias alone. Without labels of both
-classes every text scores 0.
+classes every text scores 0. Rows with a null label, id or text don't teach; of repeated ids one row does
+(``common.labelled_sample``). Repeated rows get a row each, an empty table none.
 """
 
 from __future__ import annotations
@@ -19,29 +23,45 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stonecrop.llm.common import labelled_sample, map_rows, raw_texts
+from stonecrop.llm.common import labelled_sample, map_rows, materialize, raw_texts
 
 #: 2**BITS weights of 4 bytes: 4 MB.
 BITS = 20
-#: Labelled rows that are learned from at most.
-TRAIN_ROWS = 12_000
-#: Words whose hashes a worker keeps, about 100 MB.
+#: Labelled rows that are learned from at most, and features of them in all: 4 bytes each on the driver.
+TRAIN_ROWS, TRAIN_FEATURES = 12_000, 50_000_000
+#: Words whose hashes a worker keeps, about 50 MB.
 REMEMBERED = 300_000
 words = re.compile(r"[^\W\d_]+").findall
 
 
-def hashed(text: str, bits: int = BITS, memory: dict[str, tuple] | None = None) -> np.ndarray:
-    """The distinct feature numbers of a text; ``memory`` keeps the hashes of words between calls."""
-    memory = {} if memory is None else memory
+class Memory:
+    """Hashes of words and of their first four and five letters, kept between texts."""
+
+    def __init__(self) -> None:
+        self.number: dict[str, int] = {}
+        self.hashes = np.empty((1024, 3), np.uint64)
+
+    def of(self, found: list[str]) -> np.ndarray:
+        if len(self.number) > REMEMBERED:
+            self.number.clear()
+        number = self.number
+        if new := [w for w in dict.fromkeys(found) if w not in number]:
+            start, end = len(number), len(number) + len(new)
+            number.update(zip(new, range(start, end), strict=True))
+            while end > len(self.hashes):
+                self.hashes = np.concatenate([self.hashes, np.empty_like(self.hashes)])
+            crc = zlib.crc32
+            flat = [crc(x) for w in new for x in (w.encode(), b"4" + w[:4].encode(), b"5" + w[:5].encode())]
+            self.hashes[start:end] = (np.array(flat, np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(-1, 3)
+        return self.hashes[np.fromiter(map(number.__getitem__, found), np.int64, len(found))].T
+
+
+def codes(text: str, bits: int = BITS, memory: Memory | None = None) -> np.ndarray:
+    """The feature numbers of a text, repeats included."""
     found = words(text.lower())
     if not found:
         return np.empty(0, np.int64)
-    if len(memory) > REMEMBERED:
-        memory.clear()
-    for w in set(found):
-        if w not in memory:
-            memory[w] = tuple(zlib.crc32(x) * 0x9E3779B97F4A7C15 & 2**64 - 1 for x in (w.encode(), b"4" + w[:4].encode(), b"5" + w[:5].encode()))
-    h, four, five = np.array([memory[w] for w in found], np.uint64).T
+    h, four, five = (memory or Memory()).of(found)
     p, q = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
     grams = [h, four, five]
     if len(h) > 1:
@@ -50,7 +70,12 @@ def hashed(text: str, bits: int = BITS, memory: dict[str, tuple] | None = None)
         grams += [((h[:-2] * p) ^ (h[1:-1] * q)) * q ^ (h[2:] * p), (h[:-2] * q) ^ (h[2:] * p) + np.uint64(1)]
     mixed = np.concatenate(grams)
     mixed = (mixed ^ (mixed >> np.uint64(29))) * p
-    return np.unique(mixed >> np.uint64(64 - bits)).astype(np.int64)
+    return (mixed >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def hashed(text: str, bits: int = BITS, memory: Memory | None = None) -> np.ndarray:
+    """The distinct feature numbers of a text, sorted."""
+    return np.unique(codes(text, bits, memory))
 
 
 @dataclass
@@ -85,25 +110,38 @@ def ftrl(rows: list[tuple[np.ndarray, int]], bits: int = BITS, alpha: float = 0.
     return Model(bits, used, w[used].astype(np.float32), float(bias))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", limit: int = TRAIN_ROWS) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", limit: int = TRAIN_ROWS, features: int = TRAIN_FEATURES) -> Model | None:
     """Learn from at most ``limit`` of the labelled documents. The texts become feature numbers on the executors."""
     sample = labelled_sample(docs, labels, label_col, limit, id_col, text_col)
 
     def make(batch) -> list[list]:
-        memory: dict[str, int] = {}
+        memory = Memory()
         return [batch.column(0), batch.column(1), [hashed(x.decode(), BITS, memory) for x in raw_texts(batch.column(2))]]
 
-    got = map_rows(sample.select("doc_id", "label", "text"), "doc_id long, label int, x array<int>", make).toArrow()
+    kind = f"doc_id {sample.schema['doc_id'].dataType.simpleString()}, label int, x array<int>"
+    made = materialize(map_rows(sample.select("doc_id", "label", "text"), kind, make), "toxicity-sample")
+    sizes = sorted((zlib.crc32(str(r[0]).encode()), r[0], r[1]) for r in made.select("doc_id", F.size("x")).collect())
+    fits = int(np.searchsorted(np.cumsum([n for _, _, n in sizes]), features, "right")) if sizes else 0
+    if fits < len(sizes):
+        few = docs.sparkSession.createDataFrame([(i,) for _, i, _ in sizes[:fits]], made.select("doc_id").schema)
+        made = made.join(F.broadcast(few), "doc_id")  # at most ``limit`` ids
+    got = made.toArrow()
     if len(set(got.column("label").to_pylist())) < 2:
         return None
     ids, y = got.column("doc_id").to_pylist(), got.column("label").to_pylist()
     chunk = got.column("x").combine_chunks()
     chunk = chunk.chunk(0) if hasattr(chunk, "num_chunks") else chunk
     flat, cuts = chunk.flatten().to_numpy(), np.r_[0, np.cumsum(chunk.value_lengths().to_numpy())]
-    order = sorted(range(len(y)), key=lambda i: (zlib.crc32(str(ids[i]).encode()), ids[i], y[i], flat[cuts[i] : cuts[i + 1]].tobytes()))
+    order = sorted(range(len(y)), key=lambda i: (zlib.crc32(str(ids[i]).encode()), ids[i]))
     return ftrl([(flat[cuts[i] : cuts[i + 1]], int(y[i] > 0)) for i in order])
 
 
+def margin(text: str, model: Model, dense: np.ndarray, memory: Memory) -> float:
+    """Bias and weights of the distinct features; only those with a weight are told apart."""
+    found = codes(text, model.bits, memory)
+    return model.bias + float(dense[np.unique(found[dense[found] != 0])].sum(dtype=float))
+
+
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score): a row per document."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -115,9 +153,8 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
 
     def make(batch) -> list[list]:
         if not state:
-            state.update(w=handle.value.dense(), memory={})
-        m, w = handle.value, state["w"]
-        margin = np.array([m.bias + float(w[hashed(x.decode(), m.bits, state["memory"])].sum()) for x in raw_texts(batch.column(1))])
-        return [batch.column(0), 1 / (1 + np.exp(-np.clip(margin, -35, 35)))]
+            state.update(dense=handle.value.dense(), memory=Memory())
+        sums = np.array([margin(x.decode(), handle.value, state["dense"], state["memory"]) for x in raw_texts(batch.column(1))])
+        return [batch.column(0), 1 / (1 + np.exp(-np.clip(sums, -35, 35)))]
 
     return map_rows(rows, kind, make)
