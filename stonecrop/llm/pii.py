@@ -13,7 +13,8 @@
    candidates only where ``WEAK_AGREE`` of their patterns are trusted.
 
 The graph is a table of distinct (pattern, instance) pairs in the shared folder, counted before it is
-joined, so a frequent pattern isn't gathered in a task; joins on patterns and instances are salted.
+joined, so a frequent pattern isn't gathered in a task; joins on patterns and instances are broadcast
+where these are few, and salted where they aren't.
 Positions are code points, ends exclusive.
 
 The patterns are possessive and start where a match can start. Positions are prefix sums by doubling, overlaps are
@@ -43,7 +44,8 @@ HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){1
 #: Token of five or more characters with a digit, or of 16 or more with a capital after a small letter; not within a longer one.
 CANDIDATE = r"(?<![A-Za-z0-9_@.+/-])(?=[A-Za-z_@.+/-]*+[0-9]|[A-Za-z_@.+/-]{15}[A-Za-z_])(?=[A-Za-z_@.+/-]*+[0-9]|[A-Za-z_@.+/-]*?[a-z][A-Z])[A-Za-z0-9_@+/-][A-Za-z0-9_@.+/-]{3,}[A-Za-z0-9_]"
 SUPPORT, CONFIDENCE, AGREE, WEAK_AGREE = 3, 0.8, 1, 2
-SALTS = 8
+#: Patterns or instances that are broadcast at most, some 10 MB; how often they are repeated in a salted join beyond.
+BROADCAST, SALTS = 100_000, 8
 #: A word of a context.
 WORD = r"\p{L}\p{N}=:#"
 SPAN = "array<struct<s:int,k:int,e:int,b:int,f:int>>"
@@ -148,9 +150,11 @@ def candidates(text: Column, base: Column) -> Column:
 
 
 def _met(rows: DataFrame, few: DataFrame, key: str, by: str, how: str) -> DataFrame:
-    """A join on ``key`` whose rows are dealt by ``by`` too, so that a frequent key isn't one task."""
+    """A join with a written table of distinct keys: broadcast up to ``BROADCAST`` of them, else salted by ``by``, so that a frequent key isn't one task."""
+    if few.count() <= BROADCAST:
+        return rows.join(F.broadcast(few), key, how)
     salted = rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
-    return salted.join(few.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS))))), [key, "salt"], how).drop("salt")
+    return salted.join(few.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS))))).hint("merge"), [key, "salt"], how).drop("salt")
 
 
 def learned(found: DataFrame) -> tuple[DataFrame, DataFrame]:
