@@ -133,5 +133,67 @@ def op10_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "difference")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_fixity, op3_pack, op4_simhash, op5_quality_rules, op6_pii, op7_toxicity, op8_licenses, op9_url_lists, op10_compression)}
-SQL = {"op2_fixity": OP2_SQL, "op9_url_lists": OP9_SQL}
+def base5_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base columns of ``op5_quality_rules``, which SQL can express; the learned list is left out."""
+    found = decision_list.judge(read(spark, sf_dir, "documents"), decision_list.DecisionList())
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+BASE5_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT *, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM t),
+g AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) AS gram FROM t),
+r AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, gram) > 1),
+c AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM r, range(3) s(k) GROUP BY 1)
+SELECT l.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+       (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, len(w) < 50 OR 100 * coalesce(c.n, 0) > 50 * len(w) AS base_failed
+FROM l LEFT JOIN c USING (doc_id)
+"""
+
+
+def base6_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base columns of ``op6_pii``; the added spans are left out."""
+    spans = pii.base_spans(F.coalesce("text", F.lit("")))
+    found = read(spark, sf_dir, "documents").select("doc_id", spans.alias("base"))
+    return found.select("doc_id", F.size("base").cast("long").alias("n_spans"), F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"))
+
+
+_FOUND = r"""SELECT doc_id, {k} AS k, unnest(m) AS m, unnest(list_transform(range(1, len(m) + 1), lambda i: list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0)))::BIGINT AS s
+FROM (SELECT doc_id, regexp_extract_all(text, '{p}') AS m, regexp_split_to_array(text, '{p}') AS g FROM t)"""
+BASE6_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+f AS (""" + "\nUNION ALL ".join(
+    _FOUND.format(k=k, p=p)
+    for k, p in enumerate((r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", r"[0-9](?:[\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"))
+) + r"""),
+d AS (SELECT *, string_split(reverse(regexp_replace(m, '[^0-9]', '', 'g')), '') AS d FROM f),
+v AS (
+  SELECT *, CASE k WHEN 0 THEN TRUE WHEN 1 THEN list_bool_and(list_transform(string_split(m, '.'), lambda x: length(ltrim(x, '0')) <= 3 AND coalesce(try_cast(x AS INT), 0) <= 255))
+    WHEN 2 THEN len(d) BETWEEN 12 AND 19 AND list_sum(list_transform(range(1, len(d) + 1), lambda i: CASE WHEN i % 2 = 1 THEN d[i]::INT WHEN d[i]::INT > 4 THEN d[i]::INT * 2 - 9 ELSE d[i]::INT * 2 END)) % 10 = 0
+    ELSE len(d) BETWEEN 9 AND 15 END AS good
+  FROM d
+), x AS (SELECT doc_id, count(*) AS n, string_agg(['email', 'ip', 'card', 'phone'][k + 1] || ':' || s || ':' || (s + length(m)), ',' ORDER BY s, k) AS spans FROM v WHERE good GROUP BY 1)
+SELECT t.doc_id, coalesce(n, 0) AS n_spans, sha256(coalesce(spans, '')) AS base_sha256 FROM t LEFT JOIN x USING (doc_id)
+"""
+
+
+def base8_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base columns of ``op8_licenses``; labels of tags and notices are left out."""
+    return licenses.scan_licenses(read(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+BASE8_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+p AS (
+  SELECT *, list_filter(range(1, len(w) + 1), lambda i: w[i] = 'mit' AND w[i + 1] = 'license') AS mit, list_filter(range(1, len(w) + 1), lambda i: w[i] = 'apache' AND w[i + 1] = 'license') AS apache,
+         list_filter(range(1, len(w) + 1), lambda i: w[i] = 'general' AND w[i + 1] = 'public' AND w[i + 2] = 'license') AS gpl
+  FROM w
+), a AS (SELECT *, list_concat(list_concat(mit, apache), gpl) AS places FROM p)
+SELECT doc_id, len(w)::BIGINT AS n_words, len(places)::BIGINT AS n_base, list_min(places) - 1 AS first_word, list_max(places) - 1 AS last_word,
+       concat_ws(',', CASE WHEN len(apache) > 0 THEN 'apache' END, CASE WHEN len(gpl) > 0 THEN 'gpl' END, CASE WHEN len(mit) > 0 THEN 'mit' END) AS base_labels
+FROM a
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_fixity, op3_pack, op4_simhash, op5_quality_rules, op6_pii, op7_toxicity, op8_licenses, op9_url_lists, op10_compression, base5_counts, base6_spans, base8_places)}
+SQL = {"op2_fixity": OP2_SQL, "op9_url_lists": OP9_SQL, "base5_counts": BASE5_SQL, "base6_spans": BASE6_SQL, "base8_places": BASE8_SQL}

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import itertools
+import math
+import operator
 import random
 import re
 import zlib
@@ -45,6 +47,16 @@ def test_masks_cover_the_radius():
         assert any(not sum(1 << b for b in bits) & m for m in simhash.covering_masks(free))
 
 
+@pytest.mark.parametrize("radius", [1, 2, 3, 4, 5, 6, 7])
+def test_masks_of_other_radii(radius):
+    """No pair within the radius is lost, and each mask keeps enough positions to tell fingerprints apart."""
+    masks, r = simhash.covering_masks(2**64 - 1, radius), random.Random(radius)
+    assert len(masks) == 2 ** (radius + 1) - 1 and min(m.bit_count() for m in masks) >= 16
+    for _ in range(2000):
+        d = sum(1 << b for b in r.sample(range(64), radius))
+        assert any(not d & m for m in masks)
+
+
 def test_stars_connect():
     values = np.array([0, 1, 3, 7, 2**40, 2**40 | 1, 2**63 | 2**50], np.uint64)
     assert dict(simhash.stars(np.sort(values), 1)) == {1: 0, 3: 0, 7: 0, 2**40: 0, 2**40 | 1: 0}
@@ -96,8 +108,11 @@ def test_encoder_equals_library(encoder, text):
     assert encoder.encode(text).tolist() == encoder.library.encode(text, add_special_tokens=False).ids
 
 
-def test_encoder_takes_special_strings_as_text(encoder):
-    assert 50256 not in encoder.encode("a<|endoftext|>b") and 50256 not in encoder.encode("ж<|endoftext|>")
+def test_encoder_gives_added_tokens_as_the_library_does(encoder):
+    """The plain call turns the string of an added token into that token."""
+    assert encoder.encode("a<|endoftext|>b").tolist() == [64, 50256, 65]
+    for text in ("<|endoftext|>", "ж<|endoftext|> x", "a <|endoftext|><|endoftext|>\n", "<|endoftext|", "é<|endoftext|>é " * 50):
+        assert encoder.encode(text).tolist() == encoder.library.encode(text, add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("seed,most,window,limit", [(0, 3000, 1024, 4096), (1, 40, 16, 5), (2, 16, 16, 1), (3, 700, 1024, 20), (4, 1, 8, 4096)])
@@ -232,6 +247,56 @@ def test_ftrl_is_sparse_and_learns():
     assert len(toxicity.hashed("")) == 0 and len(toxicity.hashed("A a")) == len(toxicity.hashed("a a"))
 
 
+def plain_ftrl(rows, alpha=0.5, beta=1.0, l1=8.0, l2=1.0, epochs=5):
+    """The published update, a coordinate at a time."""
+    z, n, bias, rate = {}, {}, 0.0, 0.0
+
+    def weight(i):
+        if abs(z.get(i, 0.0)) <= l1:
+            return 0.0
+        return -(z[i] - math.copysign(l1, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+
+    for _ in range(epochs):
+        for x, y in rows:
+            w = {i: weight(i) for i in x}
+            g = 1 / (1 + math.exp(-(sum(w.values()) + bias))) - y
+            for i in x:
+                sigma = (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / alpha
+                z[i] = z.get(i, 0.0) + g - sigma * w[i]
+                n[i] = n.get(i, 0.0) + g * g
+            rate += g * g
+            bias -= 0.1 * g / (1 + math.sqrt(rate))
+    return {i: weight(i) for i in z if weight(i)}, bias
+
+
+def test_ftrl_equals_the_plain_update():
+    r = random.Random(2)
+    rows = [(sorted(r.sample(range(300), 20) + [400 + y] * (r.random() < 0.9)), y) for y in (int(r.random() < 0.4) for _ in range(300))]
+    model = toxicity.ftrl([(np.array(x, np.int64), y) for x, y in rows], bits=10)
+    weights, bias = plain_ftrl(rows)
+    assert weights and sorted(weights) == model.index.tolist() and model.bias == pytest.approx(bias)
+    assert model.weight.tolist() == pytest.approx([weights[i] for i in model.index.tolist()], rel=1e-5)
+
+
+@given(st.lists(st.sampled_from(["Bad", "bad", "badly", "ünï", "x", "a1b", "-", "WORD", "words"]), max_size=12).map(" ".join))
+@settings(max_examples=200, deadline=None)
+def test_features_are_those_of_the_text(text):
+    """As many distinct features as there are distinct n-grams, by 40 bits; the same with and without a memory."""
+    w = re.findall(r"[^\W\d_]+", text.lower())
+    grams = {("1", x) for x in w} | {("4", x[:4]) for x in w} | {("5", x[:5]) for x in w} | {("2", *x) for x in zip(w, w[1:], strict=False)} | {("3", *x) for x in zip(w, w[1:], w[2:], strict=False)} | {("skip", *x) for x in zip(w, w[2:], strict=False)}
+    memory = toxicity.Memory()
+    got = toxicity.hashed(text, 20, memory)
+    assert len(toxicity.hashed(text, 40)) == len(grams) and got.tolist() == toxicity.hashed(text).tolist() == toxicity.hashed(text, 20, memory).tolist()
+    model = toxicity.Model(20, got[::2], np.arange(1, len(got[::2]) + 1, dtype=np.float32), 0.25)
+    assert toxicity.margin(text, model, model.dense(), memory) == pytest.approx(0.25 + sum(range(1, len(got[::2]) + 1)))
+
+
+def test_a_small_memory_changes_nothing(monkeypatch):
+    monkeypatch.setattr(toxicity, "REMEMBERED", 3)
+    memory, texts = toxicity.Memory(), [f"word{chr(97 + i)} is here and other{chr(98 + i)}" for i in range(20)]
+    assert all(toxicity.hashed(t, 20, memory).tolist() == toxicity.hashed(t).tolist() for t in texts * 2)
+
+
 def plain_places(text):
     low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
@@ -249,6 +314,12 @@ def test_license_places(words):
     assert licenses.scan(text.encode(), licenses.automaton())[:5] == plain_places(text)
 
 
+def choices(postfix):
+    """The sets of licences that satisfy an expression: AND needs both, OR either; an exception qualifies its licence."""
+    qualified = lambda a, b: frozenset({frozenset({f"{next(iter(next(iter(a))))} with {next(iter(next(iter(b))))}"})})
+    return licenses.evaluated(postfix, lambda x: frozenset({frozenset({x})}), {"or": operator.or_, "and": lambda a, b: frozenset(x | y for x in a for y in b), "with": qualified})
+
+
 @pytest.mark.parametrize(
     "text,want",
     [
@@ -259,7 +330,7 @@ def test_license_places(words):
     ],
 )
 def test_license_expressions(text, want):
-    assert licenses.choices(licenses.parse(text)) == want
+    assert choices(licenses.parse(text)) == want
 
 
 @pytest.mark.parametrize("text", ["", "MIT MIT", "(MIT", "MIT)", "AND MIT", "MIT OR", "()", "MIT OR (AND)", "M$T"])
@@ -286,6 +357,9 @@ def test_license_tag():
         ("MIT AND (ISC", "unparsed", ["MIT AND (ISC"]),
         ("(MIT", "unparsed", ["(MIT"]),
         ("M$T */", "unparsed", ["M$T"]),
+        ("hello", "unknown", ["hello"]),
+        ("MIT OR hello WITH x", "mit,unknown", ["MIT OR hello WITH x"]),
+        ("LicenseRef-Own AND GPL-2.0+ WITH Linux-syscall-note", "gpl-2.0+ with linux-syscall-note,licenseref-own", ["LicenseRef-Own AND GPL-2.0+ WITH Linux-syscall-note"]),
         ("", "unparsed", [""]),
     ],
 )
@@ -294,17 +368,38 @@ def test_license_tag_in_running_text(rest, labels, expressions):
     assert (row[5], row[8]) == (labels, expressions)
 
 
+def test_license_scores():
+    score = lambda x: licenses.scan(x.encode(), licenses.automaton())[6]
+    tag = "SPDX-License-Identifier: "
+    assert [score(tag + x) for x in ("MIT", "hello", "MIT OR hello", "M$T", "GPL-3.0-only WITH hello")] == [1.0, 0.0, 0.5, 0.0, 0.0]
+    assert licenses.scan((tag + "hello").encode(), licenses.automaton(), identifiers=frozenset({"hello"}))[5:7] == ("hello", 1.0)
+
+
 def test_compression_tells_apart():
     r = random.Random(1)
     good = [" ".join(r.choices(["alpha", "beta", "gamma", "delta"], k=80)).encode() for _ in range(200)]
     bad = [" ".join(r.choices(["x**", "y$$", "z##", "q%%"], k=80)).encode() for _ in range(200)]
-    d = compression.Differ(compression.dictionary(good[:100]), compression.dictionary(bad[:100]))
+    blocks = lambda texts: [t[a : a + compression.BLOCK] for t in texts for a in range(0, len(t), compression.BLOCK)]
+    d = compression.Differ(compression.dictionary(blocks(good[:100])), compression.dictionary(blocks(bad[:100])))
     x = np.array([d(t) for t in good[100:] + bad[100:]])
     slope, intercept = compression.logistic(x, np.r_[np.ones(100), np.zeros(100)])
     assert ((slope * x + intercept > 0) == np.r_[np.ones(100), np.zeros(100)]).mean() > 0.98
     assert d(b"") == 0.0 and compression.dictionary([b"a"])
 
 
+def test_difference_is_that_of_single_blocks():
+    """Against a compressor made anew for each block."""
+    import zstandard
+
+    good, bad = b"alpha beta gamma delta " * 50, b"x** y$$ z## q%% " * 50
+    d = compression.Differ(good, bad)
+    for raw in (b"alpha beta", b"alpha z## " * 99, bytes(range(256)) * 3 + b"tail"):
+        size = lambda x, block: len(zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(x), level=compression.LEVEL, write_content_size=False, write_dict_id=False).compress(block))
+        blocks = [raw[a : a + compression.BLOCK] for a in range(0, len(raw), compression.BLOCK)]
+        want = sum((size(bad, x) - size(good, x)) / (size(bad, x) + size(good, x)) * len(x) for x in blocks) / len(raw)
+        assert d(raw) == pytest.approx(want)
+
+
 def test_license_expressions_of_any_length():
     long = licenses.parse(" AND ".join(["MIT"] * 20_000))
     assert licenses.named(long) == {"mit"} and licenses.satisfied(long, licenses.PERMITTED)
@@ -324,6 +419,6 @@ def test_license_permission_is_that_of_choices():
             if r.random() < 0.4:
                 text = f"({text})"
         postfix = licenses.parse(text)
-        allowed = any(all(x.split()[0] in licenses.PERMITTED for x in c) for c in licenses.choices(postfix))
+        allowed = any(all(x.split()[0] in licenses.PERMITTED for x in c) for c in choices(postfix))
         assert licenses.satisfied(postfix, licenses.PERMITTED) == allowed, text
-        assert set().union(*licenses.choices(postfix)) <= licenses.named(postfix)
+        assert set().union(*choices(postfix)) <= licenses.named(postfix)

@@ -5,8 +5,10 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import zlib
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,6 +98,34 @@ def test_pack(spark, odd):
     assert packing.pack(odd.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("source", ["table", "special"])
+def test_pack_equals_plain_calls(spark, source):
+    """Each piece of all documents of the larger test table, and of texts with added tokens, against the library's own ids."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    docs = queries.read(spark, DATA.replace("0.001", "0.01"), "documents")
+    if source == "special":
+        docs = docs.filter("doc_id % 20 = 0").withColumn("text", F.concat(F.lit("<|endoftext|>"), F.substring("text", 1, 700), F.lit("a<|endoftext|>b"), F.col("text")))
+    rows = packing.pack(docs.repartition(3, "doc_id")).collect()
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = {r["doc_id"]: np.array([*plain.encode(r["text"] or "", add_special_tokens=False).ids, 0], "<u4") for r in docs.select("doc_id", "text").collect()}
+    pieces, windows = {}, {}
+    for r in rows:
+        own = ids[r["doc_id"]]
+        assert r["doc_tokens"] == len(own) and r["length"] > 0
+        assert r["ids_crc32"] == zlib.crc32(own[r["start"] : r["start"] + r["length"]].tobytes())
+        pieces.setdefault(r["doc_id"], []).append((r["start"], r["length"]))
+        windows.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    ends = lambda parts: [b for a, b in sorted(parts)] and all(x[0] + x[1] == y[0] for x, y in zip(sorted(parts), sorted(parts)[1:], strict=False)) and min(parts)[0] == 0
+    assert set(pieces) == set(ids) and all(ends(x) and sum(n for _, n in x) == len(ids[d]) for d, x in pieces.items())
+    sizes = [sum(n for _, n in x) for x in windows.values()]
+    assert all(map(ends, windows.values())) and max(sizes) <= 1024
+    assert sum(1024 - n for n in sizes if n & (n - 1)) <= 0.01 * sum(sizes)
+    if source == "special":
+        assert any(50256 in x.tolist() for x in ids.values())
+
+
 def test_quality(spark, odd):
     labels = spark.createDataFrame([(4, 1), (6, 0), (None, 1), (5, None)], "doc_id long, quality int")
     rules = decision_list.fit(odd, labels)
