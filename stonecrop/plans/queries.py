@@ -324,13 +324,13 @@ def j7_hamming_pairs(spark, sf_dir):
     return similarity.hamming_pairs(reps, 5)
 
 
-@query("""WITH o AS (SELECT vec_id * 2 + k AS id, CASE WHEN k = 0 THEN array_to_string(list_transform(embedding, lambda x: CASE WHEN x >= 0 THEN '1' ELSE '0' END), '') ELSE array_to_string(list_transform(embedding, lambda x: CASE WHEN x >= 0.1 THEN '1' ELSE '0' END), '') END AS bits FROM embeddings, range(2) t(k)),
+@query("""WITH o AS (SELECT vec_id * 2 + k AS id, CASE WHEN k = 0 THEN array_to_string(list_transform(embedding, lambda x: CASE WHEN x >= 0 THEN '1' ELSE '0' END), '') ELSE array_to_string(list_transform(embedding, lambda x: CASE WHEN x >= 0.01 THEN '1' ELSE '0' END), '') END AS bits FROM embeddings, range(2) t(k)),
 r AS (SELECT bits, min(id) AS id FROM o GROUP BY bits)
 SELECT a.id AS a, b.id AS b, hamming(a.bits, b.bits)::BIGINT AS distance FROM r a JOIN r b ON a.id < b.id WHERE hamming(a.bits, b.bits) <= 5""")
 def j7_hamming_pairs_of_two_hashes(spark, sf_dir):
-    """Each vector has two hashes here, by the sign and by a threshold of 0.1, some of which differ in few bits."""
+    """Each vector has two hashes here, by the sign and by a threshold of 0.01, some of which differ in few bits."""
     rows = read(spark, sf_dir, "embeddings")
-    second = hashing.sign_hash(F.transform("embedding", lambda x: x - F.lit(0.1).cast("float")))
+    second = hashing.sign_hash(F.transform("embedding", lambda x: x - F.lit(0.01).cast("float")))
     both = rows.select(F.explode(F.array(*[F.struct((F.col("vec_id") * 2 + k).alias("id"), h.alias("hash")) for k, h in enumerate((hashing.sign_hash(F.col("embedding")), second))])).alias("x")).select("x.*")
     return similarity.hamming_pairs(both.groupBy("hash").agg(F.min("id").alias("id")), 5)
 
