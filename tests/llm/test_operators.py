@@ -267,7 +267,12 @@ def test_sql(spark, name):
         con.execute(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     want = con.execute(queries.SQL[name]).df()
     got = queries.QUERIES[name](spark, DATA).toPandas()
-    plain = lambda df: sorted(map(repr, df[sorted(df.columns)].astype(object).where(df.notna(), None).astype(str).itertuples(index=False, name=None)))
+
+    def cell(v):
+        """Columns of integers with nulls are floats in one of the two."""
+        return "-" if v is None or v != v else f"{float(v):.5f}" if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
+
+    plain = lambda df: sorted("\t".join(map(cell, r)) for r in df[sorted(df.columns)].astype(object).itertuples(index=False, name=None))
     assert plain(got) == plain(want)
 
 
