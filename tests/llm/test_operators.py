@@ -9,6 +9,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -270,7 +271,7 @@ def test_sql(spark, name):
 
     def cell(v):
         """Columns of integers with nulls are floats in one of the two."""
-        return "-" if v is None or v != v else f"{float(v):.5f}" if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
+        return "-" if pd.isna(v) else f"{float(v):.5f}" if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
 
     plain = lambda df: sorted("\t".join(map(cell, r)) for r in df[sorted(df.columns)].astype(object).itertuples(index=False, name=None))
     assert plain(got) == plain(want)
