@@ -57,20 +57,24 @@ def sentences(text: Column) -> Column:
     return F.split(text, r"(?<=[.!?])\s+")
 
 
+def sentence_list(text: str) -> list[str]:
+    """The sentences of a text without white space around them; none is empty."""
+    return [s for s in map(str.strip, _SENTENCE_END.split(text)) if s]
+
+
 def chunked(text: str, max_tokens: int = 512) -> list[str]:
     """Sentences packed greedily into chunks of at most three quarters of ``max_tokens`` words; a longer sentence is a chunk of its own.
 
     A text without sentences is one chunk of its first ``4 * max_tokens`` characters.
     """
     most, out, now, n = int(max_tokens * 0.75), [], [], 0
-    for s in _SENTENCE_END.split(text):
-        if s := s.strip():
-            words = len(s.split())
-            if now and n + words > most:
-                out.append(" ".join(now))
-                now, n = [], 0
-            now.append(s)
-            n += words
+    for s in sentence_list(text):
+        words = len(s.split())
+        if now and n + words > most:
+            out.append(" ".join(now))
+            now, n = [], 0
+        now.append(s)
+        n += words
     return [*out, " ".join(now)] if now else [text.strip()[: 4 * max_tokens]]
 
 

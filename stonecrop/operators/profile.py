@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stonecrop.functions import paths
+from stonecrop.sources.files import materialize
 
 
 def extension(path_col: str = "path") -> Column:
@@ -114,13 +115,15 @@ class Profile:
     def depth_distribution(self) -> DataFrame:
         return depth_distribution(self.entries)
 
-    def to_dict(self) -> dict:
-        """All reports on the driver; each is a row or bounded by its top count, but for the empty folders and depths."""
+    def to_dict(self, most: int = 1000) -> dict:
+        """All reports on the driver, from one scan, which is written; at most ``most`` empty folders by name, their number is in the summary."""
+        once = Profile(materialize(self.entries, "profile"))
         pairs = lambda df: {r[0]: r[1] for r in df.collect()}
         return {
-            "summary": self.summary.first().asDict(),
-            "file_extensions": pairs(self.file_extensions),
-            "common_folder_names": pairs(self.common_folder_names),
-            "top_folders_by_file_count": pairs(self.top_folders_by_file_count),
-            "depth_distribution": pairs(self.depth_distribution),
+            "summary": once.summary.first().asDict(),
+            "file_extensions": pairs(once.file_extensions),
+            "common_folder_names": pairs(once.common_folder_names),
+            "top_folders_by_file_count": pairs(once.top_folders_by_file_count),
+            "depth_distribution": pairs(once.depth_distribution),
+            "empty_folders": [r["path"] for r in once.empty_folders.orderBy("path").limit(most).collect()],
         }

@@ -280,6 +280,8 @@ def scan(spark: SparkSession, path: str, max_depth: int | None = None, hidden: b
 
     ``timeout`` bounds the seconds of a call; on a network file system it is ``PATIENCE`` unless given, as calls may hang there.
     """
+    if not os.path.isdir(os.path.expanduser(path)):
+        raise ValueError(f"not a directory: {path}")
     spark.dataSource.register(TreeSource)
     timeout = timeout or (PATIENCE if on_network(path) else None)
     reader = spark.read.format("tree").option("path", path).option("hidden", hidden).option("ignore", ignore).option("withStats", with_stats).option("computeHash", compute_hash).option("lean", lean).option("tasks", TASKS_A_CORE * spark.sparkContext.defaultParallelism).option("timeout", timeout or "")
