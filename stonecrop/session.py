@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -16,6 +18,10 @@ SETTINGS = {
 
 
 def session(master: str = "local[*]", app: str = "stonecrop", **settings: str) -> SparkSession:
+    # Python workers on this machine find the library where it isn't installed, too
+    here, known = os.path.dirname(os.path.dirname(os.path.abspath(__file__))), os.environ.get("PYTHONPATH", "")
+    if here not in known.split(os.pathsep):
+        os.environ["PYTHONPATH"] = os.pathsep.join(x for x in (known, here) if x)
     builder = SparkSession.builder.master(master).appName(app)
     for k, v in {**SETTINGS, **settings}.items():
         builder = builder.config(k, v)
