@@ -5,7 +5,7 @@ from __future__ import annotations
 import contextlib
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
@@ -97,20 +97,30 @@ def discard(spark: SparkSession, paths: list[str]) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-@contextlib.contextmanager
-def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
-    """A block at whose end the tables that ``materialize`` wrote in it are deleted, but for those written by what it gives."""
-    made: list[str] = []
-    kept: list[str] = []
-    _scratch.append(made)
+class Keep:
+    """Writes tables that outlive a ``scratch`` block; ``path`` is the last one's."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+    @property
+    def path(self) -> str:
+        return self.paths[-1]
 
-    def keep(df: DataFrame, name: str) -> DataFrame:
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
         out = materialize(df, name)
-        kept.append(made[-1])
+        self.paths.append(_scratch[-1][-1])
         return out
 
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[Keep]:
+    """A block at whose end the tables that ``materialize`` wrote in it are deleted, but for those written by what it gives."""
+    made: list[str] = []
+    keep = Keep()
+    _scratch.append(made)
     try:
         yield keep
     finally:
         _scratch.pop()
-        discard(spark, [x for x in made if x not in kept])
+        discard(spark, [x for x in made if x not in keep.paths])
