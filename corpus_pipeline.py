@@ -1,7 +1,13 @@
 """From raw documents to packed training windows; part of ``stonecrop.llm``.
 
 Each stage takes what its predecessor kept, as Parquet, and its decisions take effect: rejected,
-repeated and leaked documents go, personal data is replaced in the texts.
+repeated and leaked documents go, personal data is replaced in the texts. What a stage writes for itself is
+deleted once its result is written, and that once the next stage's is.
+
+Null and empty texts have fewer than 50 words, so the first stage rejects them; rows without an id are kept as any
+others. Repeated rows are copies, of which the second stage keeps one. Columns beyond those of ``documents`` pass
+through all stages but the last, whatever their names. An empty table gives an empty one; without labels of
+both kinds the first stage has the base rules only, and without benchmark items the third keeps all.
 """
 
 from __future__ import annotations
@@ -9,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from stonecrop.llm import decision_list, decontaminate, packing, pii, simhash
-from stonecrop.llm.common import materialize, read
+from stonecrop.llm.common import discard, read, scratch
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +48,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    docs, before = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch(spark) as keep:
+            docs = keep(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            discard(spark, [before])
+        before = keep.path
     return STAGES[-1][1](spark, docs, sf_dir)
