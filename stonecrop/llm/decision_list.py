@@ -6,8 +6,10 @@ the threshold condition of the largest FOIL gain, is pruned from its end on rows
 on, and is kept if it is precise there; the rows it covers are left out and the next rule
 grows. ``DecisionList.keep`` is the list as one ordered Spark conditional expression.
 
-Texts that are null count as empty. Rows with a null label don't teach. Without labels of both
-classes the list is empty and rejects nothing.
+Texts that are null count as empty. Rows with a null label, id or text don't teach; of repeated ids one row does
+(``common.labelled_sample``). Without labels of both classes the list is empty and rejects nothing. Ties between
+conditions go to the first feature and least threshold. Repeated rows get a row each, an empty table none; columns may
+have any names.
 """
 
 from __future__ import annotations

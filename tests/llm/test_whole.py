@@ -225,3 +225,13 @@ def test_pipeline_of_odd_tables(spark, tmp_path):
         assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).columns == [x.split()[0] for x in packing.SCHEMA.split(", ")]
     assert [x for x, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "decontamination", "personal_data", "packing"]
     assert SCHEMA.split(",")[0] == "doc_id long"
+
+
+def test_pipeline_leaves_one_table(spark, tmp_path):
+    """Of all that the stages write only the last stage's input is left."""
+    import os
+
+    before = set(os.listdir(common.shared_dir(spark)))
+    out = corpus_pipeline.run(spark, DATA)
+    left = set(os.listdir(common.shared_dir(spark))) - before
+    assert len(left) == 1 and next(iter(left)).startswith("pipeline-personal_data-") and out.count() > 0
