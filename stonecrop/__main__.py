@@ -36,14 +36,18 @@ def audit(spark: SparkSession, a: argparse.Namespace) -> int:
 
 
 def verify(spark: SparkSession, a: argparse.Namespace) -> int:
-    if a.manifest:
-        rows = api.verify(spark, a.path, integrity.load_manifest(spark, a.reference)[0].select("path", "size_bytes", "sha256"))
-        fine = ["ok"]
+    if os.path.isdir(a.reference):
+        rows = api.verify(spark, a.path, integrity.Snapshot.load(spark, a.reference))
     else:
-        rows, fine = api.verify(spark, a.path, _snapshot(spark, a.reference)), ["matched"]
+        rows = api.verify_file(spark, a.path, a.reference)
     counts = {r["status"]: r["n"] for r in rows.groupBy("status").agg(F.count("*").alias("n")).collect()}
     print(json.dumps(counts, sort_keys=True))
-    return int(any(n for s, n in counts.items() if s not in fine))
+    return int(any(n for s, n in counts.items() if s not in ("ok", "matched")))
+
+
+def manifest(spark: SparkSession, a: argparse.Namespace) -> int:
+    api.manifest_json(api.manifest(spark, a.path, include_hidden=not a.no_hidden), a.output)
+    return 0
 
 
 def snapshot(spark: SparkSession, a: argparse.Namespace) -> int:
@@ -116,7 +120,9 @@ def parser() -> argparse.ArgumentParser:
     one.add_argument("--no-hidden", action="store_true")
     one = add("verify", verify, "what changed since a snapshot, or against a manifest")
     one.add_argument("reference")
-    one.add_argument("--manifest", action="store_true")
+    one = add("manifest", manifest, "a manifest as one JSON file")
+    one.add_argument("output")
+    one.add_argument("--no-hidden", action="store_true")
     one = add("quality", check, "integrity and class balance")
     one.add_argument("--output")
     one.add_argument("--no-hidden", action="store_true")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import time
 
 import numpy as np
 import pandas as pd
@@ -96,6 +97,37 @@ def read_snapshot_json(spark: SparkSession, path: str) -> integrity.Snapshot:
     return integrity.Snapshot(whole.selectExpr("inline(entries)"), head["mode"], head["options"].asDict() if head["options"] else {}, head["created_at"])
 
 
+def manifest(spark: SparkSession, path: str, lineage: list[dict] | None = None, include_hidden: bool = True) -> tuple[DataFrame, dict]:
+    """(path, size_bytes, modified_time, sha256) of a directory's files, and the header of a manifest of them."""
+    files = tree.scan(spark, path, hidden=include_hidden, compute_hash=True).filter("is_file").select("path", "size_bytes", "modified_time", "sha256")
+    return files, {"version": "1.0", "created_at": time.strftime("%Y-%m-%dT%H:%M:%S"), "lineage": lineage or [], "summary": integrity.manifest_summary(files).first().asDict()}
+
+
+def manifest_json(made: tuple[DataFrame, dict], path: str) -> None:
+    """One JSON file with header and files, a row at a time."""
+    files, head = made
+    with open(path, "w", encoding="utf-8") as f:
+        f.write(json.dumps(head)[:-1] + ', "files": [')
+        for i, row in enumerate(files.orderBy("path").toLocalIterator()):
+            f.write((", " if i else "") + json.dumps(row.asDict()))
+        f.write("]}")
+
+
+def read_manifest_json(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
+    schema = "version string, created_at string, lineage string, summary struct<total_files:long,total_size_bytes:long>, files array<struct<path:string,size_bytes:long,modified_time:string,sha256:string>>"
+    whole = spark.read.schema(schema).json(path, multiLine=True)
+    head = whole.select("version", "created_at", "lineage", "summary").first()
+    return whole.selectExpr("inline(files)"), head.asDict(True) | {"lineage": json.loads(head["lineage"] or "[]")}
+
+
+def verify_file(spark: SparkSession, path: str, reference: str) -> DataFrame:
+    """A directory against a JSON file: a manifest if it has a lineage, else a snapshot."""
+    keys = spark.read.json(reference, multiLine=True).columns
+    if "lineage" in keys:
+        return verify(spark, path, read_manifest_json(spark, reference)[0].select("path", "size_bytes", "sha256"))
+    return verify(spark, path, read_snapshot_json(spark, reference))
+
+
 def verify(spark: SparkSession, path: str, reference: integrity.Snapshot | DataFrame) -> DataFrame:
     """Changes against a snapshot, or the state of each file of a manifest (path, size_bytes, sha256)."""
     if isinstance(reference, integrity.Snapshot):

@@ -9,6 +9,7 @@ from typing import Any
 
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import DataFrame as SparkFrame
+from pyspark.sql import GroupedData
 from pyspark.sql import functions as F
 
 from stonecrop.functions import kinds, paths
@@ -16,6 +17,26 @@ from stonecrop.operators import dedup, embed, integrity, profile, relational
 from stonecrop.sources import files, tree
 
 
+class Groups:
+    """Grouped rows of a frame; what their aggregates give is a frame again."""
+
+    def __init__(self, frame: FileFrame, groups: GroupedData, name: str) -> None:
+        self._frame, self._groups, self._name = frame, groups, name
+
+    def __getattr__(self, name: str) -> Any:
+        if name.startswith("__"):
+            raise AttributeError(name)
+        found = getattr(self._groups, name)
+
+        def call(*args: Any, **kwargs: Any) -> Any:
+            out = found(*args, **kwargs)
+            if isinstance(out, GroupedData):
+                return Groups(self._frame, out, self._name)
+            return self._frame._next(out, f"{self._name}.{name}") if isinstance(out, SparkFrame) else out
+
+        return call
+
+
 class FileFrame:
     """Wraps a Spark DataFrame; methods that aren't here go to it, and DataFrames that come back are wrapped.
 
@@ -35,6 +56,8 @@ class FileFrame:
         def call(*args: Any, **kwargs: Any) -> Any:
             args = tuple(a.df if isinstance(a, FileFrame) else a for a in args)
             out = found(*args, **kwargs)
+            if isinstance(out, GroupedData):
+                return Groups(self, out, name)
             return self._next(out, name) if isinstance(out, SparkFrame) else out
 
         return call
@@ -153,6 +176,10 @@ class FileFrame:
     def info(self) -> FileFrame:
         return self._next(relational.info(self.df), "info")
 
+    def estimated_bytes(self) -> int:
+        """What Spark's plan says of the size of the rows; nothing is computed."""
+        return int(str(self.df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
     def save(self, path: str, format: str | None = None) -> None:
         files.save(self.df, path, format)
 

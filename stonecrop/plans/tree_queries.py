@@ -51,6 +51,7 @@ def planted(spark: SparkSession, sf_dir: str) -> str:
     """The root of the tree; files are written by the tasks."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _roots:
+        # a scanned tree is one that the machines have mounted
         root = f"{file_formats.shared_dir(spark).removeprefix('file://').removeprefix('file:')}/planted-{uuid.uuid4().hex}"
         docs = read(spark, sf_dir, "documents")
 

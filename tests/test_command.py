@@ -61,6 +61,24 @@ def test_snapshot_and_watch_commands(spark, folder, tmp_path, capsys):
     assert main(["watch", str(folder), shot], spark) == 0
 
 
+def test_manifest_command(spark, folder, tmp_path, capsys):
+    out = str(tmp_path / "manifest.json")
+    assert main(["manifest", str(folder), out], spark) == 0
+    files, head = api.read_manifest_json(spark, out)
+    assert files.count() == 6 and head["lineage"] == [] and head["summary"]["total_files"] == 6
+    assert main(["verify", str(folder), out], spark) == 0 and json.loads(capsys.readouterr().out) == {"ok": 6}
+    (folder / "valid/cat/c.txt").write_text("one\ntwo\nthred")
+    (folder / "zero.log").unlink()
+    assert main(["verify", str(folder), out], spark) == 1 and json.loads(capsys.readouterr().out) == {"ok": 4, "hash_mismatch": 1, "missing": 1}
+
+
+def test_groups_stay_frames(spark):
+    frame = FileFrame(spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "k string, n long"))
+    out = frame.groupBy("k").agg(F.sum("n").alias("n"))
+    assert isinstance(out, FileFrame) and {tuple(r) for r in out.df.collect()} == {("a", 3), ("b", 3)} and out.lineage[-1]["operation"] == "groupBy.agg"
+    assert isinstance(frame.groupBy("k").pivot("n", [1, 2]).count(), FileFrame) and frame.estimated_bytes() > 0
+
+
 def test_quality_and_dedup_commands(spark, folder, tmp_path, capsys):
     out = str(tmp_path / "report.json")
     assert main(["quality", str(folder), "--output", out, "--no-hidden"], spark) == 1
