@@ -136,11 +136,13 @@ def t2_streamed_counts(spark, sf_dir):
 # reshaping and frames
 
 
-@query("""SELECT 'r_name' AS "column", max(r_name) FILTER (r_regionkey = 0) AS "0", max(r_name) FILTER (r_regionkey = 1) AS "1" FROM region UNION ALL SELECT 'twice', max(r_regionkey * 2) FILTER (r_regionkey = 0)::VARCHAR, max(r_regionkey * 2) FILTER (r_regionkey = 1)::VARCHAR FROM region""")
+@query(
+    "SELECT 'r_name' AS \"column\", " + ", ".join(f'max(r_name) FILTER (r_regionkey = {i}) AS "{i}"' for i in range(5)) + " FROM region UNION ALL SELECT 'twice', " + ", ".join(f"max(r_regionkey * 2) FILTER (r_regionkey = {i})::VARCHAR" for i in range(5)) + " FROM region"
+)
 def r4_transpose(spark, sf_dir):
-    """Of two rows, so that the columns are the same in all tables."""
-    two = read(spark, sf_dir, "region").filter("r_regionkey < 2")
-    return relational.transpose(two.select("r_regionkey", "r_name", (F.col("r_regionkey") * 2).alias("twice")), "r_regionkey").select("column", "0", "1")
+    """A row a column, and a column for each of the five regions."""
+    rows = read(spark, sf_dir, "region").select("r_regionkey", "r_name", (F.col("r_regionkey") * 2).alias("twice"))
+    return relational.transpose(rows, "r_regionkey").select("column", *map(str, range(5)))
 
 
 @query("SELECT s_suppkey, s_name, s_nationkey FROM supplier")
@@ -185,11 +187,12 @@ def p6_enrich(spark, sf_dir):
 # texts, hashes, duplicates
 
 
-@query(f"WITH {SHINGLES} SELECT a.doc_id AS a, b.doc_id AS b, round(CASE WHEN len(a.items) + len(b.items) = 0 THEN 1 ELSE len(list_intersect(a.items, b.items)) / (len(a.items) + len(b.items) - len(list_intersect(a.items, b.items))) END, 6) AS similarity FROM s a JOIN s b ON b.doc_id = a.doc_id + 1 WHERE a.doc_id % 4 = 0")
+@query(f"WITH {SHINGLES} SELECT a.doc_id AS a, b.doc_id AS b, round(CASE WHEN len(a.items) + len(b.items) = 0 THEN 1 ELSE len(list_intersect(a.items, b.items)) / (len(a.items) + len(b.items) - len(list_intersect(a.items, b.items))) END, 6) AS similarity FROM s a JOIN s b ON b.doc_id = a.doc_id + 1")
 def p15_jaccard(spark, sf_dir):
-    """Similarity of each fourth document to the next one."""
+    """Similarity of each document to the next one."""
     rows = read(spark, sf_dir, "documents").select("doc_id", text_functions.shingles(F.col("text")).alias("items"))
-    a, b = rows.filter("doc_id % 4 = 0").alias("a"), rows.alias("b")
+    rows = file_formats.materialize(rows, "shingles")
+    a, b = rows.alias("a"), rows.alias("b")
     both = a.join(b, F.col("b.doc_id") == F.col("a.doc_id") + 1)
     return both.select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b"), F.round(text_functions.jaccard(F.col("a.items"), F.col("b.items")), 6).alias("similarity"))
 
@@ -237,10 +240,10 @@ def s4_path_aggregates(spark, sf_dir):
     return entries.groupBy(F.regexp_replace("path", "/[^/]*$", "").alias("folder")).agg(F.count("*").alias("n_files"), F.sum("size_bytes").alias("bytes"))
 
 
-@query("SELECT vec_id AS id, len(embedding)::INT AS n, TRUE AS found FROM embeddings WHERE vec_id % 50 = 0")
+@query("SELECT vec_id AS id, len(embedding)::INT AS n, TRUE AS found FROM embeddings")
 def p9_image_embedding(spark, sf_dir):
     """Vectors of image bytes by a caller's embedder, here the bytes' own values; none for what is no image."""
-    rows = read(spark, sf_dir, "embeddings").filter("vec_id % 50 = 0").select(F.col("vec_id").alias("id"), F.concat(F.col("vec_id").cast("string"), F.lit(".PNG")).alias("path"), F.array_join(F.transform("embedding", lambda x: F.when(x >= 0, "b").otherwise("a")), "").cast("binary").alias("content"))
+    rows = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.concat(F.col("vec_id").cast("string"), F.lit(".PNG")).alias("path"), F.array_join(F.transform("embedding", lambda x: F.when(x >= 0, "b").otherwise("a")), "").cast("binary").alias("content"))
     made = embed.image_embedding(rows, embedder=lambda images: [[float(b) for b in x] for x in images])
     return made.select("id", F.size("image_embedding").alias("n"), F.forall("image_embedding", lambda x: x.isin(97.0, 98.0)).alias("found"))
 
