@@ -17,7 +17,6 @@ def replicas(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Archives of ``pages``, and a copy in which every 97th page is altered and every 89th is missing."""
     pages = read(spark, sf_dir, "pages")
     payload = F.concat(F.coalesce("url", F.lit("")), F.lit("\r\n\r\n"), F.coalesce("html", F.lit("")))
-    # one scan serves both: the copy's digest stands beside the original's
     rows = pages.filter("page_id is not null").select("page_id", payload.alias("payload"))
     a = fixity.laid_out(rows, "page_id", F.col("payload"))
     # the copy stands at the original's offsets

@@ -422,3 +422,47 @@ def test_license_permission_is_that_of_choices():
         allowed = any(all(x.split()[0] in licenses.PERMITTED for x in c) for c in choices(postfix))
         assert licenses.satisfied(postfix, licenses.PERMITTED) == allowed, text
         assert set().union(*choices(postfix)) <= licenses.named(postfix)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_rules_grow_by_the_best_condition(seed):
+    """The first condition of the first rule has the largest FOIL gain of all thresholds, and the rules are those of plain covering."""
+    g = np.random.default_rng(seed)
+    x = g.integers(0, 8, (400, 3)).astype(float)
+    bad = (x[:, 0] >= 6) & (x[:, 1] < 5) | (g.random(400) < 0.05)
+    grow = np.arange(400) % 3 != 0
+
+    def gain(met, part):
+        p, n = (met & part & bad).sum(), (met & part & ~bad).sum()
+        p0, n0 = (part & bad).sum(), (part & ~bad).sum()
+        return p * (math.log2(p / (p + n)) - math.log2(p0 / (p0 + n0))) if p >= 3 else 0.0
+
+    best = max(gain(x[:, j] >= t if above else x[:, j] < t, grow) for j in range(3) for t in range(8) for above in (True, False))
+    rules = decision_list.learn(["a", "b", "c"], x, bad, grow).rules
+    assert rules
+    first = rules[0][0]
+    assert gain(first.holds(x[:, "abc".index(first.feature)]), grow) == pytest.approx(best)
+    # each rule is precise on the rows that those before it leave
+    left = np.ones(400, bool)
+    for rule in rules:
+        met = left.copy()
+        for c in rule:
+            met &= c.holds(x[:, "abc".index(c.feature)])
+        assert (met & bad).sum() >= 0.9 * met.sum() and met.sum() >= 3
+        left &= ~met
+
+
+@given(st.lists(st.sampled_from([*" ".join(licenses.NOTICES).split(), *licenses.NOTICES, *licenses.BASE, "GNU", "Lesser", "x", "-", "\n"]), max_size=25))
+@settings(max_examples=200, deadline=None)
+def test_all_phrases_are_found(words):
+    """Labels, places and score against a search for each phrase alone."""
+    text = " ".join(words)
+    found = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower())
+    every = {**licenses.NOTICES, **licenses.BASE}
+    want = sorted((i, len(p.split()), label) for p, label in every.items() for i in range(len(found)) if found[i : i + len(p.split())] == p.split())
+    row = licenses.scan(text.encode(), licenses.automaton())
+    assert sorted((x["start"], x["words"], x["label"]) for x in row[7]) == want
+    labels = {x for _, _, x in want}
+    assert row[5] == ",".join(sorted(labels))
+    notice = any(found[i : i + len(p.split())] == p.split() for p in licenses.NOTICES for i in range(len(found)))
+    assert row[6] == pytest.approx(max(1 - 0.5 ** len(labels), 0.8 if notice else 0) if labels else 0)

@@ -235,3 +235,16 @@ def test_pipeline_leaves_one_table(spark, tmp_path):
     out = corpus_pipeline.run(spark, DATA)
     left = set(os.listdir(common.shared_dir(spark))) - before
     assert len(left) == 1 and next(iter(left)).startswith("pipeline-personal_data-") and out.count() > 0
+
+
+def test_batches_are_cut_by_rows_and_bytes(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(common, "PART_ROWS", 4)
+    monkeypatch.setattr(common, "PART_BYTES", 10)
+    texts = ["abc", None, "é" * 9, "", "x" * 10, "y", "12345", "12345", "1", "", "", "", "", ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["i", "t"])
+    got = list(common.parts([batch.slice(0, 0), batch]))
+    assert [i for b in got for i in b.column(0).to_pylist()] == list(range(len(texts)))
+    sizes = [sum(len((t or "").encode()) for t in b.column(1).to_pylist()) for b in got]
+    assert all(b.num_rows <= 4 and (n <= 10 or b.num_rows == 1) for b, n in zip(got, sizes, strict=True)) and len(got) < len(texts)
