@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ from stonecrop.operators import chunk_store, dedup, embed, integrity, profile, q
 from stonecrop.operators.frame import FileFrame
 from stonecrop.plans.queries import CHANGED, FILES, LEADERS, NEAR, SHINGLES, changed, files, hashed, query, read, sign_hashes
 from stonecrop.sources import files as file_formats
+from stonecrop.sources import images
 from stonecrop.streaming import drift
 
 # joins
@@ -262,3 +264,34 @@ def o3_frame_largest(spark, sf_dir):
     return FileFrame(rows).largest(12, column="value").df.select("event_id", "value")
 
 
+
+
+@query("SELECT event_id, len(json_keys(props))::INT AS n_keys, list_sort(json_keys(props)) AS keys FROM events")
+def b6_map(spark, sf_dir):
+    """JSON objects as maps: how many keys, and which."""
+    m = F.from_json("props", "map<string,string>")
+    return read(spark, sf_dir, "events").select("event_id", F.size(m).alias("n_keys"), F.array_sort(F.map_keys(m)).alias("keys"))
+
+
+@query("SELECT * FROM (VALUES (0, 'enrich'), (1, 'filter_by_extension'), (2, 'filter'), (3, 'noted'), (4, 'groupBy.count')) t(step, operation)")
+def p12_lineage(spark, sf_dir):
+    """The steps that a frame has been through."""
+    frame = FileFrame(files(spark, sf_dir).select("path", "size_bytes")).enrich().filter_by_extension("txt").filter("size_bytes > 0").add_lineage_entry("noted", why="test").groupBy("parent").count()
+    return spark.createDataFrame([(i, x["operation"]) for i, x in enumerate(frame.lineage)], "step int, operation string")
+
+
+@query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: greatest(0, least(255, floor((x::DOUBLE + 1) * 100)::INT))) AS p FROM embeddings),
+m AS (SELECT vec_id, p, list_sum(p) / 64.0::DOUBLE AS mean FROM v)
+SELECT vec_id, CASE WHEN vec_id % 10 = 0 THEN NULL ELSE 8 END AS width, CASE WHEN vec_id % 10 = 0 THEN NULL ELSE list_min(p)::DOUBLE END AS least, CASE WHEN vec_id % 10 = 0 THEN NULL ELSE list_max(p)::DOUBLE END AS greatest,
+       CASE WHEN vec_id % 10 = 0 THEN NULL ELSE round(mean, 6) END AS mean, CASE WHEN vec_id % 10 = 0 THEN NULL ELSE len(list_distinct(p)) END AS distinct_values,
+       CASE WHEN vec_id % 10 = 0 THEN NULL ELSE round(sqrt(list_sum(list_transform(p, lambda x: (x - mean) * (x - mean))) / 64), 6) END AS std, CASE WHEN vec_id % 10 = 0 THEN 'not implemented' ELSE 'ok' END AS status FROM m""")
+def s16_image_profiles(spark, sf_dir):
+    """Vectors as gray PNG of eight rows, decoded and profiled; each tenth is called an array file, which has no profile."""
+    @F.pandas_udf("binary")
+    def drawn(vectors):
+        return vectors.map(lambda v: images.encode_png(np.clip(np.floor((np.asarray(v, float) + 1) * 100), 0, 255).astype(np.uint8).reshape(8, 8)))
+
+    name = F.concat(F.col("vec_id").cast("string"), F.when(F.col("vec_id") % 10 == 0, ".npy").otherwise(".png"))
+    rows = read(spark, sf_dir, "embeddings").select(name.alias("path"), drawn("embedding").alias("content"))
+    made = images.profiles(rows)
+    return made.select(F.split("path", r"\.")[0].cast("long").alias("vec_id"), "width", F.col("min").alias("least"), F.col("max").alias("greatest"), F.round("mean", 6).alias("mean"), F.col("unique").alias("distinct_values"), F.round("std", 6).alias("std"), "status")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from stonecrop import api
 from stonecrop.functions import kinds
-from stonecrop.operators import integrity, profile, quality
+from stonecrop.operators import integrity, profile, quality, report, tools
 from stonecrop.operators.frame import FileFrame
 from stonecrop.operators.pipeline import Dataset, Pipeline
 from stonecrop.plans.queries import query, read
@@ -364,3 +364,36 @@ def a10_cross_directory_duplicates(spark, sf_dir):
     return relative(found.join(frame.df.select("path", "sha256"), "path"), root).select("path", "sha256")
 
 
+
+
+@query(f"""WITH {PLANTED}, s AS (SELECT CASE WHEN doc_id % 3 = 0 THEN 'modified' WHEN doc_id % 3 = 1 THEN 'added' ELSE 'matched' END AS status FROM pf UNION ALL SELECT 'missing' FROM pf WHERE doc_id % 10 = 0)
+SELECT status, count(*) AS n FROM s WHERE status <> 'matched' GROUP BY 1""")
+def k10_change_report(spark, sf_dir):
+    """The report of changes since a snapshot in which a third of the hashes differ, a third of the files and some that don't exist are."""
+    root = planted(spark, sf_dir)
+    number = F.regexp_extract("path", r"_(\d+)[^/]*$", 1).cast("long")
+    now = Dataset(spark, root).snap("fast").entries
+    old = now.filter(number % 3 != 1).withColumn("hash_fast", F.when(number % 3 == 0, "0").otherwise(F.col("hash_fast")))
+    gone = now.filter(number % 10 == 0).withColumn("path", F.concat("path", F.lit(".gone")))
+    made, _ = api.watch(spark, root, integrity.Snapshot(old.unionByName(gone), "fast", {"pattern": None, "include_hidden": True}))
+    return spark.createDataFrame([(s, n) for s, n in made["summary"].items() if n], "status string, n long")
+
+
+@query(f"""WITH {PLANTED}, l AS (SELECT CASE WHEN doc_id % 7 = 0 THEN '.cache' ELSE lang END AS label, count(*) AS n FROM pf GROUP BY 1)
+SELECT 'checked' AS what, count(*)::DOUBLE AS value FROM pf UNION ALL SELECT 'failed', count(*) FILTER (size_bytes = 0) FROM pf UNION ALL SELECT 'class ' || label, n FROM l UNION ALL SELECT 'cv', round(stddev_samp(n) / avg(n) * 100, 6) FROM l""")
+def k8_verifier_report(spark, sf_dir):
+    files = integrity.with_corruption(tree.scan(spark, planted(spark, sf_dir)).filter("is_file"))
+    made = report.verifier(files)
+    rows = [("checked", made["integrity"]["checked"]), ("failed", made["integrity"]["failed"]), ("cv", round(made["class_balance"]["cv_pct"], 6)), *((f"class {k}", n) for k, n in made["class_balance"]["counts"].items())]
+    return spark.createDataFrame([(k, float(v)) for k, v in rows], "what string, value double")
+
+
+@query(f"""WITH {PLANTED}, d AS (SELECT count(*) AS n FROM pf GROUP BY text HAVING count(*) > 1)
+SELECT 'files' AS what, count(*) AS n FROM pf UNION ALL SELECT 'directories', count(*) FROM pd UNION ALL SELECT 'groups', count(*) FROM d UNION ALL SELECT 'in groups', sum(n)::BIGINT FROM d UNION ALL SELECT 'empty', count(*) FROM pe WHERE is_dir AND path NOT IN (SELECT parent FROM pe)""")
+def x6_registered_tools(spark, sf_dir):
+    """What some of the registered tools say of the tree."""
+    root = planted(spark, sf_dir)
+    counts, twins = tools.call(spark, "count_files", path=root), tools.call(spark, "find_duplicates", path=root)
+    empty = len(tools.call(spark, "find_empty_directories", path=root, n=200))
+    rows = [("files", counts["files"]), ("directories", counts["directories"]), ("groups", twins["duplicate_count"]), ("in groups", twins["duplicate_file_count"]), ("empty", empty)]
+    return spark.createDataFrame(rows, "what string, n long")

@@ -133,6 +133,16 @@ def decode_png(data: bytes) -> np.ndarray:
     return image * np.uint8(255 // (2**depth - 1)) if depth < 8 else image
 
 
+def encode_png(gray_: np.ndarray) -> bytes:
+    """An 8-bit gray PNG of a matrix."""
+    def chunk(kind: bytes, body: bytes) -> bytes:
+        return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+
+    height, width = gray_.shape
+    rows = np.concatenate([np.zeros((height, 1), np.uint8), gray_.astype(np.uint8)], 1)
+    return PNG + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows.tobytes())) + chunk(b"IEND", b"")
+
+
 def decode_bmp(data: bytes) -> np.ndarray:
     """Rows, columns and channels of an uncompressed BMP of 8, 24 or 32 bits; ValueError for any other data."""
     if data[:2] != b"BM" or len(data) < 54:
