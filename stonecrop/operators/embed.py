@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stonecrop.functions import kinds
+from stonecrop.functions.arrays import let
 from stonecrop.operators import similarity
 
 
@@ -104,11 +105,39 @@ def image_embedding(df: DataFrame, content_col: str = "content", path_col: str =
     return df.withColumn(out, embedded(F.when(kinds.is_image(F.col(path_col)), F.col(content_col))))
 
 
-def with_neighbours(df: DataFrame, k: int = 5, id_col: str = "id", name_col: str = "path", vector_col: str = "embedding", blend: dict[str, float] | None = None) -> DataFrame:
-    """Add nearest_neighbor_paths and nearest_neighbor_similarities, null where a row has no neighbour."""
-    vector = similarity.blended(blend) if blend else F.col(vector_col)
-    rows = df.select(F.col(id_col).alias("id"), vector.alias("vector"))
-    found = similarity.nearest(rows, rows, k)
+def _weighed(vector: Column, meta: Column, weight: float) -> tuple[Column, Column]:
+    """Vectors of a row as a query and as a neighbour, whose product is weight * cos + (1 - weight) * meta cos where both have metadata, else cos."""
+    def scaled(v: Column, by: float) -> Column:
+        return let(F.sqrt(similarity.dot(v, v)), lambda n: F.transform(v, lambda x: F.when(n == 0, 0.0).otherwise(x.cast("double") * by / n)))
+
+    own, rest = weight**0.5, (1 - weight) ** 0.5
+    none = F.transform(vector, lambda x: F.lit(0.0))
+    c, m = scaled(vector, rest), scaled(meta, rest)
+    has = meta.isNotNull()
+    # the last two parts make up for the metadata of pairs in which one or both have none
+    width = F.coalesce(F.size(meta), F.lit(0))
+    query = F.concat(scaled(vector, own), c, F.when(has, none).otherwise(c), F.when(has, m).otherwise(F.array().cast("array<double>")))
+    row = F.concat(scaled(vector, own), F.when(has, none).otherwise(c), F.when(has, c).otherwise(none), F.when(has, m).otherwise(F.array().cast("array<double>")))
+    return F.struct(query.alias("v"), width.alias("n")), F.struct(row.alias("v"), width.alias("n"))
+
+
+def with_neighbours(df: DataFrame, k: int = 5, id_col: str = "id", name_col: str = "path", vector_col: str = "embedding", blend: dict[str, float] | None = None, meta_col: str | None = None, content_weight: float = 0.5) -> DataFrame:
+    """Add nearest_neighbor_paths and nearest_neighbor_similarities, null where a row has no neighbour.
+
+    With ``meta_col`` similarity is the weighted mean of both cosines for pairs that both have that vector, and the cosine of
+    ``vector_col`` for others. ``blend`` instead weighs several columns, which all must be there.
+    """
+    if missing := {c for c in (vector_col if blend is None else None, meta_col, *(blend or ())) if c} - set(df.columns):
+        raise ValueError(f"no column {sorted(missing)}")
+    if meta_col:
+        size = df.agg(F.max(F.size(F.col(meta_col)))).first()[0] or 0
+        pad = lambda x: F.concat(x["v"], F.array_repeat(F.lit(0.0), F.lit(max(size, 0)) - F.greatest(x["n"], F.lit(0))))
+        query, row = _weighed(F.col(vector_col), F.col(meta_col), content_weight)
+        sides = df.filter(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id"), query.alias("q"), row.alias("r")).select("id", pad(F.col("q")).alias("q"), pad(F.col("r")).alias("r"))
+        found = similarity.nearest(sides.select("id", F.col("r").alias("vector")), sides.select("id", F.col("q").alias("vector")), k, cosine=False)
+    else:
+        rows = df.select(F.col(id_col).alias("id"), (similarity.blended(blend) if blend else F.col(vector_col)).alias("vector"))
+        found = similarity.nearest(rows, rows, k)
     names = df.select(F.col(id_col).alias("neighbour"), F.col(name_col).alias("name"))
     top = found.join(names, "neighbour").groupBy("query").agg(F.array_sort(F.collect_list(F.struct("rank", "name", "similarity"))).alias("top"))
     out = df.join(top, df[id_col] == top["query"], "left")

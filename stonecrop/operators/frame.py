@@ -130,6 +130,25 @@ class FileFrame:
     def add_embedding(self, text_col: str = "text", embedder: Callable | None = None, max_chars: int | None = 4000) -> FileFrame:
         return self._next(embed.text_embedding(self.df, text_col, "path" if "path" in self.df.columns else None, embedder, max_chars), "add_embedding")
 
+    def add_image_embedding(self, content_col: str = "content", embedder: Callable | None = None) -> FileFrame:
+        return self._next(embed.image_embedding(self.df, content_col, embedder=embedder), "add_image_embedding")
+
+    def add_semantic_similarity(self, embedding_col: str = "embedding", top_k: int = 5, metadata_embedding_col: str | None = None, content_weight: float = 0.5) -> FileFrame:
+        """The ``top_k`` most similar files of each; files are told apart by path."""
+        rows = self.with_row_index("path", "__id").df
+        made = embed.with_neighbours(rows, top_k, "__id", "path", embedding_col, meta_col=metadata_embedding_col, content_weight=content_weight)
+        return self._next(made.drop("__id"), "add_semantic_similarity", embedding_col=embedding_col, top_k=top_k, metadata_embedding_col=metadata_embedding_col, content_weight=content_weight)
+
+    # the same steps by the names that callers of other frames of files know
+    add_file_stats_cols = add_file_stats
+    add_depth_col = add_depth
+    add_duplicate_cols = add_duplicates
+    add_corruption_cols = add_corruption
+    add_embedding_cols = add_embedding
+    add_image_embedding_cols = add_image_embedding
+    add_metadata_embedding_cols = add_metadata_embedding
+    add_semantic_similarity_cols = add_semantic_similarity
+
     def filter_by_extension(self, extensions: list[str] | str) -> FileFrame:
         return self._next(self.df.filter(kinds.has_extension(F.col("path"), extensions)), "filter_by_extension", extensions=extensions)
 
@@ -223,6 +242,24 @@ class FileFrame:
     def to_pandas(self):
         return self.df.toPandas()
 
+    @property
+    def native(self) -> SparkFrame:
+        return self.df
+
+    @property
+    def shape(self) -> tuple[int, int]:
+        return self.df.count(), len(self.df.columns)
+
+    @classmethod
+    def from_pandas(cls, given: Any, spark: SparkSession | None = None) -> FileFrame:
+        return cls(given, spark)._relabelled("from_pandas")
+
+    def save_csv(self, path: str) -> None:
+        self.save(path, "csv")
+
+    def save_parquet(self, path: str) -> None:
+        self.save(path, "parquet")
+
     @classmethod
     def load(cls, spark: SparkSession, path: str, format: str | None = None) -> FileFrame:
         return cls(files.load(spark, path, format))._relabelled("load", path=path)

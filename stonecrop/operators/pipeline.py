@@ -76,6 +76,12 @@ class Dataset:
             self._frame = (compute_hash, FileFrame(tree.scan(self.spark, self.root, compute_hash=compute_hash)).enrich())
         return self._frame[1]
 
+    to_dataframe = frame
+
+    def invalidate_cache(self) -> Dataset:
+        self._frame = None
+        return self
+
     def probe(self) -> profile.Profile:
         return profile.Profile(tree.with_root(tree.scan(self.spark, self.root, lean=True), self.root))
 
@@ -96,5 +102,9 @@ class Dataset:
         report = quality.audit(self.frame(True).df.filter("is_file"))
         return report, quality.check_gates(report, gates) if gates else None
 
-    def dedup(self) -> DataFrame:
-        return dedup.exact_groups(self.frame(True).df.filter("is_file"))
+    run_quality_scan = quality_scan
+
+    def dedup(self, mode: str = "exact", **options: object) -> DataFrame:
+        """(group_id, path) of equal files; (category, group_id, path) by another mode."""
+        files = self.frame(True).df.filter("is_file")
+        return dedup.exact_groups(files) if mode == "exact" else dedup.find_duplicates(files, mode, **options)

@@ -212,15 +212,16 @@ def _unit(m: np.ndarray) -> np.ndarray:
 
 
 class _Best:
-    """The ``k`` rows of greatest cosine for each of some queries, from blocks of rows."""
+    """The ``k`` rows of greatest cosine, or product, for each of some queries, from blocks of rows."""
 
-    def __init__(self, names: np.ndarray, vectors: np.ndarray, k: int, skip_self: bool) -> None:
-        self.names, self.vectors, self.k, self.skip_self = names, vectors, k, skip_self
+    def __init__(self, names: np.ndarray, vectors: np.ndarray, k: int, skip_self: bool, cosine: bool) -> None:
+        self.scaled = _unit if cosine else lambda m: m
+        self.names, self.vectors, self.k, self.skip_self = names, self.scaled(vectors), k, skip_self
         self.s, self.i = np.full((len(names), 0), 0.0), np.full((len(names), 0), 0, np.int64)
 
     def see(self, ids: np.ndarray, m: np.ndarray) -> None:
         for a in range(0, len(ids), QUERY_BLOCK):
-            some, s = ids[a : a + QUERY_BLOCK], self.vectors @ _unit(m[a : a + QUERY_BLOCK]).T
+            some, s = ids[a : a + QUERY_BLOCK], self.vectors @ self.scaled(m[a : a + QUERY_BLOCK]).T
             if self.skip_self:
                 s[self.names[:, None] == some[None]] = -np.inf
             s = np.concatenate([self.s, s], 1)
@@ -237,11 +238,11 @@ def _stacked(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return np.stack(column.to_numpy(zero_copy_only=False)) if isinstance(column, pa.Array) else np.stack(column.to_numpy())
 
 
-def _by_broadcast(data: DataFrame, asked: list, k: int, skip_self: bool) -> DataFrame:
-    handle = data.sparkSession.sparkContext.broadcast((np.array([r["id"] for r in asked], np.int64), _unit(np.array([r["v"] for r in asked], float))))
+def _by_broadcast(data: DataFrame, asked: list, k: int, skip_self: bool, cosine: bool) -> DataFrame:
+    handle = data.sparkSession.sparkContext.broadcast((np.array([r["id"] for r in asked], np.int64), np.array([r["v"] for r in asked], float)))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = _Best(*handle.value, k, skip_self)
+        best = _Best(*handle.value, k, skip_self, cosine)
         for batch in batches:
             if batch.num_rows:
                 best.see(batch.column(0).to_numpy(), _stacked(batch.column(1)))
@@ -250,7 +251,7 @@ def _by_broadcast(data: DataFrame, asked: list, k: int, skip_self: bool) -> Data
     return data.mapInArrow(search, NEIGHBOURS)
 
 
-def _by_grid(data: DataFrame, asked: DataFrame, k: int, skip_self: bool, block: int) -> DataFrame:
+def _by_grid(data: DataFrame, asked: DataFrame, k: int, skip_self: bool, cosine: bool, block: int) -> DataFrame:
     """Blocks of queries against blocks of rows, each two of them in a task of their own."""
     across, down = (max(1, -(-t.count() // block)) for t in (asked, data))
     deal = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
@@ -260,15 +261,15 @@ def _by_grid(data: DataFrame, asked: DataFrame, k: int, skip_self: bool, block:
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         if not (left.num_rows and right.num_rows):
             return pa.table({"query": pa.array([], pa.int64()), "neighbour": pa.array([], pa.int64()), "similarity": pa.array([], pa.float64())})
-        best = _Best(left.column("id").to_numpy(), _unit(_stacked(left.column("v"))), k, skip_self)
+        best = _Best(left.column("id").to_numpy(), _stacked(left.column("v")), k, skip_self, cosine)
         best.see(right.column("id").to_numpy(), _stacked(right.column("v")))
         return pa.Table.from_arrays(best.rows(), names=["query", "neighbour", "similarity"])
 
     return q.groupBy("q", "r").cogroup(r.groupBy("q", "r")).applyInArrow(search, NEIGHBOURS)
 
 
-def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "id", vector_col: str = "vector", skip_self: bool = True, block: int = QUERY_BLOCK) -> DataFrame:
-    """(query, rank, neighbour, similarity): the ``k`` rows of greatest cosine for each query, ties by id. Exact.
+def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "id", vector_col: str = "vector", skip_self: bool = True, block: int = QUERY_BLOCK, cosine: bool = True) -> DataFrame:
+    """(query, rank, neighbour, similarity): the ``k`` rows of greatest cosine, or of greatest product, for each query, ties by id. Exact.
 
     Up to ``block`` queries are sent to all tasks; each batch of rows is a matrix product. More of them are dealt, like the rows, in
     blocks, each two of which are a task, and none passes through the driver. A task keeps ``k`` rows a query, so what is merged
@@ -277,11 +278,11 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "id",
     data = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).dropna()
     asked = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).dropna()
     few = asked.limit(block + 1).collect()
-    found = _by_broadcast(data, sorted(few, key=lambda r: r["id"]), k, skip_self) if 0 < len(few) <= block else None
+    found = _by_broadcast(data, sorted(few, key=lambda r: r["id"]), k, skip_self, cosine) if 0 < len(few) <= block else None
     if found is None:
         if not few:
             return rows.sparkSession.createDataFrame([], "query long, rank int, neighbour long, similarity double")
-        found = _by_grid(data, asked, k, skip_self, block)
+        found = _by_grid(data, asked, k, skip_self, cosine, block)
     top = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("s"), "neighbour"))), 1, k)
     return found.groupBy("query").agg(top.alias("top")).select("query", F.posexplode("top").alias("at", "x")).select("query", (F.col("at") + 1).alias("rank"), "x.neighbour", (-F.col("x.s")).alias("similarity"))
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from stonecrop.functions import hashing
 from stonecrop.functions import text as text_functions
 from stonecrop.operators import dedup, similarity
+from stonecrop.operators.frame import FileFrame
 
 
 def plain_pairs(sets, t):
@@ -97,3 +98,25 @@ def test_overlap_of_mirrored_trees(spark):
     groups = spark.createDataFrame(rows, "group_id string, path string")
     got = {(r["dir_a"], r["dir_b"]): r["shared_files"] for r in dedup.directory_overlap(groups, F.split("path", "/")[0]).collect()}
     assert got == {("x", "y"): 1000, ("x", "z"): 1000, ("y", "z"): 1000, ("w", "x"): 1}
+
+
+@pytest.mark.parametrize("weight", [0.0, 0.3, 1.0])
+def test_neighbours_by_content_and_metadata(spark, weight):
+    """Weighted where both have metadata, by content alone where one or both have none."""
+    g = np.random.default_rng(4)
+    rows = []
+    for i in range(24):
+        rows.append((f"p{i:02d}", g.normal(size=3).tolist() if i % 6 else None, g.normal(size=2).tolist() if i % 4 else None))
+    rows[3] = ("p03", [0.0, 0.0, 0.0], [1.0, 0.0])
+    frame = FileFrame(spark.createDataFrame(rows, "path string, embedding array<double>, meta array<double>"))
+    cos = lambda a, b: float(np.dot(a, b) / (np.linalg.norm(a) or 1) / (np.linalg.norm(b) or 1))
+    got = {r["path"]: r for r in frame.add_semantic_similarity("embedding", 4, "meta", weight).df.collect()}
+    for path, v, m in rows:
+        if v is None:
+            assert got[path]["nearest_neighbor_paths"] is None
+            continue
+        scores = sorted((-round(weight * cos(v, w) + (1 - weight) * cos(m, n) if m and n else cos(v, w), 9) for p, w, n in rows if p != path and w is not None))[:4]
+        assert [-round(x, 6) for x in got[path]["nearest_neighbor_similarities"]] == pytest.approx(scores, abs=2e-6)
+    with pytest.raises(ValueError):
+        frame.add_semantic_similarity_cols("none")
+    assert frame.shape == (24, 3) and FileFrame.from_pandas(frame.to_pandas()[["path"]], spark).lineage[-1]["operation"] == "from_pandas"
