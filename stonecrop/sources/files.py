@@ -77,14 +77,16 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
-#: Paths of the tables written since each open ``scratch`` block began.
+#: Paths of the tables written since each open ``scratch`` block began, and of all that are there.
 _scratch: list[list[str]] = []
+_written: set[str] = set()
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there and a lost executor costs nothing."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.add(path)
     for block in _scratch:
         block.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -95,6 +97,12 @@ def discard(spark: SparkSession, paths: list[str]) -> None:
     for path in paths:
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        _written.discard(path)
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all tables that this program wrote with ``materialize``; results that were not saved by then are lost."""
+    discard(spark, sorted(_written))
 
 
 class Keep:

@@ -216,3 +216,5 @@ def test_scratch_tables_go(spark):
         out = keep(inner.withColumn("x", F.lit(1)), "kept")
         at = inner.inputFiles()[0].removeprefix("file://")
     assert out.count() == 3 and not os.path.exists(at)
+    file_formats.clean(spark)
+    assert not os.path.exists(out.inputFiles()[0].removeprefix("file://"))
