@@ -1,6 +1,6 @@
 """Image arrays: statistics, and perceptual hashes.
 
-PNG and BMP bytes are decoded here; other formats need a decoder, which the caller
+PNG, BMP and baseline JPEG bytes are decoded here; other formats need a decoder, which the caller
 may give. NumPy, TIFF and Zarr files have no profile.
 """
 
@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stonecrop.sources import jpeg
+
 REPORT = "width int, height int, dtype string, min double, max double, mean double, nans long, infs long, `unique` long, std double, ahash string, dhash string, status string"
 #: Suffixes without a profile.
 NOT_IMPLEMENTED = (".npy", ".tif", ".tiff", ".zarr")
@@ -163,8 +165,10 @@ def decode_bmp(data: bytes) -> np.ndarray:
 
 
 def decode(data: bytes) -> np.ndarray:
-    """A PNG or BMP, by its first bytes; ValueError for any other data."""
-    return decode_bmp(data) if data[:2] == b"BM" else decode_png(data)
+    """A PNG, baseline JPEG or BMP, by its first bytes; ValueError for any other data."""
+    if data[:2] == b"BM":
+        return decode_bmp(data)
+    return jpeg.decode(data) if data[:2] == b"\xff\xd8" else decode_png(data)
 
 
 def gray(image: np.ndarray) -> np.ndarray:
