@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stonecrop.llm.common import append_column, free_name, strings
+from stonecrop.llm.common import append_column, free_name, parts, strings
 
 #: Words of a seed, and the least words of an item.
 SEED, SHORTEST = 2, 3
@@ -199,7 +199,7 @@ def prepared(docs: DataFrame, text_col: str, block: list[tuple[int, str]], thres
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = handle.value
         total = np.zeros(len(own.codes), np.int64)
-        for batch in batches:
+        for batch in parts(batches):
             for text in strings(batch.column(0)):
                 np.add.at(total, own.found(own.encode(text))[1], 1)
         seen = np.flatnonzero(total)
@@ -223,7 +223,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
         def search(batches: Iterator[pa.RecordBatch], handle=handle) -> Iterator[pa.RecordBatch]:
             items = handle.value
-            for batch in batches:
+            for batch in parts(batches):
                 got = []
                 for doc, text in zip(batch.column(0).to_pylist(), strings(batch.column(1)), strict=True):
                     got += [(doc, items.ids[i], *m) for i, m in items.matches(items.encode(text), threshold).items()]

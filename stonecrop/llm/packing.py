@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stonecrop.llm.common import strings
+from stonecrop.llm.common import parts, strings
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Windows a partition may hold open; 4096 windows of 1024 four-byte ids are 16 MB.
@@ -182,7 +182,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
                 columns, packer.out = zip(*packer.out, strict=True), []
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
 
-        for batch in batches:
+        for batch in parts(batches):
             for doc, text in zip(batch.column(0).to_pylist(), strings(batch.column(1)), strict=True):
                 packer.add(doc, np.concatenate([encoder.encode(text), end]))
             yield from flush()

@@ -125,15 +125,16 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
     if fits < len(sizes):
         few = docs.sparkSession.createDataFrame([(i,) for _, i, _ in sizes[:fits]], made.select("doc_id").schema)
         made = made.join(F.broadcast(few), "doc_id")  # at most ``limit`` ids
-    got = made.toArrow()
-    if len(set(got.column("label").to_pylist())) < 2:
+    rows = []
+    for batch in made.select("doc_id", "label", "x").toArrow().to_batches():
+        ids, y, x = batch.columns
+        # views of the batch's memory, not copies
+        flat, cuts = x.flatten().to_numpy(), np.r_[0, np.cumsum(x.value_lengths().to_numpy())]
+        rows += [(i, flat[a:b], int(k > 0)) for i, k, a, b in zip(ids.to_pylist(), y.to_pylist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+    if len({y for _, _, y in rows}) < 2:
         return None
-    ids, y = got.column("doc_id").to_pylist(), got.column("label").to_pylist()
-    chunk = got.column("x").combine_chunks()
-    chunk = chunk.chunk(0) if hasattr(chunk, "num_chunks") else chunk
-    flat, cuts = chunk.flatten().to_numpy(), np.r_[0, np.cumsum(chunk.value_lengths().to_numpy())]
-    order = sorted(range(len(y)), key=lambda i: (zlib.crc32(str(ids[i]).encode()), ids[i]))
-    return ftrl([(flat[cuts[i] : cuts[i + 1]], int(y[i] > 0)) for i in order])
+    rows.sort(key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0]))
+    return ftrl([(x, y) for _, x, y in rows])
 
 
 def margin(text: str, model: Model, dense: np.ndarray, memory: Memory) -> float:
