@@ -98,7 +98,7 @@ def set_pairs(sets: DataFrame, threshold: float, id_col: str = "id", items_col:
     """
     if not 0 < threshold <= 1:
         raise ValueError("the threshold must be over 0 and at most 1")
-    sets = sets.select(F.col(id_col).alias("id"), F.col(items_col).alias("items"))
+    sets = sets.select(F.col(id_col).alias("id"), F.col(items_col).alias("items")).filter("items is not null")
     # items of any type are compared by 64-bit hashes until they are verified
     numbers = sets.schema["items"].dataType.elementType == T.LongType()
     coded = sets if numbers else sets.select("id", F.transform("items", lambda x: F.xxhash64(x)).alias("items"))

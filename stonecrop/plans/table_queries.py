@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from stonecrop.functions import hashing
+from stonecrop.functions import hashing, paths
 from stonecrop.functions import text as text_functions
 from stonecrop.operators import chunk_store, dedup, embed, integrity, profile, quality, relational, similarity
 from stonecrop.operators.frame import FileFrame
@@ -96,10 +96,10 @@ def a15_table_labels(spark, sf_dir):
 # windows
 
 
-@query("SELECT o_orderkey, sum(round(o_totalprice * 100)::BIGINT) OVER w AS cents, count(*) OVER w AS n FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY epoch(o_orderdate)::BIGINT RANGE BETWEEN 7776000 PRECEDING AND CURRENT ROW)")
+@query("SELECT o_orderkey, sum(round(o_totalprice * 100)::BIGINT) OVER w AS cents, count(*) OVER w AS n FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate::DATE - DATE '1970-01-01' RANGE BETWEEN 90 PRECEDING AND CURRENT ROW)")
 def w3_rolling_range(spark, sf_dir):
     """Sums over the ninety days up to each order of a customer."""
-    w = Window.partitionBy("o_custkey").orderBy(F.unix_timestamp("o_orderdate")).rangeBetween(-90 * 86400, 0)
+    w = Window.partitionBy("o_custkey").orderBy(F.unix_date(F.to_date("o_orderdate"))).rangeBetween(-90, 0)
     return read(spark, sf_dir, "orders").select("o_orderkey", F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).over(w).alias("cents"), F.count("*").over(w).alias("n"))
 
 
@@ -132,7 +132,7 @@ def t2_streamed_counts(spark, sf_dir):
     counts.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     rows = spark.read.parquet(f"{path}/rows")
     last = rows.groupBy("window_start", "key").agg(F.max_by(F.struct("n", "total"), "batch").alias("x"))
-    return last.select("window_start", "key", "x.n", F.round("x.total", 4).alias("total"))
+    return last.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "key", "x.n", F.round("x.total", 4).alias("total"))
 
 
 # reshaping and frames
@@ -176,7 +176,9 @@ def b4_json(spark, sf_dir):
 def b5_times(spark, sf_dir):
     """A time as ISO text, back to seconds, and its day of the week."""
     iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
-    return read(spark, sf_dir, "events").select("event_id", iso.alias("iso"), F.unix_timestamp(F.to_timestamp(iso)).alias("seconds"), (F.weekday("ts") + 1).cast("long").alias("weekday"))
+    read_again = F.to_timestamp_ntz(iso)
+    seconds = F.unix_date(F.to_date(read_again)).cast("long") * 86400 + F.hour(read_again) * 3600 + F.minute(read_again) * 60 + F.second(read_again)
+    return read(spark, sf_dir, "events").select("event_id", iso.alias("iso"), seconds.alias("seconds"), (F.weekday("ts") + 1).cast("long").alias("weekday"))
 
 
 @query(f"WITH {FILES} SELECT path, parent, name, left(name, length(name) - length(suffix)) AS stem, suffix, 3::BIGINT AS depth, size_bytes FROM p")
@@ -295,3 +297,65 @@ def s16_image_profiles(spark, sf_dir):
     rows = read(spark, sf_dir, "embeddings").select(name.alias("path"), drawn("embedding").alias("content"))
     made = images.profiles(rows)
     return made.select(F.split("path", r"\.")[0].cast("long").alias("vec_id"), "width", F.col("min").alias("least"), F.col("max").alias("greatest"), F.round("mean", 6).alias("mean"), F.col("unique").alias("distinct_values"), F.round("std", 6).alias("std"), "status")
+
+
+def drawings(spark, sf_dir):
+    """Vectors as gray PNG: (vec_id, path, content, size_bytes). Each seventh is 16 by 4 pixels, the others 8 by 8; of each eleventh the end is cut off, and each thirteenth is empty."""
+    @F.pandas_udf("binary")
+    def drawn(vectors, ids):
+        def one(v, i):
+            pixels = np.clip(np.floor((np.asarray(v, float) + 1) * 100), 0, 255).astype(np.uint8)
+            whole = images.encode_png(pixels.reshape(*((4, 16) if i % 7 == 0 else (8, 8))))
+            return b"" if i % 13 == 0 else whole[:-15] if i % 11 == 0 else whole
+
+        return vectors.combine(ids, one)
+
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", F.concat(F.lit("img/"), F.col("vec_id").cast("string"), F.lit(".png")).alias("path"), drawn("embedding", "vec_id").alias("content"))
+    return rows.withColumn("size_bytes", F.octet_length("content").cast("long"))
+
+
+@query("SELECT vec_id, CASE WHEN vec_id % 13 = 0 THEN 'zero_byte' WHEN vec_id % 11 = 0 THEN 'corrupt_or_unsupported' END AS corruption_reason FROM embeddings")
+def a12_damaged_images(spark, sf_dir):
+    return integrity.with_corruption(drawings(spark, sf_dir), content_col="content").select("vec_id", "corruption_reason")
+
+
+#: Sizes of the drawings that are whole.
+_SIZES = "s AS (SELECT CASE WHEN vec_id % 7 = 0 THEN 16 ELSE 8 END AS width, CASE WHEN vec_id % 7 = 0 THEN 4 ELSE 8 END AS height, count(*) AS n FROM embeddings WHERE vec_id % 13 <> 0 AND vec_id % 11 <> 0 GROUP BY 1, 2), m AS (SELECT * FROM s ORDER BY n DESC, width, height LIMIT 1), o AS (SELECT m.width, m.height, (SELECT sum(n) FROM s)::BIGINT AS total, ((SELECT sum(n) FROM s) - m.n)::BIGINT AS outliers FROM m)"
+
+
+def _sizes(spark, sf_dir):
+    found = images.profiles(drawings(spark, sf_dir)).filter("status = 'ok'")
+    return quality.dimension_outliers(found, F.col("width"), F.col("height"))
+
+
+@query(f"WITH {_SIZES} SELECT width, height, total, outliers, round_even(outliers * 100.0::DOUBLE / total, 2) AS outlier_pct FROM o")
+def a13_image_dimensions(spark, sf_dir):
+    return _sizes(spark, sf_dir)
+
+
+@query(f"""WITH {_SIZES}, p AS (SELECT 100 - round_even(outliers * 100.0::DOUBLE / total, 2) AS good FROM o), g AS (SELECT count(*) AS n FROM (SELECT text FROM documents GROUP BY 1 HAVING count(*) > 1)),
+c AS (SELECT stddev_samp(n) / avg(n) * 100 AS cv FROM (SELECT count(*) AS n FROM embeddings GROUP BY label)),
+x AS (SELECT 'dimension_consistency' AS metric, good AS value, CASE WHEN good >= 95 THEN 100 WHEN good >= 90 THEN 70 ELSE 30 END AS points FROM p UNION ALL SELECT 'duplicate_files', n, CASE WHEN n > 0 THEN 30 ELSE 100 END FROM g UNION ALL SELECT 'class_balance', cv, CASE WHEN cv <= 30 THEN 100 WHEN cv <= 50 THEN 70 ELSE 30 END FROM c)
+SELECT metric, round(value::DOUBLE, 6) AS value FROM x UNION ALL SELECT 'score', round(avg(points), 6) FROM x""")
+def a19_hygiene(spark, sf_dir):
+    """Consistency of the drawings' sizes, duplicates of the documents and balance of the vectors' labels, and the score of the three."""
+    groups = quality.equal_hashes(hashed(spark, sf_dir), "sha256").first()["duplicate_count"]
+    cv = quality.class_variation(quality.class_balance(read(spark, sf_dir, "embeddings"), "label")).first()["cv_pct"]
+    made = quality.hygiene(_sizes(spark, sf_dir).first()["outlier_pct"], groups, cv)
+    rows = [(k, round(float(v), 6)) for k, (v, _) in made["metrics"].items()] + [("score", round(made["score"], 6))]
+    return spark.createDataFrame(rows, "metric string, value double")
+
+
+@query(f"""WITH {FILES}, s AS (SELECT count(*) AS n, count(*) FILTER (size_bytes = 0) AS failed, count(DISTINCT lower(suffix)) AS kinds FROM p)
+SELECT CASE WHEN failed > 0 OR n = 0 THEN 0.0 WHEN kinds <= 1 THEN 50.0 ELSE 100.0 END::DOUBLE AS readiness, (failed > 0)::BIGINT + (n = 0)::BIGINT AS blockers, failed * 0.1::DOUBLE AS effort_hours, greatest(0.1::DOUBLE, n * 0.0001::DOUBLE) AS migration_hours FROM s""")
+def a21_readiness(spark, sf_dir):
+    one = files(spark, sf_dir).agg(F.count("*").alias("n"), F.count(F.when(F.col("size_bytes") == 0, 1)).alias("failed"), F.countDistinct(profile.extension()).alias("kinds")).first()
+    made = quality.migration_readiness(one["n"], one["failed"], one["kinds"])
+    return spark.createDataFrame([tuple(made.values())], "readiness double, blockers long, effort_hours double, migration_hours double")
+
+
+@query(f"""WITH {FILES}, d AS (SELECT DISTINCT path, 3::BIGINT AS depth FROM f UNION SELECT '/data', 0 UNION SELECT '/data/' || source, 1 FROM f UNION SELECT '/data/' || source || '/' || lang, 2 FROM f) SELECT * FROM d""")
+def p4_depths(spark, sf_dir):
+    """Depths of files and folders below their common root."""
+    entries = profile.tree_of(files(spark, sf_dir)).filter("path <> '/'").select("path")
+    return paths.with_depth(entries)
