@@ -2,19 +2,21 @@
 
 A text is cut into blocks of ``BLOCK`` bytes, all of which are compressed with either dictionary. Its
 difference is the mean over the blocks of (bad size - good size) / (bad size + good size): above 0
-if the text is more like good text. A logistic curve, fitted on labelled rows that no dictionary saw,
-turns it into a score.
+if the text is more like good text. A logistic curve of it, of the logarithm of the text's bytes and of their product,
+fitted on labelled rows that no dictionary saw, turns it into a score: few bytes tell little.
 
 What is learned from is a bounded sample by two arguments: ``limit`` labelled rows, and of their blocks ``blocks`` a
 class, the least by a hash of id and place. No whole text goes to the driver.
 
-Null and empty texts have difference 0. Without labels of both classes, in the part for the dictionaries and in that for the
+Null and empty texts have difference 0 and no bytes. Without labels of both classes, in the part for the dictionaries and in that for the
 curve, every text scores 1. Rows with a null label, id or text don't teach; of repeated ids one row does
 (``common.labelled_sample``). Repeated rows get a row each, an empty table none.
 """
 
 from __future__ import annotations
 
+import functools
+import operator
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,10 +33,11 @@ BLOCK, DICTIONARY, LEVEL = 256, 112_640, 3
 
 @dataclass
 class Model:
+    """Dictionaries, and the curve's weights of the difference, the product, the logarithm and 1."""
+
     good: bytes
     bad: bytes
-    slope: float
-    intercept: float
+    weights: tuple[float, float, float, float]
 
 
 class Differ:
@@ -66,16 +69,23 @@ def dictionary(blocks: list[bytes]) -> bytes:
         return b"".join(blocks)[-DICTIONARY:] or b"\0" * 8
 
 
-def logistic(x: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:
-    """Slope and intercept by Newton's method, with a slight pull to zero."""
-    scale = x.std() or 1.0
-    a = np.stack([x / scale, np.ones(len(x))], 1)
-    w = np.zeros(2)
+def terms(difference: np.ndarray, n_bytes: np.ndarray) -> np.ndarray:
+    """What the curve weighs."""
+    log = np.log2(1 + n_bytes)
+    return np.stack([difference, difference * log, log, np.ones(len(log))], 1)
+
+
+def logistic(a: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, ...]:
+    """Weights of the columns of ``a`` by Newton's method, with a slight pull to zero."""
+    scale = a.std(0)
+    scale[scale == 0] = 1.0
+    a = a / scale
+    w = np.zeros(a.shape[1])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        h = a.T @ (a * (p * (1 - p))[:, None]) + np.diag([0.01, 0.01])
+        h = a.T @ (a * (p * (1 - p))[:, None]) + 0.01 * np.eye(len(w))
         w += np.clip(np.linalg.solve(h, a.T @ (y - p) - 0.01 * w), -3, 3)
-    return float(w[0] / scale), float(w[1])
+    return tuple((w / scale).tolist())
 
 
 def cut(rows: DataFrame, text_col: str = "text") -> DataFrame:
@@ -88,16 +98,17 @@ def cut(rows: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def differences(rows: DataFrame, good: bytes, bad: bytes) -> DataFrame:
-    """(doc_id, difference) of rows (doc_id, text)."""
+    """(doc_id, difference, n_bytes) of rows (doc_id, text)."""
     handle = rows.sparkSession.sparkContext.broadcast((good, bad))
     state: dict = {}
 
     def make(batch) -> list[list]:
         if not state:
             state["differ"] = Differ(*handle.value)
-        return [batch.column(0), [state["differ"](x) for x in raw_texts(batch.column(1))]]
+        raw = raw_texts(batch.column(1))
+        return [batch.column(0), list(map(state["differ"], raw)), list(map(len, raw))]
 
-    return map_rows(rows.select("doc_id", "text"), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, difference double", make)
+    return map_rows(rows.select("doc_id", "text"), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, difference double, n_bytes long", make)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", limit: int = TRAIN_ROWS, blocks: int = TRAIN_BLOCKS) -> Model | None:
@@ -112,9 +123,9 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
         part = cut(rows.filter(F.col("good") == good).filter("not curve"))
         least = part.orderBy(F.xxhash64("doc_id", "place"), "doc_id", "place").limit(blocks).select("block")
         made.append(dictionary([bytes(r["block"]) for r in least.collect()]))
-    seen = differences(rows.filter("curve"), *made).join(rows.filter("curve").select("doc_id", "good"), "doc_id").select("difference", "good").collect()
-    x, y = (np.array(c, float) for c in zip(*sorted(map(tuple, seen)), strict=True))
-    return Model(*made, *logistic(x, y))
+    seen = differences(rows.filter("curve"), *made).join(rows.filter("curve").select("doc_id", "good"), "doc_id").select("difference", "n_bytes", "good").collect()
+    x, n, y = (np.array(c, float) for c in zip(*sorted(map(tuple, seen)), strict=True))
+    return Model(*made, logistic(terms(x, n), y))
 
 
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -122,5 +133,7 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     if model is None:
         return rows.select("doc_id", F.lit(0.0).alias("difference"), F.lit(1.0).alias("score"))
-    margin = F.greatest(F.lit(-35.0), F.least(F.lit(35.0), F.lit(model.slope) * F.col("difference") + F.lit(model.intercept)))
+    log, d = F.log2(1.0 + F.col("n_bytes")), F.col("difference")
+    weighed = functools.reduce(operator.add, [F.lit(w) * x for w, x in zip(model.weights, (d, d * log, log, F.lit(1.0)), strict=True)])
+    margin = F.greatest(F.lit(-35.0), F.least(F.lit(35.0), weighed))
     return differences(rows, model.good, model.bad).select("doc_id", "difference", (1 / (1 + F.exp(-margin))).alias("score"))

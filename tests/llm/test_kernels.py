@@ -382,8 +382,12 @@ def test_compression_tells_apart():
     blocks = lambda texts: [t[a : a + compression.BLOCK] for t in texts for a in range(0, len(t), compression.BLOCK)]
     d = compression.Differ(compression.dictionary(blocks(good[:100])), compression.dictionary(blocks(bad[:100])))
     x = np.array([d(t) for t in good[100:] + bad[100:]])
-    slope, intercept = compression.logistic(x, np.r_[np.ones(100), np.zeros(100)])
-    assert ((slope * x + intercept > 0) == np.r_[np.ones(100), np.zeros(100)]).mean() > 0.98
+    a, y = compression.terms(x, np.array([len(t) for t in good[100:] + bad[100:]], float)), np.r_[np.ones(100), np.zeros(100)]
+    assert ((a @ compression.logistic(a, y) > 0) == y).mean() > 0.98
+    # where bytes alone tell, the curve follows them
+    n = np.r_[np.full(50, 10.0), np.full(50, 1000.0)]
+    a, y = compression.terms(np.zeros(100), n), (n > 100).astype(float)
+    assert ((a @ compression.logistic(a, y) > 0) == y).all()
     assert d(b"") == 0.0 and compression.dictionary([b"a"])
 
 

@@ -131,8 +131,10 @@ def test_compression_is_plain(spark):
     model = compression.fit(docs, labels)
     differ = compression.Differ(model.good, model.bad)
     for x in compression.score(docs, model).collect():
-        d = differ(texts[x["doc_id"]].encode())
-        assert x["difference"] == pytest.approx(d) and x["score"] == pytest.approx(1 / (1 + np.exp(-(model.slope * d + model.intercept))))
+        raw = texts[x["doc_id"]].encode()
+        d, log = differ(raw), np.log2(1 + len(raw))
+        margin = np.dot(model.weights, [d, d * log, log, 1])
+        assert x["difference"] == pytest.approx(d) and x["score"] == pytest.approx(1 / (1 + np.exp(-np.clip(margin, -35, 35))))
     few = compression.fit(docs, labels, blocks=3)
     assert len(few.good) <= 3 * compression.BLOCK and len(few.bad) <= 3 * compression.BLOCK
     whole = compression.cut(docs.select("doc_id", "text")).groupBy("doc_id").agg(F.sum(F.octet_length("block")).alias("n"), F.max(F.octet_length("block")).alias("most")).collect()
