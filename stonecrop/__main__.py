@@ -15,6 +15,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from stonecrop import api
+from stonecrop.functions import kinds
 from stonecrop.operators import dedup, integrity, quality, report, tools
 from stonecrop.session import session
 from stonecrop.sources import tree
@@ -57,7 +58,7 @@ def snapshot(spark: SparkSession, a: argparse.Namespace) -> int:
 
 
 def check(spark: SparkSession, a: argparse.Namespace) -> int:
-    files = tree.with_content(tree.scan(spark, a.path, hidden=not a.no_hidden).filter("is_file"), F.lit(True))
+    files = tree.with_content(tree.scan(spark, a.path, hidden=not a.no_hidden).filter("is_file"), kinds.is_image(F.col("path")))
     made = report.verifier(integrity.with_corruption(files, content_col="content").drop("content"))
     if a.output:
         report.export_json(made, a.output)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from stonecrop.operators import dedup, integrity, profile, quality
 from stonecrop.operators.frame import FileFrame
 from stonecrop.sources import tree
+from stonecrop.sources.files import materialize
 
 
 @dataclass
@@ -23,7 +24,7 @@ class State:
 
 @dataclass
 class Pipeline:
-    """Each step returns the pipeline with one more part; nothing runs before a part is collected."""
+    """Each step returns the pipeline with one more part. A scan is written, so that a tree is read and hashed once; what follows runs when a part is collected."""
 
     spark: SparkSession
     state: State
@@ -40,7 +41,7 @@ class Pipeline:
     def scan(self, max_depth: int | None = None) -> Pipeline:
         key = (self.state.root, max_depth)
         if key not in self.cache:
-            self.cache[key] = tree.scan(self.spark, self.state.root, max_depth, compute_hash=True)
+            self.cache[key] = materialize(tree.scan(self.spark, self.state.root, max_depth, compute_hash=True), "scan")
         return self._with("scan", frame=FileFrame(self.cache[key]))
 
     def enrich(self) -> Pipeline:
@@ -73,7 +74,8 @@ class Dataset:
 
     def frame(self, compute_hash: bool = False) -> FileFrame:
         if self._frame is None or (compute_hash and not self._frame[0]):
-            self._frame = (compute_hash, FileFrame(tree.scan(self.spark, self.root, compute_hash=compute_hash)).enrich())
+            found = tree.scan(self.spark, self.root, compute_hash=compute_hash)
+            self._frame = (compute_hash, FileFrame(materialize(found, "scan") if compute_hash else found).enrich())
         return self._frame[1]
 
     to_dataframe = frame

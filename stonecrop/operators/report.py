@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stonecrop.operators import dedup, quality
+from stonecrop.sources.files import materialize
 
 
 def as_dict(report: DataFrame, gates: list[quality.GateResult] = ()) -> dict:
@@ -20,8 +21,10 @@ def as_dict(report: DataFrame, gates: list[quality.GateResult] = ()) -> dict:
 def full(files: DataFrame, policy: dict[str, float] | None = None, label_col: str | None = None, width_col: str | None = None, height_col: str | None = None, show_evidence: bool = False, examples: int = 5) -> dict:
     """The consolidated report of a table of files with is_corrupt and corruption_reason: summary, profile, hygiene, readiness, reconciliation, findings, limits.
 
-    All of it is of bounded size: counts, at most 20 extensions, ``examples`` paths.
+    All of it is of bounded size: counts, at most 20 extensions, ``examples`` paths. The table is written first, so files are
+    read and hashed once, not once a number.
     """
+    files = materialize(files, "audit-files")
     summary = {r["metric"]: r["value"] for r in quality.audit(files, label_col=label_col).collect()}
     damage = files.agg(F.count("*").alias("checked"), F.count(F.when(F.col("is_corrupt"), 1)).alias("failed"), F.count(F.when(F.col("corruption_reason") == "corrupt_or_unsupported", 1)).alias("corrupted")).first()
     groups = dedup.space_waste(files).agg(F.max("n_files")).first()[0] or 0
@@ -51,7 +54,8 @@ def full(files: DataFrame, policy: dict[str, float] | None = None, label_col: st
 
 
 def verifier(files: DataFrame, labels: DataFrame | None = None, width_col: str | None = None, height_col: str | None = None, hash_col: str | None = None, split_col: str | None = None, name_col: str | None = None) -> dict:
-    """The checks of a dataset one by one: integrity, dimensions, duplicates, class balance and leakage, those that the columns allow."""
+    """The checks of a dataset one by one: integrity, dimensions, duplicates, class balance and leakage, those that the columns allow. The table is written first."""
+    files = materialize(files, "verified-files")
     made: dict = {"integrity": {"checked": files.count(), "failed": files.filter("is_corrupt").count()}}
     if width_col and height_col:
         found = quality.dimension_outliers(files, F.col(width_col), F.col(height_col)).first()

@@ -12,7 +12,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stonecrop.functions import paths
+from stonecrop.functions import kinds, paths
 from stonecrop.functions import text as text_functions
 from stonecrop.operators import dedup, integrity, profile, quality, relational, report
 from stonecrop.operators.frame import FileFrame
@@ -120,7 +120,7 @@ def summarize(spark: SparkSession, path: str) -> dict:
 @tools.register
 def find_duplicates(spark: SparkSession, path: str, n: int = SHOWN) -> dict:
     """Numbers of groups and files of equal content, and some of the paths."""
-    files = _files(spark, path, hashes=True)
+    files = file_formats.materialize(_files(spark, path, hashes=True), "hashed-files")
     counts = quality.equal_hashes(files, "sha256").first().asDict()
     return counts | {"examples": shown(dedup.exact_groups(files).orderBy("group_id", "path"), n)}
 
@@ -128,7 +128,7 @@ def find_duplicates(spark: SparkSession, path: str, n: int = SHOWN) -> dict:
 @tools.register
 def duplicate_directories(spark: SparkSession, path: str, min_shared: int = 1, n: int = SHOWN) -> list[dict]:
     """Pairs of directories that share files, those that share most first."""
-    files = _files(spark, path, hashes=True)
+    files = file_formats.materialize(_files(spark, path, hashes=True), "hashed-files")
     found = dedup.directory_overlap(dedup.exact_groups(files), paths.parent(F.col("path")), files, min_shared=min_shared)
     return shown(found.orderBy(F.desc("shared_files"), "dir_a", "dir_b"), n)
 
@@ -136,7 +136,8 @@ def duplicate_directories(spark: SparkSession, path: str, min_shared: int = 1, n
 @tools.register
 def audit_corrupted_files(spark: SparkSession, path: str, include_hidden: bool = True, n: int = SHOWN) -> dict:
     """Empty and damaged files: how many of each, and some of the paths."""
-    rows = integrity.with_corruption(tree.with_content(_files(spark, path, include_hidden), F.lit(True)), content_col="content").select("path", "corruption_reason")
+    rows = integrity.with_corruption(tree.with_content(_files(spark, path, include_hidden), kinds.is_image(F.col("path"))), content_col="content").select("path", "corruption_reason")
+    rows = file_formats.materialize(rows, "checked-files")
     counts = {r[0]: r[1] for r in rows.filter("corruption_reason is not null").groupBy("corruption_reason").count().collect()}
     return {"checked": rows.count(), "failed": sum(counts.values()), "reasons": counts, "examples": shown(rows.filter("corruption_reason is not null").orderBy("path"), n)}
 
@@ -144,7 +145,7 @@ def audit_corrupted_files(spark: SparkSession, path: str, include_hidden: bool =
 @tools.register
 def generate_hygiene_report(spark: SparkSession, path: str) -> dict:
     """The hygiene score and its metrics; classes by folder."""
-    files = _files(spark, path, hashes=True)
+    files = file_formats.materialize(_files(spark, path, hashes=True), "hashed-files")
     groups = quality.equal_hashes(files, "sha256").first()["duplicate_count"]
     cv = quality.class_variation(quality.class_balance(quality.folder_labels(files), "label")).first()["cv_pct"]
     return quality.hygiene(None, groups, cv)
@@ -160,7 +161,7 @@ def assess_migration_readiness(spark: SparkSession, path: str) -> dict:
 @tools.register
 def audit_dataset(spark: SparkSession, path: str, gates: str = "", show_evidence: bool = False) -> dict:
     """The consolidated report."""
-    files = integrity.with_corruption(tree.with_content(_files(spark, path, hashes=True), F.lit(True)), content_col="content").drop("content")
+    files = integrity.with_corruption(tree.with_content(_files(spark, path, hashes=True), kinds.is_image(F.col("path"))), content_col="content").drop("content")
     return report.full(files, quality.gate_policy(gates) if gates else None, show_evidence=show_evidence)
 
 
